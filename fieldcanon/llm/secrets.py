@@ -27,7 +27,8 @@ FIT_ROWS = 20_000
 FIT_RANDOM = 4_000
 #: A string is a secret if the ratio reaches so many nats in all, and so many for each character.
 TOTAL, EACH = 12.0, 0.4
-SHORTEST = 20
+#: Weight, in transitions, of the symbols' own frequencies.
+PULL = 20.0
 
 # The patterns of secrets.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -87,10 +88,16 @@ def labelled_strings(text: str) -> Iterator[tuple[bool, str]]:
         yield False, ("_".join, "-".join, "/".join, "".join)[k // 4 % 4]([a.lower(), b.lower(), c.title() if k // 4 % 4 == 3 else c.lower(), d.lower()])
 
 
+def _chances(counts: np.ndarray) -> np.ndarray:
+    """Transition probabilities, drawn towards the symbols' own frequency where seen seldom."""
+    counts = counts.reshape(_N, _N)
+    single = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * _N)
+    return (counts + PULL * single) / (counts.sum(axis=1, keepdims=True) + PULL)
+
+
 def ratios(random_counts: np.ndarray, ordinary_counts: np.ndarray) -> np.ndarray:
-    """The log-likelihood ratio of each transition, with a half added to every count."""
-    p, q = ((x.reshape(_N, _N) + 0.5) / (x.reshape(_N, _N) + 0.5).sum(axis=1, keepdims=True) for x in (random_counts, ordinary_counts))
-    return np.log(p / q).ravel()
+    """The log-likelihood ratio of each transition."""
+    return np.log(_chances(random_counts) / _chances(ordinary_counts)).ravel()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> np.ndarray:
