@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import new_folder
+
 #: Rows of an Arrow batch: texts can be long, so batches stay small in bytes.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``. Only a local session, as in tests, gets a
-    temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    made = tempfile.mkdtemp(prefix="fieldcanon-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage and survives the loss of executors, unlike a cached table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fieldcanon/{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

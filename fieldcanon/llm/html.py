@@ -28,10 +28,12 @@ BAD_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
     "cookies copyright disclaimer dialog disqus footer form header login masthead menu modal nav navbar navigation newsletter notice "
     "notices notification pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup "
-    "social sponsor sponsored subscribe tags toolbar widget".split()
+    "social sponsor sponsored subscribe tags toolbar topbar adsense gdpr widget".split()
 )
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
 BAD_WORD, GOOD_WORD = -8.0, 1.5
+#: Names that begin so tell of something else on the page.
+ABSENT = ("has-", "with-", "no-", "is-")
 START, FOR_LENGTH, LENGTH_UNIT, MOST_LENGTH = -1.0, 1.0, 80, 3.0
 LINKS, SENTENCE, HEADING = -5.0, 0.7, 0.5
 #: The capacity between two blocks, divided by their distance in the tree.
@@ -71,7 +73,10 @@ def _own_score(tag: str, attributes: str, inside_article: bool) -> float:
     if tag == "header" and inside_article:
         score = -1.0
     if attributes and "=" in attributes:
-        words = {w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+        names = (n for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split())
+        words = {w for n in names if not n.startswith(ABSENT) for w in _WORD.findall(n)}
+        if inside_article:
+            words.discard("header")
         if words & BAD_WORDS and tag not in ("html", "body"):
             score += BAD_WORD
         elif words & GOOD_WORDS:

@@ -58,6 +58,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).where("doc_id is not null")
     units = written(source.mapInPandas(cut, "doc_id bigint, unit bigint, start bigint, end bigint, words bigint, digest binary"), "units")
     first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that the join below has a plain shuffle on either side and a line that is
+    # everywhere can be split among tasks.
+    first = written(first, "first")
     later = units.join(first, "digest").where(F.struct("doc_id", "unit") > F.col("first"))
     later = later.select("doc_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id")).dropDuplicates(["doc_id", "unit"])
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))

@@ -98,7 +98,8 @@ def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
             )
         ).alias("key"),
     )
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join has a plain shuffle on either side and a crowded key can be split.
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = written(keys.join(shared, "key"), "keys")
     few = met.where(F.col("n") <= block).select("key", "fp", "rep")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))

@@ -140,6 +140,13 @@ def test_html(spark):
     assert html.extracted(pages).count() == len(rows) and html.extracted(pages.limit(0)).count() == 0
 
 
+def test_html_headers_of_articles_and_names_of_layouts():
+    page = """<body><div class="site-header"><p>The best site on all of the net, every day.</p></div><div class="content has-sidebar"><article>
+      <div class="entry-header"><h1>Title</h1></div><p>Text of the article, which goes on for a while and then stops.</p><p>End.</p></article>
+      <div class="sidebar"><p>Another story that you may like to read, today or tomorrow.</p></div></div></body>"""
+    assert html.main_text(page) == "Title\n\nText of the article, which goes on for a while and then stops.\n\nEnd."
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):
