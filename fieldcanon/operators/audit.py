@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..registry import field_table, resolution_table
 
+#: Letters that raw values are dealt by when they are numbered.
+LETTERS = 3
+
 COLUMNS = ["Field", "Conflict Group", "Raw Value", "Num Answers", "All Answers", "Standardized Value", "Country", "Resolution", "Field Key"]
 
 
@@ -19,15 +22,21 @@ def conflicts(triples: DataFrame) -> DataFrame:
 def numbered(keys: DataFrame) -> DataFrame:
     """Add ``group_no``: 1, 2, ... over field order and raw value.
 
-    Raw values are ranked within their field, and the counts of the fields before are added: one
-    row a field, so no window holds the whole table.
+    Raw values are ranked among those with the same first letters, and the counts of all letters
+    and fields before are added, so no task ranks a whole field.
     """
     fields = F.broadcast(field_table(keys.sparkSession).select("field_key", "field_order", "display_name"))
-    ranked = keys.join(fields, "field_key").withColumn("_rank", F.row_number().over(Window.partitionBy("field_order").orderBy("raw")))
-    sizes = ranked.groupBy(F.col("field_order").alias("_order")).agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._order") < F.col("a._order"), "left").groupBy(F.col("a._order").alias("_order")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    joined = ranked.join(F.broadcast(before), F.col("field_order") == F.col("_order"))
-    return joined.withColumn("group_no", (F.col("_rank") + F.col("_before")).cast("int")).drop("_rank", "_before", "_order")
+    own = ["field_order", "_letters"]
+    parts = keys.join(fields, "field_key").withColumn("_letters", F.substring("raw", 1, LETTERS))
+    ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy(*own).orderBy("raw")))
+    sizes = parts.groupBy(*own).agg(F.count("*").alias("_n"))
+    inside = F.sum("_n").over(Window.partitionBy("field_order").orderBy("_letters").rowsBetween(Window.unboundedPreceding, -1))
+    of_field = sizes.groupBy("field_order").agg(F.sum("_n").alias("_n"))
+    earlier = of_field.alias("b").join(F.broadcast(of_field.alias("a")), F.col("a.field_order") < F.col("b.field_order"), "left")
+    earlier = earlier.groupBy(F.col("b.field_order").alias("field_order")).agg(F.coalesce(F.sum("a._n"), F.lit(0)).alias("_earlier"))
+    offsets = sizes.withColumn("_before", F.coalesce(inside, F.lit(0))).drop("_n").join(F.broadcast(earlier), "field_order")
+    joined = ranked.join(offsets, own)
+    return joined.withColumn("group_no", (F.col("_rank") + F.col("_before") + F.col("_earlier")).cast("int")).drop("_rank", "_before", "_earlier", "_letters")
 
 
 def audit_rows(triples: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     made = tempfile.mkdtemp(prefix="fieldcanon-")
     spark.conf.set("spark.checkpoint.dir", made)
