@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import classify
 from ..functions.text import norm_key, quoted
 from ..registry import ANALYTICS_FIELD_TYPES, CATCH_ALL, FIELDS, NEEDS_REVIEW, STANDARD_FIELD_TYPES, UNKNOWN_FIELD_TYPE
+from ..sources.storage import written
 from .lookup import resolve
 from .route import column_named, type_label, with_country, with_field_key
 
@@ -71,7 +72,7 @@ def fan_out(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Join the answers to all rows as struct ``_answer``.
 
     Rows without a question have a null key, so the many blanks match nothing. The answers are
-    broadcast while they are below Spark's threshold; beyond it hot keys are left to the
+    broadcast while their table is below Spark's threshold; beyond it hot keys are left to the
     adaptive skew join.
     """
     packed = found.select(F.struct(*KEYS).alias("_asked"), F.struct("std", "confidence", "alternatives", "reasoning", "from_lookup").alias("_answer"))
@@ -99,7 +100,12 @@ def review_columns(type_text: Column | None = None) -> dict[str, Column]:
 
 
 def _finished(rows: DataFrame, lookup: DataFrame | None, classifier: Classifier) -> DataFrame:
-    return fan_out(rows, answers(distinct_keys(rows), lookup, classifier))
+    """Answer the rows' keys and join the answers back.
+
+    The answers are written first: where they are small, as they mostly are, Spark then plans a
+    broadcast at once, and the rows are never shuffled.
+    """
+    return fan_out(rows, written(answers(distinct_keys(rows), lookup, classifier), "answers"))
 
 
 def standardize(df: DataFrame, value_column: str, field_key: str, country_column: str | None = None, lookup: DataFrame | None = None, classifier: Classifier = by_keywords) -> DataFrame:

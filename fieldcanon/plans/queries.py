@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import classify
 from ..operators import audit, batches, corrections, external, lookup, responses, route, rules, standardize, stats, validate
 from ..registry import FIELDS, LEGACY_LABELS_AUDIT, country_table, resolution_table
-from ..sources.storage import new_folder
+from ..sources.storage import new_folder, written
 from . import derived
 
 RESULT = {"Standardized Value": "standardized_value", "Needs Review": "needs_review", "Review Reason": "review_reason"}
@@ -44,7 +44,7 @@ def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standardize.standardize_analytics(derived.raw_values(spark, sf_dir), country_table(spark), _lookup(spark, sf_dir), keep_keys=True)
+    return standardize.standardize_analytics(derived.raw_values(spark, sf_dir), country_table(spark), written(_lookup(spark, sf_dir), "lookup"), keep_keys=True)
 
 
 def standardize_with_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def lookup_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = route.with_field_key(route.with_country(derived.raw_values(spark, sf_dir), "countryId", country_table(spark)), "fieldType")
     keyed = standardize.keyed(rows, F.col("field_key"), F.col("inputText"), F.col("Country"))
-    return lookup.resolve(standardize.distinct_keys(keyed), _lookup(spark, sf_dir)).select("field_key", "country", "raw", "std")
+    return lookup.resolve(standardize.distinct_keys(keyed), written(_lookup(spark, sf_dir), "lookup")).select("field_key", "country", "raw", "std")
 
 
 def _audit_triples(spark: SparkSession, sf_dir: str) -> DataFrame:

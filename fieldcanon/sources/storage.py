@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/fieldcanon/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    This cuts the lineage and survives the loss of executors, unlike a cached table; and Spark
+    knows the table's size when it plans what follows.
+    """
+    path = f"{new_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
