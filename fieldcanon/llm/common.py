@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import new_folder
+from ..sources.storage import written
+
+__all__ = ["small_batches", "table", "text_of", "written"]
 
 #: Rows of an Arrow batch: texts can be long, so batches stay small in bytes.
 BATCH_ROWS = 1000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage and survives the loss of executors, unlike a cached table.
-    """
-    spark = df.sparkSession
-    path = f"{new_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,15 +1,15 @@
-"""Removal of repeated passages by hashing lines or paragraphs.
-
-Every document is cut into lines (or paragraphs). Units are normalised and hashed, digests are
-grouped over the whole corpus, and the earliest occurrence of each, by document and place, is
-kept. Later occurrences are removed where a run of consecutive ones has ``MIN_WORDS`` words, so
-that short lines that turn up everywhere by chance or as headings are left alone. Spans refer to
-the original text.
+"""Removal of repeated passages by hashing units of text: sentences, lines or paragraphs.
+
+Every document is cut into units, lines and within them sentences by default: a passage that
+someone has set inside a line would never be found by whole lines. Units are normalised and
+hashed, digests are grouped over the whole corpus, and the earliest occurrence of each, by
+document and place, is kept. Later occurrences are removed where a run of consecutive ones has
+``MIN_WORDS`` words, so that short sentences that turn up everywhere are left alone. Spans refer
+to the original text.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -21,25 +21,36 @@ from .common import small_batches, text_of, written
 
 MIN_WORDS = 50
 
-UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n(?!\n)[^\n]+)*")}
+#: Where a unit ends: behind the match. A sentence also ends before a capitalised word, as a passage
+#: may begin in the middle of another sentence.
+CUTS = {
+    "sentence": re.compile(r"[.!?。！？]+|\n|[ \t](?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])"),
+    "line": re.compile(r"\n"),
+    "paragraph": re.compile(r"\n\n+"),
+}
+SPACES = " \t\n\x0b\x0c\r"
 
 
-def normal_words(unit: str) -> list[bytes]:
-    """The words between ASCII white space, A-Z in lower case."""
-    return unit.encode("utf-8", "surrogatepass").lower().split()
+def units_of(text: str, kind: str = "sentence") -> Iterator[tuple[int, int, int, int, int]]:
+    """``unit, start, end, words, digest`` of each unit that has words, numbered from 0.
 
+    Words are what ASCII white space separates, A-Z in lower case; the digest is the XXH64 of
+    the words with single spaces.
+    """
+    import xxhash
 
-def units_of(text: str, kind: str = "line") -> Iterator[tuple[int, int, int, int, bytes]]:
-    """``unit, start, end, words, digest`` of each unit that has words, numbered from 0."""
-    k = 0
-    for m in UNITS[kind].finditer(text):
-        words = normal_words(m[0])
+    at, k = 0, 0
+    for end in [*(m.end() for m in CUTS[kind].finditer(text)), len(text)]:
+        piece, start, at = text[at:end], at, end
+        words = piece.encode("utf-8", "surrogatepass").lower().split()
         if words:
-            yield k, m.start(), m.end(), len(words), hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+            start += len(piece) - len(piece.lstrip(SPACES))
+            digest = xxhash.xxh64_intdigest(b" ".join(words))
+            yield k, start, start + len(piece.strip(SPACES)), len(words), digest - (digest >> 63 << 64)
             k += 1
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """Return the spans to remove: ``doc_id, start, end, n_units, n_words, first_doc_id``.
 
     Offsets are code points of the original text, end exclusive; ``first_doc_id`` is the
@@ -56,12 +67,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pd.DataFrame(rows, columns=["doc_id", "unit", "start", "end", "words", "digest"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).where("doc_id is not null")
-    units = written(source.mapInPandas(cut, "doc_id bigint, unit bigint, start bigint, end bigint, words bigint, digest binary"), "units")
-    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    units = written(source.mapInPandas(cut, "doc_id bigint, unit int, start bigint, end bigint, words int, digest bigint"), "units")
+    # Digests of equal length only are the same: that makes 64 bits go further.
+    first = units.groupBy("digest", "words").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Written, so that the join below has a plain shuffle on either side and a line that is
     # everywhere can be split among tasks.
     first = written(first, "first")
-    later = units.join(first, "digest").where(F.struct("doc_id", "unit") > F.col("first"))
+    later = units.join(first, ["digest", "words"]).where(F.struct("doc_id", "unit") > F.col("first"))
     later = later.select("doc_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id")).dropDuplicates(["doc_id", "unit"])
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))
     return (
@@ -79,7 +91,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated spans cut out of the text column, all other columns as they are."""
     spans = repeated_spans(docs, id_col, text_col, kind, min_words)
     cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
@@ -91,7 +103,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at, parts = 0, []
             for s in spans_ if spans_ is not None else ():
                 parts.append(text[at : s["start"]])
-                at = s["end"] + (text[s["end"] : s["end"] + 1] == "\n")
+                at = s["end"] + (text[s["end"] : s["end"] + 1] in tuple(SPACES))  # and one space behind it
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
@@ -101,12 +113,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(*kept)
 
 
-#: DuckDB SQL of the registered query. Lines are cut at line feeds; words are what ASCII white space separates.
+#: DuckDB SQL of the registered query: cuts are marked with a character of their own.
 ORACLE_SQL = rf"""
-    with l as (select doc_id, generate_subscripts(ls, 1) as i, unnest(ls) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)),
-    p as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s from l),
-    w as (select *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from p),
-    u as (select doc_id, s, s + length(line) as e, len(ws) as words, array_to_string(ws, ' ') as g, row_number() over (partition by doc_id order by i) as k from w where len(ws) > 0),
+    with m as (select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?。！？]+)', '\1' || chr(1), 'g'), '(\n)', '\1' || chr(1), 'g'),
+                                             '([ \t])([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])', '\1' || chr(1) || '\2', 'g') as t from documents),
+    l as (select doc_id, generate_subscripts(ls, 1) as i, unnest(ls) as piece from (select doc_id, string_split(t, chr(1)) as ls from m)),
+    p as (select *, coalesce(sum(length(piece)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from l),
+    w as (select *, pos + length(piece) - length(regexp_replace(piece, '^[\x20\x09-\x0D]+', '')) as s, regexp_replace(piece, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as q from p),
+    v as (select *, regexp_extract_all(translate(q, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from w),
+    u as (select doc_id, s, s + length(q) as e, len(ws) as words, array_to_string(ws, ' ') as g, row_number() over (partition by doc_id order by i) as k from v where len(ws) > 0),
     f as (select *, first_value(doc_id) over (partition by g order by doc_id, k) as fd, row_number() over (partition by g order by doc_id, k) as r from u),
     r as (select *, k - row_number() over (partition by doc_id order by k) as run from f where r > 1)
     select doc_id, cast(min(s) as bigint) as start, cast(max(e) as bigint) as "end", count(*) as n_units, cast(sum(words) as bigint) as n_words, arg_min(fd, k) as first_doc_id

@@ -162,15 +162,15 @@ def test_min_cut_is_minimal():
         assert price(html.min_cut(costs, edges)) == best
 
 
-def slow_spans(rows, kind="line", least=50):
-    seen, out = {}, []
+def slow_spans(rows, kind, least=50):
+    seen, out = {}, []  # by (digest, words)
     for doc, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         run = []
         for u in passages.units_of(text or "", kind):
-            if u[4] in seen:
-                run.append((u, seen[u[4]]))
+            if u[3:] in seen:
+                run.append((u, seen[u[3:]]))
                 continue
-            seen[u[4]] = doc
+            seen[u[3:]] = doc
             out.append((doc, run))
             run = []
         out.append((doc, run))
@@ -178,7 +178,7 @@ def slow_spans(rows, kind="line", least=50):
     return sorted((s for s in sums if s[4] >= least), key=str)
 
 
-@pytest.mark.parametrize("kind", ["line", "paragraph"])
+@pytest.mark.parametrize("kind", ["sentence", "line", "paragraph"])
 def test_passages(spark, kind):
     rng = random.Random(7)
     lines = [" ".join(rng.choices(["a", "B", "cc", "Dé", "eee"], k=rng.choice([1, 3, 20, 60]))) for _ in range(40)] + ["", "  "]
@@ -188,8 +188,22 @@ def test_passages(spark, kind):
     assert passages.repeated_spans(docs_of(spark, [])).count() == 0
 
 
+def test_sentences_of_a_text():
+    text = "  one two.  Three\tfour!? \n\n FIVE six Seven, É eight Élan. nine"
+    cuts = [(text[a:b], n) for _, a, b, n, _ in passages.units_of(text)]
+    assert cuts == [("one two.", 2), ("Three\tfour!?", 2), ("FIVE six", 2), ("Seven, É eight", 3), ("Élan.", 1), ("nine", 1)]
+    assert next(passages.units_of("a  B c"))[4] == next(passages.units_of("\nA b\tC"))[4]
+
+
+def test_a_passage_inside_other_sentences_is_found(spark):
+    passage = " ".join(f"This is sentence {i} of it, with some words." for i in range(9))
+    rows = [(1, f"Some text here {passage} and more. End."), (2, f"Quite other words before {passage} then something. Fine."), (3, "Nothing of it. At all.")]
+    (row,) = passages.repeated_spans(docs_of(spark, rows)).collect()
+    assert (row.doc_id, row.first_doc_id) == (2, 1) and rows[1][1][row.start : row.end] == passage
+
+
 def test_passages_are_cut_out(spark):
-    long = "this line is long " * 15
+    long = ("this line is long " * 15).strip()
     rows = [(1, f"one\n{long}\ntwo"), (2, f"three\n{long.upper()}\nfour"), (3, None), (4, "one\ntwo"), (5, long)]
     got = {r.doc_id: r.text for r in passages.without_repeats(docs_of(spark, rows)).collect()}
     assert got == {1: rows[0][1], 2: "three\nfour", 3: None, 4: "one\ntwo", 5: ""}
