@@ -23,9 +23,10 @@ from .common import small_batches, text_of, written
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-#: Words of a shard, and most words of benchmark items that go to the tasks at once.
+#: Words of a shard.
 SHARD_WORDS = 1_000_000
-ITEM_WORDS = 2_000_000
+#: A benchmark of more bytes is dealt into blocks of half as many, searched one after the other.
+ITEM_BYTES = 16_000_000
 #: Every so many positions, the suffix array is kept.
 SAMPLE = 16
 
@@ -220,40 +221,36 @@ def _search(docs: DataFrame, items: list[tuple[int, str | None]], shard_words: i
     return docs.mapInPandas(run, _SPANS)
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[list[tuple[int, str | None]]]:
-    """The benchmark in blocks of ``most`` words at most (an item is never cut)."""
-    blocks: list[list[tuple[int, str | None]]] = []
-    size = most
-    for item, text in benchmark.select(item_col, text_of(text_col)).where(F.col(item_col).isNotNull()).toLocalIterator():
-        n = len(words_of(text))
-        if size + n > most or not blocks:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += n
-    return blocks or [[]]
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> tuple[DataFrame, int]:
+    """The benchmark's ``item_id, text, block``, and the number of blocks: one up to ``most`` bytes."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), text_of(text_col).alias("text")).where("item_id is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 if size <= most else -(-2 * size // most)
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n))), n
 
 
-def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, item_words: int = ITEM_WORDS) -> DataFrame:
+def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """Return ``doc_id, n_words, spans, items`` for every row of ``docs``.
 
     ``spans`` are the merged word spans (end exclusive) of benchmark windows, ``items`` the ids
-    whose windows occur. A benchmark of more than ``item_words`` words is searched block by
-    block, and the blocks' spans are merged by document. Null and empty texts have no words.
-    Items without words or id are never found. Rows that repeat a doc_id are judged each; only
-    when a benchmark needs several blocks must doc_id be unique.
+    whose windows occur. Only a benchmark of ``item_bytes`` bytes at most goes to the tasks as a
+    whole; a larger one is searched block by block, and the blocks' spans are merged by document.
+    Null and empty texts have no words. Items without words or id are never found. Rows that
+    repeat a doc_id are judged each; only when a benchmark needs several blocks must doc_id be
+    unique.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    blocks = _item_blocks(benchmark, item_col, item_text_col, item_words)
-    found = _search(rows, blocks[0], shard_words)
-    if len(blocks) == 1:
-        return found
-    for block in blocks[1:]:
-        found = found.unionByName(_search(rows, block, shard_words))
+    items, n = _blocks(benchmark, item_col, item_text_col, item_bytes)
+    block = lambda k: [(r.item_id, r.text) for r in items.where(F.col("block") == k).select("item_id", "text").collect()]
+    if n == 1:
+        return _search(rows, block(0), shard_words)
+    found = written(_search(rows, block(0), shard_words), "spans")
+    for k in range(1, n):
+        found = found.unionByName(written(_search(rows, block(k), shard_words), "spans"))
 
     merge = F.pandas_udf(lambda s: s.map(lambda x: merge_spans(np.array([list(p) for p in x], np.int64).reshape(-1, 2))), "array<array<bigint>>")
-    found = written(found, "spans").groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return found.withColumn("spans", merge("spans"))
 
 

@@ -39,7 +39,7 @@ def test_against_brute_force(spark, shard):
 def test_blocks_of_items(spark):
     docs, items = corpus()
     docs = list(dict(docs).items())
-    got = found(dc.contamination(docs_of(spark, docs), frame(spark, items), item_words=30).select(COLUMNS))
+    got = found(dc.contamination(docs_of(spark, docs), frame(spark, items), item_bytes=300).select(COLUMNS))
     assert got == sorted(dc.brute_force(docs, items), key=str)
 
 
