@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..registry import LEGACY_LABELS
 
-#: The white space that keys are collapsed on: all of Unicode's and the ASCII separators.
-SPACES = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_OTHER = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The white space that keys are collapsed on, all of Unicode's and the ASCII separators; a lone
+#: space already is what it should be and isn't matched.
+SPACES = rf"[{_OTHER}][ {_OTHER}]*| [ {_OTHER}]+"
 #: What ends a line in a response.
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -20,10 +22,8 @@ def norm_key(value: Column) -> Column:
 
 def fix_label(label: Column, legacy: dict[str, str] = LEGACY_LABELS) -> Column:
     """Labels of older files as they are called now."""
-    fixed = label
-    for old, new in legacy.items():
-        fixed = F.when(label == old, new).otherwise(fixed)
-    return fixed
+    renamed = F.create_map(*(F.lit(x) for pair in legacy.items() for x in pair))
+    return F.coalesce(F.try_element_at(renamed, label), label)
 
 
 def numeric_id(value: Column) -> Column:

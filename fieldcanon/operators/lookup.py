@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fix_label, norm_key
 from ..registry import KEEP, LEGACY_LABELS, field_table, resolution_table
+from ..sources.storage import written
 
 COLUMNS = ["field_key", "tier", "country", "raw", "std"]
 JSON_SCHEMA = "map<string, struct<consistent: map<string, string>, by_country: map<string, map<string, string>>>>"
@@ -19,9 +20,12 @@ JSON_SCHEMA = "map<string, struct<consistent: map<string, string>, by_country: m
 def master_triples(master: DataFrame, legacy: dict[str, str] = LEGACY_LABELS, keep_empty_std: bool = False) -> DataFrame:
     """Distinct normalised ``field_key, country, raw, std`` of a master mapping.
 
-    Rows without a raw value or a label are left out (the audit keeps labels of blanks only).
+    Rows without a raw value or a label are left out (the audit keeps labels of blanks only). A
+    mapping repeats itself: its distinct rows are written first, so that texts are normalised
+    once each and not for every row.
     """
-    rows = master.where("raw is not null and std is not null").select(
+    distinct = master.where("raw is not null and std is not null").select("field_key", "country", "raw", "std").distinct()
+    rows = written(distinct, "master").select(
         "field_key", norm_key(F.col("country")).alias("country"), norm_key(F.col("raw")).alias("raw"), fix_label(norm_key(F.col("std")), legacy).alias("std")
     )
     rows = rows.where("raw <> ''")
