@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,8 +62,10 @@ def _ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 
 def transitions(string: str) -> np.ndarray:
+    """The pairs of neighbouring symbols, as numbers; other characters stand between strings."""
     codes = _CODE[np.frombuffer(string.encode("ascii"), np.uint8)]
-    return codes[:-1] * _N + codes[1:]
+    pairs = codes[:-1] * _N + codes[1:]
+    return pairs[(codes[:-1] >= 0) & (codes[1:] >= 0)]
 
 
 def random_strings(n: int = FIT_RANDOM, seed: int = 11) -> list[str]:
@@ -112,13 +113,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
         part = part.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * rows / total))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counter()
+        counts = np.zeros((2, _N * _N), np.int64)
         for batch in batches:
             for text in batch["text"]:
-                for (label, string), n in Counter(labelled_strings(text)).items():
-                    for t in transitions(string).tolist():
-                        counts[label, t] += n
-        yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["label", "pair", "n"])
+                strings: tuple[list[str], list[str]] = ([], [])
+                for label, string in labelled_strings(text):
+                    strings[label].append(string)
+                for k in (0, 1):
+                    counts[k] += np.bincount(transitions("\n".join(strings[k])), minlength=_N * _N)
+        label, pair = np.nonzero(counts)
+        yield pd.DataFrame({"label": label.astype(bool), "pair": pair, "n": counts[label, pair]})
 
     counts = np.zeros((2, _N * _N))
     for r in part.select("text").mapInPandas(count, "label boolean, pair bigint, n bigint").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
