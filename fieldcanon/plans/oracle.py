@@ -40,6 +40,20 @@ def any_keyword(column: str, words) -> str:
     return "(" + " or ".join(([any_within(column, phrases)] if phrases else []) + ([any_word(column, single)] if single else [])) + ")"
 
 
+def whole_counts(sql: str) -> str:
+    """``count_if`` gives a wider integer than Spark's; windows are left alone."""
+    out, at = "", 0
+    for m in re.finditer(r"count_if\(", sql):
+        end, depth = m.end(), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        if not sql[end:].startswith(" over"):
+            out += sql[at : m.start()] + f"cast({sql[m.start():end]} as bigint)"
+            at = end
+    return out + sql[at:]
+
+
 RAW = f"""raw_values as (
     select o_orderkey as row_id, {items(derived.COUNTRY_IDS)}[c_nationkey % 15 + 1] as countryId, {items(derived.FIELD_TYPES)}[o_orderkey % 8 + 1] as fieldType,
            case o_orderkey % 13 when 0 then null when 1 then '   ' when 2 then '  ' || base || ' ' when 3 then replace(base, ' ', '  ') when 4 then upper(base) else base end as inputText
@@ -293,3 +307,4 @@ ORACLE_SQL: dict[str, str] = {
     "rules_brn": rules_sql("brn_type"),
     "rules_legal_form": rules_sql("business_legal_form"),
 }
+ORACLE_SQL = {name: whole_counts(sql) for name, sql in ORACLE_SQL.items()}
