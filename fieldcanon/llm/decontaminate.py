@@ -175,7 +175,7 @@ def _hits(numbered: list[np.ndarray], windows: Windows) -> tuple[np.ndarray, np.
     return doc, at - starts[doc], window
 
 
-def _found(ids: list, numbered: list[np.ndarray], windows: Windows) -> pd.DataFrame:
+def _found(rows: list[int], ids: list, numbered: list[np.ndarray], windows: Windows) -> pd.DataFrame:
     doc, first, window = _hits(numbered, windows)
     by_doc = np.argsort(doc, kind="stable")
     cuts = np.searchsorted(doc[by_doc], np.arange(len(ids) + 1))
@@ -184,7 +184,7 @@ def _found(ids: list, numbered: list[np.ndarray], windows: Windows) -> pd.DataFr
         mine = by_doc[cuts[k] : cuts[k + 1]]
         spans.append(merge_spans(np.stack((first[mine], first[mine] + windows.lengths[window[mine]]), axis=1)))
         items.append(sorted({int(i) for w in set(window[mine].tolist()) for i in windows.owners[w]}))
-    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": [len(x) for x in numbered], "spans": spans, "items": items})
+    return pd.DataFrame({"row": rows, "doc_id": pd.array(ids, "Int64"), "n_words": [len(x) for x in numbered], "spans": spans, "items": items})
 
 
 def merge_spans(spans: np.ndarray) -> list[list[int]]:
@@ -198,25 +198,26 @@ def merge_spans(spans: np.ndarray) -> list[list[int]]:
     return merged
 
 
-_SPANS = "doc_id bigint, n_words bigint, spans array<array<bigint>>, items array<bigint>"
+_SPANS = "row bigint, doc_id bigint, n_words bigint, spans array<array<bigint>>, items array<bigint>"
 
 
 def _search(docs: DataFrame, items: list[tuple[int, str | None]], shard_words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows = Windows(items)
         number = windows.vocabulary.get
-        ids, numbered, size = [], [], 0
+        rows, ids, numbered, size = [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for row, doc, text in zip(batch["row"], batch["doc_id"], batch["text"]):
                 words = words_of(text)
+                rows.append(int(row))
                 ids.append(None if pd.isna(doc) else int(doc))
                 numbered.append(np.fromiter((number(w, 0) for w in words), np.int64, len(words)))
                 size += len(words)
                 if size >= shard_words:
-                    yield _found(ids, numbered, windows)
-                    ids, numbered, size = [], [], 0
+                    yield _found(rows, ids, numbered, windows)
+                    rows, ids, numbered, size = [], [], [], 0
         if ids:
-            yield _found(ids, numbered, windows)
+            yield _found(rows, ids, numbered, windows)
 
     return docs.mapInPandas(run, _SPANS)
 
@@ -234,24 +235,25 @@ def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
 
     ``spans`` are the merged word spans (end exclusive) of benchmark windows, ``items`` the ids
     whose windows occur. Only a benchmark of ``item_bytes`` bytes at most goes to the tasks as a
-    whole; a larger one is searched block by block, and the blocks' spans are merged by document.
-    Null and empty texts have no words. Items without words or id are never found. Rows that
-    repeat a doc_id are judged each; only when a benchmark needs several blocks must doc_id be
-    unique.
+    whole; a larger one is searched block by block. The rows are then numbered and written first,
+    and the blocks' spans are merged by that number. Null and empty texts have no words. Items
+    without words or id are never found. Rows without a doc_id and rows that repeat one are
+    judged each, whatever the benchmark's size.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     items, n = _blocks(benchmark, item_col, item_text_col, item_bytes)
     block = lambda k: [(r.item_id, r.text) for r in items.where(F.col("block") == k).select("item_id", "text").collect()]
     if n == 1:
-        return _search(rows, block(0), shard_words)
+        return _search(rows, block(0), shard_words).drop("row")
+    rows = written(rows, "rows")  # so that a row has the same number in every block's search
     found = written(_search(rows, block(0), shard_words), "spans")
     for k in range(1, n):
         found = found.unionByName(written(_search(rows, block(k), shard_words), "spans"))
 
     merge = F.pandas_udf(lambda s: s.map(lambda x: merge_spans(np.array([list(p) for p in x], np.int64).reshape(-1, 2))), "array<array<bigint>>")
-    found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.withColumn("spans", merge("spans"))
+    found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.withColumn("spans", merge("spans")).drop("row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

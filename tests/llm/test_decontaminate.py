@@ -43,6 +43,13 @@ def test_blocks_of_items(spark):
     assert got == sorted(dc.brute_force(docs, items), key=str)
 
 
+def test_blocks_judge_every_row(spark):
+    docs, items = corpus()  # with a repeated row
+    docs += [(None, docs[20][1]), (None, docs[21][1]), (None, None), (9, docs[22][1]), (9, "clean")]
+    got = found(dc.contamination(docs_of(spark, docs), frame(spark, items), item_bytes=300).select(COLUMNS))
+    assert got == sorted(dc.brute_force(docs, items), key=str)
+
+
 def test_empty_tables(spark):
     assert dc.contamination(docs_of(spark, []), frame(spark, [(1, "a b")])).count() == 0
     (row,) = dc.contamination(docs_of(spark, [(1, "a b")]), frame(spark, [])).collect()
