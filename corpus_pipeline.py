@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldcanon.llm.common import table, written
@@ -40,7 +42,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left."""
+    """Pack what is left, by its tokens."""
+    import public_tokenizers
+
+    return packed(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+
+
+def pack_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left, with words for tokens."""
     return packed(docs)
 
 
@@ -56,8 +65,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, last: Callable[[SparkSession, DataFrame, str], DataFrame] = pack_words) -> DataFrame:
+    """All stages, with ``last`` for packing: by words, which needs no tokenizer file, or ``pack``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return last(spark, docs, sf_dir)
+
+
+def run_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered query: all of ``STAGES``."""
+    return run(spark, sf_dir, pack)

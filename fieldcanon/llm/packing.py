@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import small_batches, text_of, written
 from .exact import normalised
+from .tokens import token_count
 
-#: Tokens of a bin: words, and one for the end of each document.
+#: Tokens of a bin, with one for the end of each document.
 CAPACITY = 2048
 #: Documents of a shard, on average.
 SHARD_ROWS = 4000
@@ -113,16 +114,23 @@ def word_length(text_col: str = "text") -> Column:
     return F.when(text == "", 1).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 2).cast("bigint")
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, tokenizer: str | None = None) -> DataFrame:
     """Return ``doc_id, piece, length, bin, offset``: where each piece of each document goes.
 
+    Lengths are tokens of the file at ``tokenizer``, which every worker can read, and one for the
+    document's end. Without a file, words between ASCII white space stand for tokens.
     Documents of more than ``capacity`` tokens fill bins of their own, and the rest of them is
     packed like any other; nothing is cut off. A duplicate cluster is a normalised text. Null
     and empty texts take one token. Rows that repeat a doc_id are packed each. An empty table
     gives an empty result.
     """
     cluster = F.xxhash64(normalised(text_col))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), word_length(text_col).alias("length"))
+    if tokenizer is None:
+        length = word_length(text_col)
+    else:
+        small_batches(docs.sparkSession)
+        length = token_count(tokenizer, text_of(text_col)) + 1
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), length.alias("length"))
     rows = written(rows, "lengths")
     shards = max(1, round(rows.count() / shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(shards)))

@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -109,6 +109,18 @@ def counter_for(path: str) -> Callable[[str | None], int]:
     return count
 
 
+def token_count(tokenizer: str, text: Column) -> Column:
+    """The tokens of ``text`` by the tokenizer file, as a column."""
+
+    @F.pandas_udf(LongType())
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = counter_for(tokenizer)
+        for batch in texts:
+            yield batch.map(one).astype("int64")
+
+    return count(text)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """Return ``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
@@ -117,12 +129,5 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Repeated rows, null ids and ids of any type are kept as they are.
     """
     small_batches(docs.sparkSession)
-
-    @F.pandas_udf(LongType())
-    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = counter_for(tokenizer)
-        for batch in texts:
-            yield batch.map(one).astype("int64")
-
     text = text_of(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), count(text).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), token_count(tokenizer, text).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)

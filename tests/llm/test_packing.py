@@ -3,7 +3,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from fieldcanon.llm import packing
+import corpus_pipeline
+from fieldcanon.llm import packing, queries, tokens
 from fieldcanon.llm.exact import normalised
 
 
@@ -63,6 +64,25 @@ def test_packed(spark, shard_rows):
         assert len(own) == len(set(own))
 
 
+def test_lengths_are_tokens(spark, tmp_path):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    count = tokens.counter_for(path)
+    texts = [None, "", "日本語テキスト" * 60, "unverständliche " * 90, "a b c", "it's 3,000\x1cx"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "'s' as source")
+    got = packing.packed(docs, capacity=100, tokenizer=path).collect()
+    lengths, bins = Counter(), Counter()
+    for r in got:
+        lengths[r.doc_id] += r.length
+        bins[r.bin] += r.length
+    assert lengths == {i: count(t) + 1 for i, t in enumerate(texts)} and max(bins.values()) <= 100
+    assert lengths[2] > 100 and lengths[3] > 200  # texts that are 2 and 91 words are split
+
+    docs.selectExpr("*", "'en' as lang", "0L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    by_tokens = {r.doc_id: r.length for r in queries.op7_packing(spark, str(tmp_path)).collect()}
+    assert by_tokens == lengths
+    assert {r.doc_id: r.length for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == lengths
+
+
 def test_sources_keep_to_their_share():
     docs = [(10, "hot", None)] * 50 + [(10, f"s{k}", None) for k in range(50)]
     bits = packing.conflict_bits(docs, 100)
