@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stats import RECORD
+from .storage import exists
 
 # Headers of the raw-value column and of the country column; texts that mean "missing".
 VALUE_HEADERS = ("value", "raw value", "raw_value", "raw", "input", "inputs", "raw input", "original value", "original", "raw values")
@@ -91,10 +92,7 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "er
 
 
 def _or_empty(spark: SparkSession, path: str, schema: str, read) -> DataFrame:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    return read(path)
+    return read(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def append_record(record: DataFrame, path: str) -> None:
