@@ -1,26 +1,40 @@
-"""What the operators of this subpackage share: tables, shared storage and text columns."""
+"""What the operators of this subpackage share: tables, shared storage, text columns and row keys."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
 
-__all__ = ["small_batches", "table", "text_of", "written"]
+__all__ = ["ROW", "first_of", "table", "text_of", "with_rows", "written"]
 
-#: Rows of an Arrow batch: texts can be long, so batches stay small in bytes.
-BATCH_ROWS = 1000
+#: The columns that ``with_rows`` adds.
+ROW = ("_row_file", "_row_at")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def text_of(name: str = "text") -> Column:
     """The text column with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def first_of(doc_id: str = "doc_id", row: str = "row") -> Column:
+    """What rows of a group are ranked by: ids before a missing id, smaller ids first, then the row."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(row).alias("row"))
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns ``ROW``, which name each row whatever its other columns hold.
+
+    They are the row's file and its place there, so every job that reads the table finds the same.
+    A table that isn't read from files is written first.
+    """
+    try:
+        return docs.select("*", F.col("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+    except AnalysisException:
+        return with_rows(written(docs, "rows"))

@@ -1,4 +1,8 @@
-"""Connected components of a distributed edge table by alternating large and small stars."""
+"""Connected components of a distributed edge table by alternating large and small stars.
+
+The smallest neighbours are written before they are joined, so that the join has a plain shuffle on
+either side and Spark can split a hub, whose edges all have one key, among tasks.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +15,13 @@ from .common import written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     joined = edges.join(least, "u")
     moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
