@@ -1,16 +1,15 @@
 """Token counts by byte-pair merging with a heap and a linked list.
 
 Only counts are made: a word's count is its number of initial symbols minus its merges. The
-merges come from a tokenizer file in the JSON form whose path is a parameter; every task reads
-it once.
+merges come from a tokenizer file in the JSON form whose path is a parameter; every Python worker
+reads it once and remembers the counts of words.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
-import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,16 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import small_batches, text_of
+from .common import text_of
 
 LIMIT = 2048
-#: Words whose counts a task remembers; all are forgotten when there are more.
-CACHE = 200_000
+#: Stretches of text whose counts a task remembers; all are forgotten when there are more.
+CACHE = 500_000
+#: A longer stretch is counted and forgotten.
+LONGEST = 64
 WORD_END = "</w>"
 
-#: The pre-tokenizer's pattern of the tokenizer file, and the same for lower-case ASCII.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
+#: Stretches of letters that all versions of Unicode agree on and that need no
+#: normalising, the pre-tokenizer's pattern for them in lower case, and what Python takes for white
+#: space between words but Unicode doesn't.
+SIMPLE = r"[!-~À-ÖØ-öø-įĲ-ſ]+"
+SIMPLE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def _byte_letters() -> list[str]:
@@ -37,66 +41,104 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
-def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
-    """How many symbols are left when the lowest-rank adjacent pair is merged until none is."""
-    n = left = len(symbols)
-    symbols = list(symbols)
-    after, before = [*range(1, n), -1], list(range(-1, n - 1))
-    heap = [(ranks[pair], i, pair) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, i, pair = heapq.heappop(heap)
-        j = after[i]
-        if j < 0 or symbols[i] != pair[0] or symbols[j] != pair[1]:
-            continue  # one of the two is merged already
-        symbols[i], symbols[j] = pair[0] + pair[1], ""
-        left -= 1
-        after[i] = after[j]
-        if after[i] >= 0:
-            before[after[i]] = i
-        for k in (before[i], i):
-            if k >= 0 and after[k] >= 0:
-                new = (symbols[k], symbols[after[k]])
-                if new in ranks:
-                    heapq.heappush(heap, (ranks[new], k, new))
-    return left
-
-
+class Merges:
+    """The merges of a tokenizer: symbols as numbers, the rank of a pair, and what it becomes."""
+
+    def __init__(self, pairs: list[tuple[str, str]], letters: list[str]):
+        numbers: dict[str, int] = {}
+        number = lambda s: numbers.setdefault(s, len(numbers))
+        self.inside = {x: number(x) for x in letters}
+        self.at_end = {x: number(x + WORD_END) for x in letters}
+        self.ranks = {number(a) << 32 | number(b): r for r, (a, b) in enumerate(pairs)}
+        self.becomes = [number(a + b) for a, b in pairs]
+
+    def left(self, word: str) -> int:
+        """How many symbols are left when the lowest-rank adjacent pair is merged until none is.
+
+        The heap holds rank and place in one number. An entry counts only while ``current`` has
+        its rank at its place; ``after`` and ``before`` link what is left.
+        """
+        n = left = len(word)
+        rank, becomes, push, pop = self.ranks.get, self.becomes, heapq.heappush, heapq.heappop
+        ids = list(map(self.inside.__getitem__, word))
+        ids[-1] = self.at_end[word[-1]]
+        current = [rank(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
+        heap = [r << 32 | i for i, r in enumerate(current) if r >= 0]
+        heapq.heapify(heap)
+        current.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            top = pop(heap)
+            r, i = top >> 32, top & 0xFFFFFFFF
+            if current[i] != r:
+                continue  # one of the two is merged already
+            gone = after[i]
+            after[i] = k = after[gone]
+            ids[i] = merged = becomes[r]
+            current[i] = current[gone] = -1
+            left -= 1
+            if k < n:
+                before[k] = i
+                r = current[i] = rank(merged << 32 | ids[k], -1)
+                if r >= 0:
+                    push(heap, r << 32 | i)
+            k = before[i]
+            if k >= 0:
+                r = current[k] = rank(ids[k] << 32 | merged, -1)
+                if r >= 0:
+                    push(heap, r << 32 | k)
+        return left
+
+
+class _Counts(dict):
+    """Remembered counts of words; others are counted when they are asked for."""
+
+    def __init__(self, count: Callable[[str], int]):
+        self.count = count
+
+    def __missing__(self, word: str) -> int:
+        n = self.count(word)
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = n
+        return n
+
+
+@functools.lru_cache(maxsize=2)
 def counter_for(path: str) -> Callable[[str | None], int]:
-    """A function that counts a text's tokens by the tokenizer file at ``path``."""
+    """A function that counts a text's tokens by the tokenizer file at ``path``.
+
+    A text is cut at white space, which no token crosses. A stretch of Latin letters is cut
+    further by the pattern of the file; any other is normalised and cut by the library itself, so that
+    letters are what the library's version of Unicode takes for letters.
+    """
     import re
 
     import regex
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    ranks = {(a, b): r for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])}
-    special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
-    marks = tuple(t["content"] for t in spec["added_tokens"])
     letters = _byte_letters()
-    pieces, ascii_pieces = regex.compile(PIECES), re.compile(ASCII_PIECES)
-    known: dict[str, int] = {}
+    merges = Merges([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]], letters)
+    library = Tokenizer.from_file(path)
+    marks = tuple(t["content"] for t in spec["added_tokens"])
+    special = regex.compile("|".join(regex.escape(m) for m in marks)) if marks else None
+    simple, simple_pieces, spaced = re.compile(SIMPLE).fullmatch, re.compile(SIMPLE_PIECES).findall, regex.compile(r"\p{White_Space}+")
+
+    pieces = _Counts(merges.left)  # by their letters
+
+    def count_stretch(stretch: str) -> int:
+        if not simple(stretch):
+            return sum(pieces[p] for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(stretch)))
+        return sum(pieces["".join([letters[b] for b in p.encode()])] for p in simple_pieces(stretch.lower()))
 
-    def count_word(word: str) -> int:
-        symbols = [letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        symbols[-1] += WORD_END
-        return merged_length(symbols, ranks)
+    stretches = _Counts(count_stretch)
 
     def count_plain(text: str) -> int:
-        if text.isascii():
-            words = ascii_pieces.findall(text.lower())
-        else:
-            # One character at a time: a capital sigma has no final form.
-            words = pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        total = 0
-        for word, n in Counter(words).items():
-            size = known.get(word)
-            if size is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                size = known[word] = count_word(word)
-            total += n * size
-        return total
+        words = spaced.split(text) if any(c in text for c in SEPARATORS) else text.split()
+        return sum(map(stretches.__getitem__, words))
 
     def count(text: str | None) -> int:
         if not text:
@@ -126,8 +168,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     ``tokenizer`` is the path of a tokenizer file that every worker can read. Special strings
     inside a text count as one token each; none are added. Null and empty texts have no tokens.
-    Repeated rows, null ids and ids of any type are kept as they are.
+    Repeated rows, null ids and ids of any type are kept as they are, an empty table gives an
+    empty result, and other columns are ignored whatever their names. Texts may be as long as a
+    row can be: a long word takes time by its length and a logarithm of it.
     """
-    small_batches(docs.sparkSession)
     text = text_of(text_col)
     return docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), token_count(tokenizer, text).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
