@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import first_of, text_of, written
 
 #: Counters of a Misra-Gries summary, and most digests that are broadcast.
 COUNTERS = 1024
@@ -54,26 +54,31 @@ def frequent(digests: DataFrame, k: int = COUNTERS) -> DataFrame:
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(k).select("digest")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """Return ``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Return ``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``, after
+    the columns ``keys``.
 
-    Texts are equal when identical after ``normalised``; null equals empty. The smallest doc_id
-    of a group stays. Rows that repeat a doc_id count each in ``group_size`` and share one
-    verdict. A null doc_id never stays while another row of its group has one; in a group of
-    null ids only, ``keep_id`` is null and ``kept`` true. Empty tables give empty results.
+    Texts are equal when identical after ``normalised``; null equals empty, and texts may be of
+    any length. Of each group exactly one row is kept: the one with the smallest doc_id, of those
+    that repeat it the first one read. A row without a doc_id is kept only in a group that has no
+    other; ``keep_id`` is then null. Every row counts in ``group_size``. Empty tables give empty
+    results; other columns are ignored, whatever their names.
     """
     digest = F.unhex(F.sha2(normalised(text_col), 256))
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest")), "digests")
+    rows = written(docs.select(*keys, F.col(id_col).alias("doc_id"), digest.alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
     hot = F.broadcast(frequent(rows, counters))
-    winners = rows.join(hot, "digest").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    least, size = F.min(first_of()), F.count("*")
+    winners = rows.join(hot, "digest").groupBy("digest").agg(least.alias("first"), size.alias("group_size"))
     winners = F.broadcast(written(winners, "winners"))
-    settled = rows.join(winners, "digest")
+    settled = rows.join(winners, "digest").select(*keys, "digest", "doc_id", "row", "first", "group_size")
+    # No digest is left that has more than a small share of the rows; the window spills.
     own = Window.partitionBy("digest")
-    rest = rows.join(winners, "digest", "left_anti").select("digest", "doc_id", F.min("doc_id").over(own).alias("keep_id"), F.count("*").over(own).alias("group_size"))
-    return settled.select("digest", "doc_id", "keep_id", "group_size").unionByName(rest).select(
+    rest = rows.join(winners, "digest", "left_anti").select(*keys, "digest", "doc_id", "row", least.over(own).alias("first"), size.over(own).alias("group_size"))
+    return settled.unionByName(rest).select(
+        *keys,
         "doc_id",
-        "keep_id",
+        F.col("first.doc_id").alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("row") == F.col("first.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
