@@ -1,23 +1,26 @@
 """Benchmark decontamination with an FM-index of every training shard.
 
-A shard is a bounded run of a partition's documents. Its words are numbered by the benchmark's
-vocabulary; stretches without a word of it can't hold a window, so only stretches that are long
-enough are indexed. Windows are searched backwards through the ranks of a wavelet matrix, all at
-once; their occurrences are located by walking back to sampled suffix positions; and the spans
-found are merged. Memory is bounded by the shard size, whatever the input.
+A shard is a bounded run of a partition's documents; a longer text is searched in pieces. Its words
+are numbered by the benchmark's vocabulary; stretches without a word of it can't hold a window, so
+only stretches that are long enough are indexed. Windows are searched backwards through the ranks of
+a wavelet matrix, all at once; their occurrences are located by walking back to sampled suffix
+positions; and the spans found are merged. Memory is bounded by the shard size and the size of a
+block of benchmark items, whatever the input.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import small_batches, text_of, written
+from .common import text_of, written
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 13
@@ -29,6 +32,8 @@ SHARD_WORDS = 1_000_000
 ITEM_BYTES = 16_000_000
 #: Every so many positions, the suffix array is kept.
 SAMPLE = 16
+#: Bytes of a text that are cut into words at a time, and windows that are searched at a time.
+TEXT_BYTES, SEARCHED = 4_000_000, 200_000
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -43,28 +48,63 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
+def word_numbers(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The text's words as numbers of the vocabulary, others as zero; words are made a bounded part
+    of the text at a time."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES)
+    parts, at = [], 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= TEXT_BYTES else data.find(b" ", at + TEXT_BYTES)
+        end = len(data) if end < 0 else end
+        words = data[at:end].split()
+        parts.append(np.fromiter(map(vocabulary.get, words, repeat(0)), np.int32, len(words)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
 class Windows:
-    """The distinct windows of some benchmark items, as numbers of their vocabulary (from 1)."""
+    """The distinct windows of some benchmark items (their texts), as numbers of their vocabulary
+    (from 1). Everything but the vocabulary is an array with an entry a word."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, texts: list[str | None]):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                owners.setdefault(tuple(ids[k : k + WINDOW]), set()).add(item)
-        self.owners = [np.array(sorted(x)) for x in owners.values()]
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.shortest = int(self.lengths.min()) if len(owners) else 0
-        #: Each row is a window read backwards; zeros follow its first word.
-        self.backwards = np.zeros((len(owners), WINDOW), np.int64)
-        for row, w in zip(self.backwards, owners):
-            row[: len(w)] = w[::-1]
+        number = self.vocabulary.setdefault
+        items = []
+        for text in texts:
+            items.append(np.fromiter((number(w, len(self.vocabulary) + 1) for w in words_of(text)), np.int32))
+        sizes = np.array([len(x) for x in items], np.int64)
+        counts = np.where(sizes > 0, np.maximum(1, sizes - WINDOW + 1), 0)
+        item = np.repeat(np.arange(len(items)), counts)
+        starts = np.cumsum(sizes) - sizes
+        first = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + starts[item]
+        length = np.minimum(sizes, WINDOW)[item]
+        self.words = np.concatenate([*items, np.zeros(WINDOW, np.int32)])
+        # Equal windows become neighbours in the order of a hash, and are told apart word by word.
+        code = length.astype(np.uint64)
+        for k in range(WINDOW):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + np.where(k < length, self.words[first + k], 0).astype(np.uint64)
+        order = np.lexsort((item, code))
+        first, length, self.item = first[order], length[order], item[order]
+        same = length[1:] == length[:-1]
+        for k in range(WINDOW):
+            same &= (k >= length[1:]) | (self.words[first[1:] + k] == self.words[first[:-1] + k])
+        self.groups = np.concatenate((np.flatnonzero(np.concatenate(([True], ~same))), [len(first)])) if len(first) else np.zeros(1, np.int64)
+        self.first, self.lengths = first[self.groups[:-1]], length[self.groups[:-1]]
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+
+    def backwards(self, a: int, b: int) -> np.ndarray:
+        """Windows a to b, a row each, read backwards; zeros follow the first word."""
+        k = self.lengths[a:b, None] - 1 - np.arange(WINDOW)
+        return np.where(k >= 0, self.words[self.first[a:b, None] + np.maximum(k, 0)], 0)
+
+    def owners(self, windows: np.ndarray) -> list[int]:
+        """The items, in order, that have one of the windows."""
+        return sorted({int(i) for w in set(windows.tolist()) for i in self.item[self.groups[w] : self.groups[w + 1]]})
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling. Zeros separate stretches and compare by place."""
-    n = len(symbols)
+    n, symbols = len(symbols), symbols.astype(np.int64)
     ends = np.flatnonzero(symbols == 0)
     rank = symbols + len(ends)
     rank[ends] = np.arange(len(ends))
@@ -147,12 +187,15 @@ class FMIndex:
         return out
 
 
-def _hits(numbered: list[np.ndarray], windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first word and window of every occurrence in a shard."""
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _hits(texts: list[np.ndarray], windows: Windows) -> Hits:
+    """Text, first word and window of every occurrence in a shard."""
     nothing = np.zeros(0, np.int64)
-    starts = np.cumsum([0, *(len(x) + 1 for x in numbered)])
-    line = np.zeros(starts[-1] + 1, np.int64)
-    for a, x in zip(starts, numbered):
+    starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    line = np.zeros(starts[-1] + 1, np.int32)
+    for a, x in zip(starts, texts):
         line[a : a + len(x)] = x
     # Stretches of words of the vocabulary, from the shortest window's length on.
     known = np.concatenate(([0], (line > 0).astype(np.int8), [0]))
@@ -160,31 +203,46 @@ def _hits(numbered: list[np.ndarray], windows: Windows) -> tuple[np.ndarray, np.
     begins, ends = edges[::2], edges[1::2]
     kept = ends - begins >= max(1, windows.shortest)
     begins, ends = begins[kept], ends[kept]
-    if not len(begins):
+    if not len(begins) or not len(windows.lengths):
         return nothing, nothing, nothing
     sizes = ends - begins + 1  # with the zero that ends it
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes) + np.repeat(begins, sizes)
     index = FMIndex(line[place], len(windows.vocabulary))
-    lo, hi = index.search(windows.backwards)
-    counts = hi - lo
-    window = np.repeat(np.arange(len(lo)), counts)
-    ranks = np.arange(len(window)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
-    at = place[index.locate(ranks)] if len(ranks) else nothing
-    doc = np.searchsorted(starts, at, "right") - 1
-    return doc, at - starts[doc], window
-
-
-def _found(rows: list[int], ids: list, numbered: list[np.ndarray], windows: Windows) -> pd.DataFrame:
-    doc, first, window = _hits(numbered, windows)
-    by_doc = np.argsort(doc, kind="stable")
-    cuts = np.searchsorted(doc[by_doc], np.arange(len(ids) + 1))
-    spans, items = [], []
-    for k in range(len(ids)):
-        mine = by_doc[cuts[k] : cuts[k + 1]]
-        spans.append(merge_spans(np.stack((first[mine], first[mine] + windows.lengths[window[mine]]), axis=1)))
-        items.append(sorted({int(i) for w in set(window[mine].tolist()) for i in windows.owners[w]}))
-    return pd.DataFrame({"row": rows, "doc_id": pd.array(ids, "Int64"), "n_words": [len(x) for x in numbered], "spans": spans, "items": items})
+    where, which = [nothing], [nothing]
+    for a in range(0, len(windows.lengths), SEARCHED):
+        lo, hi = index.search(windows.backwards(a, a + SEARCHED))
+        counts = hi - lo
+        window = np.repeat(np.arange(len(lo)), counts)
+        ranks = np.arange(len(window)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+        where.append(place[index.locate(ranks)] if len(ranks) else nothing)
+        which.append(window + a)
+    at = np.concatenate(where)
+    text = np.searchsorted(starts, at, "right") - 1
+    return text, at - starts[text], np.concatenate(which)
+
+
+def _long_hits(text: np.ndarray, windows: Windows, shard_words: int) -> Hits:
+    """The same for one text that is longer than a shard: pieces overlap by a window less a word."""
+    found = []
+    for a in range(0, len(text), shard_words):
+        _, first, window = _hits([text[a : a + shard_words + WINDOW - 1]], windows)
+        found.append((first + a, window))
+    first, window = (np.concatenate(x) for x in zip(*found))
+    return np.zeros(len(first), np.int64), first, window
+
+
+def _spans_and_items(hits: Hits, n: int, windows: Windows) -> list[tuple[list[list[int]], list[int]]]:
+    """The merged spans and the items of each of ``n`` texts."""
+    text, first, window = hits
+    by_text = np.argsort(text, kind="stable")
+    cuts = np.searchsorted(text[by_text], np.arange(n + 1))
+    out = []
+    for k in range(n):
+        mine = by_text[cuts[k] : cuts[k + 1]]
+        spans = merge_spans(np.stack((first[mine], first[mine] + windows.lengths[window[mine]]), axis=1)) if len(mine) else []
+        out.append((spans, windows.owners(window[mine]) if len(mine) else []))
+    return out
 
 
 def merge_spans(spans: np.ndarray) -> list[list[int]]:
@@ -198,28 +256,55 @@ def merge_spans(spans: np.ndarray) -> list[list[int]]:
     return merged
 
 
-_SPANS = "row bigint, doc_id bigint, n_words bigint, spans array<array<bigint>>, items array<bigint>"
-
+def _search(rows: DataFrame, items: list, texts: list[str | None], item_type, shard_words: int) -> DataFrame:
+    """Add ``n_words, spans, items`` to the rows in place of their column ``text``."""
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    schema = StructType(kept).add("n_words", LongType()).add("spans", ArrayType(ArrayType(LongType()))).add("items", ArrayType(item_type))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(texts)
+        names = np.array(items, object)
+        pending: list[pa.RecordBatch] = []  # rows of the shard, without their texts
+        shard: list[np.ndarray] = []
+        long: dict[int, tuple] = {}  # what was found in long texts
+        counts: list[int] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = _spans_and_items(_hits(shard, windows), len(shard), windows)
+            for k, x in long.items():
+                found[k] = x
+            table = pa.Table.from_batches(pending).combine_chunks()
+            more = (
+                pa.array(counts, pa.int64()),
+                pa.array([x for x, _ in found], pa.list_(pa.list_(pa.int64()))),
+                pa.array([names[x].tolist() for _, x in found]) if any(x for _, x in found) else pa.array([[]] * len(found), pa.list_(pa.null())),
+            )
+            for name, column in zip(("n_words", "spans", "items"), more):
+                table = table.append_column(name, column)
+            yield from table.to_batches()
 
-def _search(docs: DataFrame, items: list[tuple[int, str | None]], shard_words: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows = Windows(items)
-        number = windows.vocabulary.get
-        rows, ids, numbered, size = [], [], [], 0
         for batch in batches:
-            for row, doc, text in zip(batch["row"], batch["doc_id"], batch["text"]):
-                words = words_of(text)
-                rows.append(int(row))
-                ids.append(None if pd.isna(doc) else int(doc))
-                numbered.append(np.fromiter((number(w, 0) for w in words), np.int64, len(words)))
+            rest, at = batch.drop_columns(["text"]), 0
+            for k, text in enumerate(batch.column("text")):
+                words = word_numbers(text.as_py(), windows.vocabulary)
+                counts.append(len(words))
+                if len(words) > shard_words:
+                    long[len(shard)] = _spans_and_items(_long_hits(words, windows, shard_words), 1, windows)[0]
+                    words = words[:0]
+                shard.append(words)
                 size += len(words)
                 if size >= shard_words:
-                    yield _found(rows, ids, numbered, windows)
-                    rows, ids, numbered, size = [], [], [], 0
-        if ids:
-            yield _found(rows, ids, numbered, windows)
+                    pending.append(rest.slice(at, k + 1 - at))
+                    at = k + 1
+                    yield from flush()
+                    pending, shard, long, counts, size = [], [], {}, [], 0
+            if at < batch.num_rows:
+                pending.append(rest.slice(at))
+        if shard:
+            yield from flush()
 
-    return docs.mapInPandas(run, _SPANS)
+    return rows.mapInArrow(run, schema)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> tuple[DataFrame, int]:
@@ -230,42 +315,51 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> tu
     return items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n))), n
 
 
-def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """Return ``doc_id, n_words, spans, items`` for every row of ``docs``.
+def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, item_bytes: int = ITEM_BYTES, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Return ``doc_id, n_words, spans, items`` for every row of ``docs``, after the columns ``keys``.
 
     ``spans`` are the merged word spans (end exclusive) of benchmark windows, ``items`` the ids
-    whose windows occur. Only a benchmark of ``item_bytes`` bytes at most goes to the tasks as a
-    whole; a larger one is searched block by block. The rows are then numbered and written first,
-    and the blocks' spans are merged by that number. Null and empty texts have no words. Items
-    without words or id are never found. Rows without a doc_id and rows that repeat one are
-    judged each, whatever the benchmark's size.
+    whose windows occur, each once. Every row is judged by itself, whatever the benchmark's size:
+    rows without a doc_id, rows that repeat one, and ids of any type are passed through as they
+    are. Null and empty texts have no words; a text may be of any length. Items without words or
+    id are never found; items that repeat an id count as one. Empty tables give empty results or
+    rows without hits. Other columns are ignored, whatever their names.
+
+    Only a benchmark of ``item_bytes`` bytes at most goes to the tasks as a whole; a larger one is
+    searched block by block, each in a pass over the documents. The rows are then numbered and
+    written first, and the blocks' spans are merged by that number.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(*keys, F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     items, n = _blocks(benchmark, item_col, item_text_col, item_bytes)
-    block = lambda k: [(r.item_id, r.text) for r in items.where(F.col("block") == k).select("item_id", "text").collect()]
+    item_type = items.schema["item_id"].dataType
+
+    def search(of: DataFrame, k: int) -> DataFrame:
+        block = items.where(F.col("block") == k).select("item_id", "text").collect()
+        return _search(of, [r.item_id for r in block], [r.text for r in block], item_type, shard_words)
+
+    tidy = F.array_sort(F.array_distinct("items"))
     if n == 1:
-        return _search(rows, block(0), shard_words).drop("row")
-    rows = written(rows, "rows")  # so that a row has the same number in every block's search
-    found = written(_search(rows, block(0), shard_words), "spans")
+        return search(rows, 0).withColumn("items", tidy)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # so that a row has the same number in every block's search
+    found = written(search(rows, 0), "spans")
     for k in range(1, n):
-        found = found.unionByName(written(_search(rows, block(k), shard_words), "spans"))
+        found = found.unionByName(written(search(rows, k), "spans"))
 
     merge = F.pandas_udf(lambda s: s.map(lambda x: merge_spans(np.array([list(p) for p in x], np.int64).reshape(-1, 2))), "array<array<bigint>>")
-    found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.withColumn("spans", merge("spans")).drop("row")
+    same = [F.first(c).alias(c) for c in (*keys, "doc_id", "n_words")]
+    found = found.groupBy("row").agg(*same, F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return found.withColumn("spans", merge("spans")).withColumn("items", tidy).drop("row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Return ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans`` for every
-    row; see ``contamination_spans``. A document is contaminated if it has hit words and they
-    make up one in ``SHARE`` at least."""
+    row, after ``keys``; see ``contamination_spans``. A document is contaminated if it has hit
+    words and they make up one in ``SHARE`` at least."""
     found = contamination_spans(docs, benchmark, **options)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "spans").withColumn(
-        "contaminated", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words")
-    )
+    columns = [*options.get("keys", ()), "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "spans"]
+    return found.select(*columns).withColumn("contaminated", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words"))
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]]) -> list[tuple]:
