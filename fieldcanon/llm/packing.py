@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into sequences.
 
-Documents are dealt evenly to shards of bounded size by a hash, so that no source or cluster
-meets in one task. In a shard, bins are kept in order of their residual space, each with a
+Documents are dealt evenly to shards of bounded size by a hash of their row, so that no source,
+cluster or repeated row meets in one task. In a shard, bins are kept in order of their residual space, each with a
 bitmap of the sources and one of the duplicate clusters it holds. A document, longest first,
 goes to the tightest compatible bin: the search starts at the first bin that is large enough
 and steps to the next until the bitmaps don't meet.
@@ -12,11 +12,12 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from .common import small_batches, text_of, written
+from .common import text_of, written
 from .exact import normalised
 from .tokens import token_count
 
@@ -87,25 +88,26 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int = CAPACITY) -> li
     return placed
 
 
-def pack_shard(docs: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Pack one shard; columns ``shard, doc_id, source, cluster, length``."""
-    docs = docs.sort_values(["length", "doc_id", "cluster", "source"], ascending=[False, True, True, True], kind="stable", na_position="last")
-    rows = [(int(n), None if pd.isna(s) else s, None if pd.isna(c) else int(c)) for n, s, c in zip(docs["length"], docs["source"], docs["cluster"])]
+def pack_shard(docs: pa.Table, capacity: int) -> pa.Table:
+    """Pack one shard; columns ``shard, row, doc_id, source, cluster, length``."""
+    docs = docs.sort_by([("length", "descending"), ("row", "ascending")])
+    rows = list(zip(*(docs[c].to_pylist() for c in ("length", "source", "cluster"))))
     whole, rest = [], []  # full bins of long documents; what is left to pack
-    for doc, (n, _, _), bits in zip(docs["doc_id"], rows, conflict_bits(rows, capacity)):
+    for at, ((n, _, _), bits) in enumerate(zip(rows, conflict_bits(rows, capacity))):
         full, tail = divmod(n, capacity)
-        whole += [(doc, k, capacity) for k in range(full)]
+        whole += [(at, k, capacity) for k in range(full)]
         if tail:
-            rest.append((doc, full, tail, *bits))
+            rest.append((at, full, tail, *bits))
     rest.sort(key=lambda r: -r[2])
     placed = best_fit([r[2:] for r in rest], capacity)
     used = 1 + max((k for k, _ in placed), default=-1)
     out = [(d, p, n, k, at) for (d, p, n, _, _), (k, at) in zip(rest, placed)]
     out += [(d, p, n, used + i, 0) for i, (d, p, n) in enumerate(whole)]
-    found = pd.DataFrame(out, columns=["doc_id", "piece", "length", "bin", "offset"])
-    found["doc_id"] = found["doc_id"].astype("Int64")
-    found["bin"] += int(docs["shard"].iloc[0]) << 32
-    return found
+    at, piece, length, bins, offset = (list(x) for x in zip(*out))
+    base = docs["shard"][0].as_py() << 32
+    numbers = ([*piece], [*length], [base + k for k in bins], [*offset])
+    # The ids are taken over as they are, whatever their type.
+    return pa.table([docs["doc_id"].take(pa.array(at)), *(pa.array(x, pa.int64()) for x in numbers)], names=["doc_id", "piece", "length", "bin", "offset"])
 
 
 def word_length(text_col: str = "text") -> Column:
@@ -114,24 +116,28 @@ def word_length(text_col: str = "text") -> Column:
     return F.when(text == "", 1).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 2).cast("bigint")
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, tokenizer: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, tokenizer: str | None = None, cluster_col: str | None = None) -> DataFrame:
     """Return ``doc_id, piece, length, bin, offset``: where each piece of each document goes.
 
     Lengths are tokens of the file at ``tokenizer``, which every worker can read, and one for the
-    document's end. Without a file, words between ASCII white space stand for tokens.
-    Documents of more than ``capacity`` tokens fill bins of their own, and the rest of them is
-    packed like any other; nothing is cut off. A duplicate cluster is a normalised text. Null
-    and empty texts take one token. Rows that repeat a doc_id are packed each. An empty table
-    gives an empty result.
+    document's end. Without a file, words between ASCII white space stand for tokens. Documents of
+    more than ``capacity`` tokens, however long, fill bins of their own, and the rest of them is
+    packed like any other; nothing is cut off. Of equally long ones the first read comes first. A
+    duplicate cluster is a value of ``cluster_col``, such as the component of near duplicates, or
+    else a normalised text; a null cluster or source conflicts with nothing.
+
+    Null and empty texts take one token. Rows that repeat a doc_id or the whole row are packed each,
+    and ids of any type, null too, are passed through. Rows are dealt to shards by a number of their
+    own, so repeated rows don't meet in one. An empty table gives an empty result; other columns
+    are ignored, whatever their names.
     """
-    cluster = F.xxhash64(normalised(text_col))
-    if tokenizer is None:
-        length = word_length(text_col)
-    else:
-        small_batches(docs.sparkSession)
-        length = token_count(tokenizer, text_of(text_col)) + 1
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), length.alias("length"))
+    cluster = F.xxhash64(normalised(text_col)) if cluster_col is None else F.when(F.col(cluster_col).isNotNull(), F.xxhash64(cluster_col))
+    length = word_length(text_col) if tokenizer is None else token_count(tokenizer, text_of(text_col)) + 1
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), length.alias("length"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "lengths")
     shards = max(1, round(rows.count() / shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(lambda part: pack_shard(part, capacity), "doc_id bigint, piece bigint, length bigint, bin bigint, offset bigint")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    schema = StructType([rows.schema["doc_id"]])
+    for name in ("piece", "length", "bin", "offset"):
+        schema = schema.add(name, LongType())
+    return dealt.groupBy("shard").applyInArrow(lambda part: pack_shard(part, capacity), schema)
