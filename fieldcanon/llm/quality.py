@@ -1,9 +1,9 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Texts become weighted term vectors (character shapes, repeated words, hashed words), and a
-truncated singular value decomposition of the labelled ones gives the latent space. The labelled
-vectors go to every task; each document is compared exactly with all of them, in blocks, and its
-nearest neighbours vote with their similarity.
+Texts become weighted term vectors: words above all, and with half their weight the shapes of
+character runs and repeated words. A truncated singular value decomposition of the labelled ones
+gives the latent space. The labelled vectors go to every task; each document is compared exactly
+with all of them, in blocks, and its nearest neighbours vote with their similarity.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import text_of
 
 #: Most labelled rows of either class that the model is fitted on: the bound of what is broadcast.
 FIT_PER_CLASS = 1500
@@ -28,9 +28,12 @@ SHARPNESS = 8
 THRESHOLD = 0.7
 BLOCK = 1024
 
-SHAPES, LAGS, HASHED = 512, 8, 512
-WIDTH = SHAPES + LAGS + HASHED
-WEIGHTS = (1.0, 1.0, 0.4)
+#: Terms of each kind, words by hash, and the weights of the kinds.
+WORDS, SHAPES, LAGS = 2048, 512, 8
+WIDTH = WORDS + SHAPES + LAGS
+WEIGHTS = (1.0, 0.5, 0.5)
+#: Cosines are compared in steps of this, so that equal texts are equally near however they are batched.
+STEP = 1e-5
 
 _CLASSES = np.full(256, 6, np.uint16)  # other marks
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r\t", b".,;:?'\"-()")):
@@ -45,17 +48,17 @@ def term_vector(text: str | None) -> np.ndarray:
     words = data.split()
     if not words:
         return out
+    hashed = np.fromiter(map(zlib.crc32, data.lower().split()), np.uint32, len(words))
+    n = len(hashed)
+    out[:WORDS] = np.sqrt(np.bincount(hashed % WORDS, minlength=WORDS) / n) * WEIGHTS[0]
+    shapes, lags = out[WORDS : WORDS + SHAPES], out[WORDS + SHAPES :]
     c = _CLASSES[np.frombuffer(data, np.uint8)]
     if len(c) > 2:
         counts = np.bincount(c[:-2] * 64 + c[1:-1] * 8 + c[2:], minlength=SHAPES)
-        out[:SHAPES] = np.sqrt(counts[:SHAPES] / counts.sum()) * WEIGHTS[0]
-    hashed = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-    n = len(hashed)
+        shapes[:] = np.sqrt(counts / counts.sum()) * WEIGHTS[1]
     for lag in range(1, LAGS + 1):
         if n > lag:
-            out[SHAPES + lag - 1] = np.sqrt(np.count_nonzero(hashed[lag:] == hashed[:-lag]) / (n - lag)) * WEIGHTS[1]
-    counts = np.bincount(hashed % HASHED, minlength=HASHED)
-    out[SHAPES + LAGS :] = np.sqrt(counts / n) * WEIGHTS[2]
+            lags[lag - 1] = np.sqrt(np.count_nonzero(hashed[lag:] == hashed[:-lag]) / (n - lag)) * WEIGHTS[2]
     return out
 
 
@@ -88,12 +91,13 @@ class Model:
         return np.clip(scores, 0.0, 1.0)
 
     def _vote(self, rows: np.ndarray) -> np.ndarray:
-        near = rows @ self.vectors.T
+        """The share of label 1 in the votes of the nearest; those as near as the last one vote too."""
+        near = np.round((rows @ self.vectors.T).astype(np.float64) / STEP)
         k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        votes = np.clip(np.take_along_axis(near, best, axis=1), 0, None).astype(np.float64) ** SHARPNESS
+        last = np.partition(near, -k, axis=1)[:, -k, None]
+        votes = np.where(near >= last, np.clip(near * STEP, 0, None), 0) ** SHARPNESS
         total = votes.sum(axis=1)
-        return np.where(total > 0, (votes * self.labels[best]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
+        return np.where(total > 0, votes @ self.labels / np.where(total > 0, total, 1), self.prior)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -108,7 +112,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample. Labels other than 0 and 1, null ids, ids with different labels, and ids that
     ``docs`` lacks are left out. Without labelled rows all scores are 0.5.
     """
-    small_batches(docs.sparkSession)
     known = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where("label in (0, 1) and doc_id is not null")
@@ -122,25 +125,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     by_hash = lambda k: known.where(F.col("label") == k).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = F.broadcast(by_hash(0).unionByName(by_hash(1)))
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def terms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([term_vector(t) for t in batch], dtype=object)
+            yield pd.Series([term_vector(t).tobytes() for t in batch], dtype=object)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(chosen, "doc_id").select("doc_id", "label", terms("text").alias("terms"))
-    sample = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    # Of rows that repeat an id with different texts, the smallest vector counts, so that any order of rows gives the same.
+    sample = rows.groupBy("doc_id", "label").agg(F.min("terms").alias("terms")).toPandas().sort_values("doc_id")
     if sample.empty:
         empty = np.zeros((0, WIDTH), np.float32)
         return Model(np.ones(WIDTH, np.float32), np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), empty[:, :1], np.zeros(0), 0.5)
-    x = np.array(sample["terms"].tolist(), np.float32)
+    x = np.stack([np.frombuffer(t, np.float32) for t in sample["terms"]])
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x = x * idf
     mean = x.mean(axis=0)
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=False)
-    axes = np.ascontiguousarray(axes[:DIMENSIONS].T)
+    axes = latent_axes(x - mean)
     return Model(idf, mean, axes, _unit((x - mean) @ axes), sample["label"].to_numpy(np.float64), float(prior))
 
 
+def latent_axes(x: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The leading right singular vectors of ``x`` as columns, from the smaller of its two products
+    with itself. A vector's sign is that of its largest entry, as any sign would do."""
+    if len(x) >= x.shape[1]:
+        _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
+        axes = vectors[:, ::-1][:, :dimensions]
+    else:
+        values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
+        values, vectors = values[::-1][:dimensions], vectors[:, ::-1][:, :dimensions]
+        kept = values > max(values[0], 0) * 1e-9
+        axes = x.T @ (vectors[:, kept] / np.sqrt(values[kept])) if kept.any() else np.zeros((x.shape[1], 1))
+    return np.ascontiguousarray((axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])).astype(np.float32))
+
+
 def score_column(model: Model, text_col: str = "text") -> Column:
     """The score of each row's whole text as a column."""
 
@@ -155,9 +172,10 @@ def score_column(model: Model, text_col: str = "text") -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """Return ``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    A score reads the text only. Null texts are empty; texts without words get the share of
-    label 1 among the labelled rows. Repeated rows and null ids are kept (a null id is not held
-    out).
+    A score reads the text only, of any length. Null texts are empty; texts without words get the
+    share of label 1 among the labelled rows. Where several labelled documents are equally near,
+    all of them vote. Repeated rows and null ids are kept (a null id is not held out); an empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     model = fit(docs, labels, id_col, text_col, label_col)
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), score_column(model, text_col).alias("score"))
