@@ -14,10 +14,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
-from .common import small_batches, text_of, written
+from .common import ROW, text_of, with_rows, written
 
 MIN_WORDS = 50
 
@@ -31,11 +33,11 @@ CUTS = {
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def units_of(text: str, kind: str = "sentence") -> Iterator[tuple[int, int, int, int, int]]:
+def units_of(text: str, kind: str = "sentence") -> Iterator[tuple[int, int, int, int, bytes]]:
     """``unit, start, end, words, digest`` of each unit that has words, numbered from 0.
 
-    Words are what ASCII white space separates, A-Z in lower case; the digest is the XXH64 of
-    the words with single spaces.
+    Words are what ASCII white space separates, A-Z in lower case; the digest is the XXH3 of 128
+    bits of the words with single spaces.
     """
     import xxhash
 
@@ -45,41 +47,48 @@ def units_of(text: str, kind: str = "sentence") -> Iterator[tuple[int, int, int,
         words = piece.encode("utf-8", "surrogatepass").lower().split()
         if words:
             start += len(piece) - len(piece.lstrip(SPACES))
-            digest = xxhash.xxh64_intdigest(b" ".join(words))
-            yield k, start, start + len(piece.strip(SPACES)), len(words), digest - (digest >> 63 << 64)
+            yield k, start, start + len(piece.strip(SPACES)), len(words), xxhash.xxh3_128_digest(b" ".join(words))
             k += 1
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """Return the spans to remove: ``doc_id, start, end, n_units, n_words, first_doc_id``.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "sentence", min_words: int = MIN_WORDS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Return the spans to remove: ``doc_id, start, end, n_units, n_words, first_doc_id``, after the
+    columns ``keys``.
 
-    Offsets are code points of the original text, end exclusive; ``first_doc_id`` is the
-    document that keeps the span's first unit. Units rank by doc_id, then place; rows without a
-    doc_id are left as they are and keep nothing from others. Rows that repeat a doc_id with the
-    same text are one document (other texts under the same doc_id aren't supported). Null and
-    empty texts have no units; documents without repeats have no row.
+    Offsets are code points of the original text, end exclusive; ``first_doc_id`` is the document
+    that keeps the span's first unit. Units rank by doc_id, of rows that repeat one in the order
+    read, then by place. Rows without a doc_id come last: they keep what no other row has. Null and
+    empty texts have no units; texts may be of any length; documents without repeats have no row. An
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession)
+    id_type = docs.schema[id_col].dataType
+    schema = StructType().add("row", LongType()).add("doc_id", id_type).add("unit", IntegerType()).add("start", LongType()).add("end", LongType()).add("words", IntegerType()).add("digest", BinaryType())
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, *u) for doc, text in zip(batch["doc_id"], batch["text"]) for u in units_of(text, kind)]
-            yield pd.DataFrame(rows, columns=["doc_id", "unit", "start", "end", "words", "digest"])
-
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).where("doc_id is not null")
-    units = written(source.mapInPandas(cut, "doc_id bigint, unit int, start bigint, end bigint, words int, digest bigint"), "units")
-    # Digests of equal length only are the same: that makes 64 bits go further.
-    first = units.groupBy("digest", "words").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+            found = [(k, *u) for k, text in enumerate(batch.column("text").to_pylist()) for u in units_of(text, kind)]
+            at, unit, start, end, words, digest = zip(*found) if found else [()] * 6
+            at = pa.array(at, pa.int64())
+            numbers = (pa.array(unit, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(words, pa.int32()), pa.array(digest, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("doc_id").take(at), *numbers], names=schema.names)
+
+    rows = docs.select(*keys, F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    if keys:  # the rows' numbers must be those of the units
+        rows = written(rows, "rows")
+    units = written(rows.select("row", "doc_id", "text").mapInArrow(cut, schema), "units")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "unit")
+    first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Written, so that the join below has a plain shuffle on either side and a line that is
     # everywhere can be split among tasks.
     first = written(first, "first")
-    later = units.join(first, ["digest", "words"]).where(F.struct("doc_id", "unit") > F.col("first"))
-    later = later.select("doc_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id")).dropDuplicates(["doc_id", "unit"])
-    run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))
-    return (
+    later = units.join(first, "digest").where((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")))
+    later = later.select("doc_id", "row", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"))
+    run = F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit"))
+    spans = (
         later.withColumn("run", run)
-        .groupBy("doc_id", "run")
+        .groupBy("row", "run")
         .agg(
+            F.first("doc_id").alias("doc_id"),
             F.min("start").alias("start"),
             F.max("end").alias("end"),
             F.count("*").alias("n_units"),
@@ -87,30 +96,35 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.min_by("first_doc_id", "unit").alias("first_doc_id"),
         )
         .where(F.col("n_words") >= min_words)
-        .drop("run")
     )
+    found = ["doc_id", "start", "end", "n_units", "n_words", "first_doc_id"]
+    return spans.join(rows.select("row", *keys), "row").select(*keys, *found) if keys else spans.select(found)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated spans cut out of the text column, all other columns as they are."""
-    spans = repeated_spans(docs, id_col, text_col, kind, min_words)
-    cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    """``docs`` with the repeated spans cut out of the text column, all other columns as they are.
+
+    Spans belong to rows, not to ids, so rows without a doc_id or with one that others have lose
+    their own spans only.
+    """
+    rows = with_rows(docs)
+    spans = repeated_spans(rows, id_col, text_col, kind, min_words, keys=ROW)
+    cuts = spans.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, places: pd.Series) -> pd.Series:
         out = []
         for text, spans_ in zip(texts, places):
             at, parts = 0, []
-            for s in spans_ if spans_ is not None else ():
+            for s in spans_:
                 parts.append(text[at : s["start"]])
                 at = s["end"] + (text[s["end"] : s["end"] + 1] in tuple(SPACES))  # and one space behind it
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    left, right = docs.alias("l"), cuts.alias("r")
-    joined = left.join(right, F.col(f"l.{id_col}").cast("bigint") == F.col("r.doc_id"), "left")
-    kept = [F.col(f"l.{c}") if c != text_col else F.when(F.col("r.cuts").isNull(), F.col(f"l.{c}")).otherwise(cut(F.coalesce(F.col(f"l.{c}"), F.lit("")), F.col("r.cuts"))).alias(c) for c in docs.columns]
-    return joined.select(*kept)
+    joined = rows.join(cuts, list(ROW), "left")
+    whole, some = joined.where("_cuts is null").select(docs.columns), joined.where("_cuts is not null")
+    return whole.unionByName(some.withColumn(text_col, cut(text_col, "_cuts")).select(docs.columns))
 
 
 #: DuckDB SQL of the registered query: cuts are marked with a character of their own.
