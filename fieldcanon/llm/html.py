@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import text_of
 
 # The classifier. Scores of tags and of words in class, id and role, inherited by all below.
 TAG_SCORES = {
@@ -48,19 +48,22 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style title textarea noscript template iframe svg math object canvas noembed noframes xmp".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag closes an open element of these, up to a container.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
 STOPS = frozenset("ul ol dl table tr select div article section body html nav aside footer header main form td th".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>|<[!?/][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Character references by number: leading zeros, and numbers beyond all characters.
+_ZEROS, _TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "inherited", "heading")
+    __slots__ = ("text", "linked", "node", "inherited", "heading")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], inherited: float, heading: bool):
-        self.text, self.linked, self.path, self.inherited, self.heading = text, linked, path, inherited, heading
+    def __init__(self, text: str, linked: int, node: int, inherited: float, heading: bool):
+        self.text, self.linked, self.node, self.inherited, self.heading = text, linked, node, inherited, heading
 
     def score(self) -> float:
         n = len(self.text)
@@ -68,6 +71,62 @@ class Block:
         return score + (SENTENCE if self.text[-1] in ".!?…。" else 0.0) + (HEADING if self.heading else 0.0)
 
 
+class Tree:
+    """The block elements of a page: each one's parent and depth; the page itself is 0."""
+
+    def __init__(self) -> None:
+        self.parent, self.depth = [0], [0]
+
+    def add(self, parent: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
+
+    def distance(self, a: int, b: int) -> int:
+        """Steps from one element to the other. Over neighbouring blocks they sum up to no more
+        than the tags between them."""
+        steps = 0
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            steps += 1
+        return steps
+
+
+class _Open:
+    """The open elements, from the outside in, with what all below them inherit. Where the last
+    element of a name is, is known without a search."""
+
+    __slots__ = ("tags", "node", "score", "article", "heading", "at")
+
+    def __init__(self) -> None:
+        self.tags, self.node, self.score, self.article, self.heading = [""], [0], [0.0], [False], [False]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: int, score: float) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.node.append(node)
+        self.score.append(score)
+        self.article.append(self.article[-1] or tag == "article")
+        self.heading.append(self.heading[-1] or tag in HEADINGS)
+
+    def last(self, tags: frozenset[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tags: frozenset[str], stops: frozenset[str]) -> None:
+        """Close the last element of one of the tags and all in it, unless a stop is further in."""
+        k = self.last(tags)
+        if not k or k < self.last(stops):
+            return
+        while len(self.tags) > k:
+            self.at[self.tags.pop()].pop()
+        for x in (self.node, self.score, self.article, self.heading):
+            del x[k:]
+
+
 def _own_score(tag: str, attributes: str, inside_article: bool) -> float:
     score = TAG_SCORES.get(tag, 0.0)
     if tag == "header" and inside_article:
@@ -84,81 +143,99 @@ def _own_score(tag: str, attributes: str, inside_article: bool) -> float:
     return score
 
 
-def blocks_of(page: str) -> list[Block]:
+def decoded(text: str) -> str:
+    """Character references as characters, white space as single spaces."""
+    if "&#" in text:
+        text = _TOO_LARGE.sub("\ufffd", _ZEROS.sub("&#", text))
+    return " ".join(html.unescape(text).split())
+
+
+def _tags(page: str) -> Iterator[tuple[str, int, str, str]]:
+    """``text, closing, name, attributes`` of each tag with the text before it; the last has no name.
+
+    Comments, declarations and elements without text of the page are passed over. A tag ends at the
+    first ``>`` outside quotes. If a quote is never closed, quotes no longer count from there on; a
+    ``<`` behind the last ``>`` is text. So no part of the page is read more than twice.
+    """
+    at, end, last = 0, len(page), page.rfind(">")
+    quotes = True
+    begin = 0  # of the text not given yet
+    skipped: list[str] = []  # text before what was passed over
+    while True:
+        at = page.find("<", at)
+        if at < 0 or (at > last and not page.startswith("<!--", at)):
+            break
+        if page.startswith("<!--", at):
+            skipped.append(page[begin:at])
+            at = page.find("-->", at + 4) + 3
+            begin = at = end if at == 2 else at
+            continue
+        m = _TAG.match(page, at)
+        if not m:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                skipped.append(page[begin:at])
+                begin = at = page.find(">", at) + 1
+            else:
+                at += 1
+            continue
+        close = _QUOTED.match(page, m.end()) if quotes else None
+        quotes = quotes and close is not None
+        stop = close.end() if close else page.find(">", m.end()) + 1
+        tag, attributes = m[2].lower(), page[m.end() : stop - 1]
+        yield "".join([*skipped, page[begin:at]]), bool(m[1]), tag, attributes
+        skipped.clear()
+        begin = at = stop
+        if not m[1] and tag in RAW_TAGS and not (attributes.endswith("/") and tag in ("svg", "math")):
+            found = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+            begin = at = (page.find(">", found.start()) + 1 or end) if found else end
+    yield "".join([*skipped, page[begin:]]), False, "", ""
+
+
+def blocks_of(page: str) -> tuple[list[Block], Tree]:
     """The page's blocks in order, with white space made single and references decoded."""
     blocks: list[Block] = []
-    # Open elements: tag, number, score with all above, whether an article is among them.
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    tree, stack = Tree(), _Open()
     parts: list[str] = []
-    links, number, in_link = 0, 0, 0
+    links, in_link = 0, 0
 
     def flush() -> None:
         nonlocal links
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = decoded("".join(parts))
             parts.clear()
             if text:
-                path = tuple(e[1] for e in stack if e[0] in BLOCK_TAGS)
-                blocks.append(Block(text, links, path, stack[-1][2], any(e[0] in HEADINGS for e in stack)))
+                blocks.append(Block(text, links, stack.node[-1], stack.score[-1], stack.heading[-1]))
         links = 0
 
-    def pop(tags: set[str] | frozenset[str], stops: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in stops:
-                return
-
-    def take(text: str) -> None:
-        nonlocal links
+    for text, closing, tag, attributes in _tags(page):
         if text:
             parts.append(text)
             if in_link:
                 links += len(text.strip())
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            take(page[at:])
-            break
-        take(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in BLOCK_TAGS:
+        block = tag in BLOCK_TAGS
+        if closing:
+            if block:
                 flush()
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            pop({tag}, frozenset() if tag in BLOCK_TAGS else BLOCK_TAGS)
-            continue
-        if tag in RAW_TAGS:
-            closing = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
-                at = closing.start() if closing else end
-                at = page.find(">", at) + 1 or end
-            continue
-        if tag == "br":
+            stack.close(frozenset([tag]), frozenset() if block else BLOCK_TAGS)
+        elif tag == "br":
             parts.append("\n")
-            continue
-        if tag in BLOCK_TAGS:
-            flush()
-            in_link = 0
-            pop({"p"}, STOPS)
-            if tag in CLOSES:
-                pop(CLOSES[tag], STOPS - CLOSES[tag])
-        if tag in VOID_TAGS:
-            continue
-        if tag == "a":
-            in_link += 1
-        number += 1
-        _, _, score, inside = stack[-1]
-        stack.append((tag, number, score + _own_score(tag, m[3], inside), inside or tag == "article"))
+        elif tag and tag not in RAW_TAGS:
+            if block:
+                flush()
+                in_link = 0
+                stack.close(frozenset(["p"]), STOPS)
+                if tag in CLOSES:
+                    stack.close(CLOSES[tag], STOPS - CLOSES[tag])
+            if tag in VOID_TAGS:
+                continue
+            if tag == "a":
+                in_link += 1
+            above = stack.node[-1]
+            stack.push(tag, tree.add(above) if block else above, stack.score[-1] + _own_score(tag, attributes, stack.article[-1]))
     flush()
-    return blocks
+    return blocks, tree
 
 
 def min_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -203,44 +280,37 @@ def min_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     return settled
 
 
-def _capacity(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    common = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        common += 1
-    return round(100 * SMOOTH / max(1, len(a) + len(b) - 2 * common))
-
-
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, int]]:
-    """Edges between neighbours, and between a block and the next one below the same parent."""
+def smoothness(blocks: list[Block], tree: Tree) -> list[tuple[int, int, int]]:
+    """Edges between neighbours, and between a block and the next one below the same parent; their
+    capacity falls with the distance in the tree."""
     edges, last = [], {}
+    capacity = lambda i, k: round(100 * SMOOTH / max(1, tree.distance(blocks[i].node, blocks[k].node)))
     for k, b in enumerate(blocks):
-        parent = b.path[:-1]
+        parent = tree.parent[b.node]
         if k:
-            edges.append((k - 1, k, _capacity(blocks[k - 1].path, b.path)))
+            edges.append((k - 1, k, capacity(k - 1, k)))
         if last.get(parent, k) < k - 1:
-            edges.append((last[parent], k, _capacity(blocks[last[parent]].path, b.path)))
+            edges.append((last[parent], k, capacity(last[parent], k)))
         last[parent] = k
     return edges
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by two line feeds."""
-    blocks = blocks_of(page or "")
+    blocks, tree = blocks_of(page or "")
     if not blocks:
         return ""
-    content = min_cut([round(100 * b.score()) for b in blocks], smoothness(blocks))
+    content = min_cut([round(100 * b.score()) for b in blocks], smoothness(blocks, tree))
     return "\n\n".join(b.text for b, keep in zip(blocks, content) if keep)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Return ``page_id, url, text, n_chars`` for every row of ``pages``.
 
-    Null and empty pages, and pages without content, have an empty text. Repeated rows, null ids
-    and null URLs are kept; other columns are ignored.
+    Null and empty pages, and pages without content, have an empty text. Pages may be of any length
+    and nested in any way: each takes time by its length. Repeated rows, null ids and null URLs are
+    kept; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def extract(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
