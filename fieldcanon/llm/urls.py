@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 # The vocabulary. One strict term rejects a URL, soft terms only together.
 STRICT = (
@@ -98,10 +97,12 @@ def url_verdicts(
 
     Of the rules that fit, the longest (host and path together; of equal ones the first given)
     decides, and ``rule`` is its name; without one ``rule`` is null and the vocabulary decides:
-    one strict term, or ``soft_hits`` different soft ones, in host and path (A-Z lower-cased)
-    block. Null URLs and those without ``://`` have empty host and path and are allowed.
+    one strict term, or ``soft_hits`` different soft ones, anywhere in the URL (A-Z lower-cased),
+    query and fragment included, block. URLs without ``://`` have empty host and path, and the
+    vocabulary judges them like any other; null and empty URLs are allowed. URLs may be of any
+    length. Repeated rows and null ids are kept; an empty table gives an empty result; other columns
+    are ignored, whatever their names.
     """
-    small_batches(pages.sparkSession)
 
     @F.pandas_udf("n_strict int, n_soft int")
     def counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -110,11 +111,12 @@ def url_verdicts(
             yield pd.DataFrame([count_terms(t, automaton) if automaton else (0, 0) for t in batch], columns=["n_strict", "n_soft"], dtype="int32")
 
     host, path = host_and_path(F.col(url_col).cast("string"))
-    split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    whole = F.coalesce(F.translate(F.col(url_col).cast("string"), _UPPER, _LOWER), F.lit(""))
+    split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), whole.alias("whole"))
     best = sorted(rules, key=lambda r: -len(r.name))
     verdict = F.coalesce(*(F.when(_fits(r), r.verdict) for r in best), F.lit(None).cast("string"))
     rule = F.coalesce(*(F.when(_fits(r), r.name) for r in best), F.lit(None).cast("string"))
-    judged = split.select("*", rule.alias("rule"), verdict.alias("by_rule"), counts(F.translate(F.concat("host", "path"), _UPPER, _LOWER)).alias("terms"))
+    judged = split.select("*", rule.alias("rule"), verdict.alias("by_rule"), counts("whole").alias("terms"))
     by_terms = F.when((F.col("terms.n_strict") > 0) | (F.col("terms.n_soft") >= soft_hits), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_terms).alias("verdict"), "terms.n_strict", "terms.n_soft")
 
@@ -127,9 +129,9 @@ def oracle_sql() -> str:
     by_rule = "case " + " ".join(f"when {f} then '{r.verdict}'" for f, r in zip(fits, ordered)) + " end"
     count = lambda terms: " + ".join(f"cast(regexp_matches(t, '(^|[^a-z0-9]){x}($|[^a-z0-9])') as int)" for x in terms)
     return f"""
-        with s as (select page_id, case when url is null or instr(url, '://') = 0 then '' else substr(url, instr(url, '://') + 3) end as rest from pages),
-        h as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from s),
-        c as (select *, {count(STRICT)} as n_strict, {count(SOFT)} as n_soft from (select *, translate(host || path, '{_UPPER}', '{_LOWER}') as t from h))
+        with s as (select page_id, translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}') as t, case when url is null or instr(url, '://') = 0 then '' else substr(url, instr(url, '://') + 3) end as rest from pages),
+        h as (select page_id, t, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from s),
+        c as (select *, {count(STRICT)} as n_strict, {count(SOFT)} as n_soft from h)
         select page_id, host, path, {rule} as rule,
                coalesce({by_rule}, case when n_strict > 0 or n_soft >= {SOFT_HITS} then 'block' else 'allow' end) as verdict, n_strict, n_soft
         from c"""
