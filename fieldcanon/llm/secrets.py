@@ -2,8 +2,9 @@
 
 Two first-order models, one of random strings and one of ordinary identifiers, give each long
 string of letters and digits a log-likelihood ratio. They are trained from labelled samples:
-secrets that the fixed patterns find and strings drawn at random on the one side, words of the
-documents and identifiers joined of them on the other.
+secrets that the fixed patterns find and strings drawn at random on the one side, the words of all
+documents and identifiers joined of them on the other. What is gathered are counts of pairs of
+symbols, which are bounded; what they count is every document.
 """
 
 from __future__ import annotations
@@ -17,11 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import text_of
 
 KINDS = ("assign", "access", "hex", "markov")
-#: Most documents (about) from which the models' samples are taken, dealt by a hash of their ids.
-FIT_ROWS = 20_000
 #: Strings drawn at random for the model of random strings.
 FIT_RANDOM = 4_000
 #: A string is a secret if the ratio reaches so many nats in all, and so many for each character.
@@ -36,7 +35,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-WORD = re.compile(r"[A-Za-z]{3,}")
+#: Letters of the shortest word that is counted.
+LEAST_WORD = 3
 
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, -1, np.int64)
@@ -75,18 +75,51 @@ def random_strings(n: int = FIT_RANDOM, seed: int = 11) -> list[str]:
     return ["".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(20, 48))) for i in range(n)]
 
 
-def labelled_strings(text: str) -> Iterator[tuple[bool, str]]:
-    """Samples in a text: secrets (True) by the fixed patterns; words and identifiers (False)."""
-    at, clear = 0, []
-    for start, end, _ in base_spans(text):
-        clear.append(text[at:start])
-        at = max(at, end)
-        yield from ((True, s) for s in re.findall(r"[A-Za-z0-9+/_=-]{6,}", text[start:end])[-1:])
-    words = WORD.findall(" ".join([*clear, text[at:]]))
-    yield from ((False, w) for w in words)
-    for k in range(0, len(words) - 3, 4):
-        a, b, c, d = words[k : k + 4]
-        yield False, ("_".join, "-".join, "/".join, "".join)[k // 4 % 4]([a.lower(), b.lower(), c.title() if k // 4 % 4 == 3 else c.lower(), d.lower()])
+def samples(texts: Iterator[str]) -> tuple[str, list[str]]:
+    """The texts without what the fixed patterns find, one a line; and the strings that they find."""
+    clear, secret = [], []
+    for text in texts:
+        at = 0
+        for start, end, _ in base_spans(text):
+            clear.append(text[at:start])
+            at = max(at, end)
+            secret += re.findall(r"[A-Za-z0-9+/_=-]{6,}", text[start:end])[-1:]
+        clear.append(text[at:])
+    return "\n".join(clear), secret
+
+
+def ordinary_counts(text: str) -> np.ndarray:
+    """Transitions of ordinary strings: the words of a text, and identifiers made of four words each,
+    joined by ``_``, ``-`` or ``/`` in lower case or written together with a capital third word."""
+    data = np.frombuffer(text.encode("ascii", "replace").replace(b"?", b"\n"), np.uint8)
+    codes = _CODE[data]
+    letter = np.concatenate(([False], (codes >= 0) & (codes < 52), [False]))
+    edges = np.flatnonzero(letter[1:] != letter[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    long = ends - starts >= LEAST_WORD
+    starts, ends = starts[long], ends[long]
+    inside = np.zeros(len(codes) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends - 1] -= 1
+    at = np.flatnonzero(np.cumsum(inside[:-1]))  # every letter of a word but the last
+    pair = lambda x, y: np.bincount(x * _N + y, minlength=_N * _N)
+    counts = pair(codes[at], codes[at + 1])
+    whole = len(starts) // 4 * 4
+    if not whole:
+        return counts
+    # Words in groups of four, their letters in lower case; the kind of identifier goes round.
+    small = np.where(codes >= 26, codes - 26, codes)
+    at = at[at < ends[whole - 1]]
+    counts += pair(small[at], small[at + 1])
+    first, last = small[starts[:whole]].reshape(-1, 4), small[ends[:whole] - 1].reshape(-1, 4)
+    kind = np.arange(whole // 4) % 4
+    for k, mark in enumerate("_-/"):
+        mine = kind == k
+        sign = np.full(3 * int(mine.sum()), _SYMBOLS.index(mark))
+        counts += pair(last[mine, :3].ravel(), sign) + pair(sign, first[mine, 1:].ravel())
+    mine = kind == 3
+    head = first[mine, 1:] + np.array([0, 26, 0])
+    return counts + pair(last[mine, :3].ravel(), head.ravel())
 
 
 def _chances(counts: np.ndarray) -> np.ndarray:
@@ -101,31 +134,24 @@ def ratios(random_counts: np.ndarray, ordinary_counts: np.ndarray) -> np.ndarray
     return np.log(_chances(random_counts) / _chances(ordinary_counts)).ravel()
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> np.ndarray:
-    """Train both models; return their log ratio for each pair of symbols.
+def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Train both models on all documents; return their log ratio for each pair of symbols.
 
-    Samples come from about ``rows`` documents whatever the input; the counts gathered are
-    bounded by the pairs of symbols.
+    Without documents only the strings drawn at random tell the models apart.
     """
-    total = docs.count()
-    part = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    if total > rows:
-        part = part.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * rows / total))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((2, _N * _N), np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                strings: tuple[list[str], list[str]] = ([], [])
-                for label, string in labelled_strings(text):
-                    strings[label].append(string)
-                for k in (0, 1):
-                    counts[k] += np.bincount(transitions("\n".join(strings[k])), minlength=_N * _N)
+            clear, secret = samples(batch["text"])
+            counts[0] += ordinary_counts(clear)
+            counts[1] += np.bincount(transitions("\n".join(secret)), minlength=_N * _N)
         label, pair = np.nonzero(counts)
         yield pd.DataFrame({"label": label.astype(bool), "pair": pair, "n": counts[label, pair]})
 
     counts = np.zeros((2, _N * _N))
-    for r in part.select("text").mapInPandas(count, "label boolean, pair bigint, n bigint").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
+    found = docs.select(text_of(text_col).alias("text")).mapInPandas(count, "label boolean, pair bigint, n bigint")
+    for r in found.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():  # at most two for each pair of symbols
         counts[int(r.label), r.pair] = r.n
     for s in random_strings():
         np.add.at(counts[1], transitions(s), 1)
@@ -138,13 +164,19 @@ def looks_random(string: str, model: np.ndarray) -> bool:
 
 
 def all_spans(text: str, model: np.ndarray) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """The base spans, and all spans: with candidates that look random and touch no base span."""
+    """The base spans, and all spans: with candidates that look random and touch no base span.
+
+    Candidates come in order and apart, so one pass over the base spans tells which are touched:
+    of those that begin before a candidate's end, the furthest end counts.
+    """
     base = base_spans(text)
-    more = [
-        (c.start(), c.end(), "markov")
-        for c in CANDIDATE.finditer(text)
-        if not any(a < c.end() and c.start() < b for a, b, _ in base) and looks_random(c[0], model)
-    ]
+    more, k, reach = [], 0, 0
+    for c in CANDIDATE.finditer(text):
+        while k < len(base) and base[k][0] < c.end():
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= c.start() and looks_random(c[0], model):
+            more.append((c.start(), c.end(), "markov"))
     return base, _ordered(base + more)
 
 
@@ -153,10 +185,11 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     ``spans`` are ``kind:start:end`` in code points, end exclusive, by start and then kind,
     comma-joined; ``base_sha256`` is the digest of the same for the fixed patterns alone. Null
-    is read as empty; texts without a secret have empty ``spans``. Repeated rows are kept.
+    is read as empty; texts without a secret have empty ``spans``, and texts may be of any length.
+    Repeated rows, null ids and ids of any type are kept as they are; an empty table gives an
+    empty result; other columns are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession)
-    model = fit(docs, id_col, text_col) if model is None else model
+    model = fit(docs, text_col) if model is None else model
 
     @F.pandas_udf("n_assign bigint, n_access bigint, n_hex bigint, n_markov bigint, base string, spans string")
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
