@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from fieldcanon.llm import decontaminate as dc
@@ -50,6 +51,39 @@ def test_blocks_judge_every_row(spark):
     assert got == sorted(dc.brute_force(docs, items), key=str)
 
 
+@pytest.mark.parametrize("block", [16_000_000, 20])
+def test_rows_keep_their_ids(spark, block):
+    rows = [(2**53 + 1, "a b"), (2**53 + 3, "q r s"), (None, "a b"), (1, "a b"), (1, "q r s"), (1, "q r s"), (2, "z")]
+    items = [(1, "a b"), (2, "q r s"), (3, "y y y y y"), (4, "x x x x x x x")]
+    for kind, named in (("bigint", lambda i: i), ("string", lambda i: i and f"id {i}")):
+        docs = spark.createDataFrame([(named(i), t) for i, t in rows], f"doc_id {kind}, text string").coalesce(1)
+        got = found(dc.contamination(docs, frame(spark, items), item_bytes=block).select("doc_id", "n_words", "n_hit"))
+        assert got == sorted(((named(i), len(t.split()), 0 if t == "z" else len(t.split())) for i, t in rows), key=str)
+
+
+def test_a_text_longer_than_a_shard(spark):
+    docs, items = corpus()
+    words = dc.words_of(" ".join(t or "" for _, t in docs))
+    long = [(1, b" ".join(words).decode()), (2, "a b c")]
+    got = found(dc.contamination(docs_of(spark, long), frame(spark, items), shard_words=100))
+    whole = found(dc.contamination(docs_of(spark, long), frame(spark, items)))
+    assert got == whole and got[0][2] > 500
+
+
+def test_items_with_text_ids(spark):
+    items = spark.createDataFrame([("b", "x y"), ("a", "x y"), ("a", "y z"), ("c", "n o n e")], "item_id string, text string")
+    (row,) = dc.contamination_spans(docs_of(spark, [(1, "w x y z")]), items).collect()
+    assert (row.spans, row["items"]) == ([[1, 4]], ["a", "b"])
+
+
+def test_windows_take_little_memory():
+    rng = random.Random(3)
+    windows = dc.Windows([" ".join(f"w{rng.randrange(5000)}" for _ in range(40_000)) for _ in range(4)] + ["w1 w2", "w1 w2"])
+    arrays = sum(x.nbytes for x in vars(windows).values() if hasattr(x, "nbytes"))
+    assert arrays < 40 * 160_000 and len(windows.lengths) > 159_000
+    assert windows.owners(np.array([k for k in range(len(windows.lengths)) if windows.lengths[k] == 2])) == [4, 5]
+
+
 def test_empty_tables(spark):
     assert dc.contamination(docs_of(spark, []), frame(spark, [(1, "a b")])).count() == 0
     (row,) = dc.contamination(docs_of(spark, [(1, "a b")]), frame(spark, [])).collect()

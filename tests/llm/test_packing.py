@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -90,5 +91,39 @@ def test_sources_keep_to_their_share():
     assert packing.conflict_bits([(1, None, 4), (1, None, 4), (1, None, 5)]) == [(0, 1), (0, 1), (0, 0)]
 
 
+def test_a_shard_against_brute_force():
+    rng = random.Random(14)
+    for _ in range(20):
+        docs = [(rng.choice([1, 5, 40, 60, 100, 130, 250]), rng.choice(["hot", "hot", "x", None]), rng.choice([None, 1, 2, *range(3, 40)])) for _ in range(rng.randint(1, 90))]
+        table = pa.table({"shard": [3] * len(docs), "row": list(range(len(docs))), "doc_id": [f"d{k}" for k in range(len(docs))], **dict(zip(("length", "source", "cluster"), map(list, zip(*docs))))})
+        got = {(r["doc_id"], r["piece"]): (r["length"], r["bin"], r["offset"]) for r in packing.pack_shard(table, 100).to_pylist()}
+        order = sorted(range(len(docs)), key=lambda k: (-docs[k][0], k))
+        bits = dict(zip(order, packing.conflict_bits([docs[k] for k in order], 100)))
+        rest = sorted((k for k in order if docs[k][0] % 100), key=lambda k: -(docs[k][0] % 100))
+        placed = slow_best_fit([(docs[k][0] % 100, *bits[k]) for k in rest], 100)
+        want = {(f"d{k}", docs[k][0] // 100): (docs[k][0] % 100, (3 << 32) + b, at) for k, (b, at) in zip(rest, placed)}
+        own = 1 + max((b for b, _ in placed), default=-1)
+        for k in order:
+            for piece in range(docs[k][0] // 100):
+                want[f"d{k}", piece] = (100, (3 << 32) + own, 0)
+                own += 1
+        assert got == want
+
+
+def test_repeated_rows_are_dealt_to_many_shards(spark):
+    docs = spark.range(20_000).selectExpr("cast(null as bigint) as doc_id", "'s' as source", "'a b c' as text")
+    sizes = Counter(r.bin >> 32 for r in packing.packed(docs, shard_rows=500).collect())
+    assert sum(sizes.values()) == 20_000 and len(sizes) == 40 and max(sizes.values()) < 700
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_ids_are_passed_through(spark, kind):
+    ids = ["b", "a", None] if kind == "string" else [2**53 + 1, 2**53 + 3, None]
+    docs = spark.createDataFrame([(i, "s", "a b", k % 2) for k, i in enumerate(ids)], f"doc_id {kind}, source string, text string, group bigint").coalesce(1)
+    assert sorted(map(str, (r.doc_id for r in packing.packed(docs).collect()))) == sorted(map(str, ids))
+    bins = {r.doc_id: r.bin for r in packing.packed(docs.withColumn("source", docs.doc_id.cast("string")), cluster_col="group").collect()}
+    assert bins[ids[0]] != bins[ids[2]]  # one cluster
+
+
 def test_nothing_to_pack(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id bigint, source string, text string")).count() == 0

@@ -3,8 +3,10 @@
 import importlib
 import random
 
+import public_tokenizers
+
 import corpus_pipeline
-from fieldcanon.llm import decontaminate, quality
+from fieldcanon.llm import decontaminate, quality, tokens
 
 from .test_dedup import slow_components, slow_exact, slow_fingerprint
 
@@ -54,22 +56,41 @@ def test_against_brute_force(spark, tmp_path):
     lengths: dict[int, int] = {}
     for r in got:
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
-    assert lengths == {i: len(t.split()) + 1 for i, t in left.items()}
+    count = tokens.counter_for(public_tokenizers.path("word_bpe_49k.json"))
+    assert lengths == {i: count(t) + 1 for i, t in left.items()}
+
 
+ODD = [
+    (None, None, None, None, None), (1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (1, "Another text", "en", "s", 3), (5, "a  b", "en", "s", 3), (2, None, None, None, 0), (3, "", "", "", 0),
+    (None, "x y z", None, None, 5), (None, "x y z", None, None, 5), (7, "a benchmark passage", "en", "s", 1), (7, "a clean text", "en", "s", 1), (None, "a benchmark passage", "en", "s", 1),
+    (2**53 + 1, "Unique words of one", "en", "s", 1), (2**53 + 3, "Other words of another", "en", "s", 1),
+]
 
-def test_stages_keep_the_columns_and_survive_odd_rows(spark, tmp_path):
+
+def stage(spark, tmp_path, name, rows):
     columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    for name, rows, schema in (
-        ("labels", [(1, 1, 0)], "doc_id bigint, quality int, toxic int"),
-        ("benchmark", [(None, "x"), (1, None)], "item_id bigint, text string"),
-    ):
-        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    for rows in ([], [(None, None, None, None, None), (1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (2, None, None, None, 0), (3, "", "", "", 0)]):
-        docs = spark.createDataFrame(rows, columns)
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            out = stage(spark, docs, str(tmp_path))
-            assert out.columns == docs.columns
-            assert {r.doc_id for r in out.collect()} <= {r[0] for r in rows}
+    if not (tmp_path / "labels.parquet").exists():
+        spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        spark.createDataFrame([(None, "x"), (1, None), (2, "benchmark passage")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, columns).coalesce(1)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    if name != "pack":
+        assert out.columns == docs.columns
+    return [tuple(r) for r in out.collect()]
+
+
+def test_stages_judge_rows_and_not_ids(spark, tmp_path):
+    same = lambda x: sorted(x, key=str)
+    for name in dict(corpus_pipeline.STAGES):
+        assert stage(spark, tmp_path, name, []) == []
+    # One label, for good: whatever has words is near it or gets its share.
+    assert same(stage(spark, tmp_path, "quality", ODD)) == same(ODD)
+    # One row of each text, the smallest id first, then the first row; null equals empty.
+    want = [ODD[1], ODD[3], ODD[5], ODD[7], ODD[9], ODD[10], ODD[12], ODD[13]]
+    assert same(stage(spark, tmp_path, "exact_dedup", ODD)) == same(want)
+    assert same(stage(spark, tmp_path, "near_dedup", ODD)) == same(want)
+    assert same(stage(spark, tmp_path, "decontaminate", ODD)) == same(r for r in ODD if "passage" not in (r[1] or ""))
+    assert same(r[0] for r in stage(spark, tmp_path, "pack", ODD)) == same(r[0] for r in ODD)
 
 
 def test_the_entry_module_has_all_queries():
@@ -77,3 +98,11 @@ def test_the_entry_module_has_all_queries():
     names = set(entry.queries())
     assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} <= {n.split("_")[0] + "_" for n in names}
     assert set(entry.oracle_sql()) <= names
+
+
+def test_a_run_folder_is_deleted(spark):
+    from fieldcanon.sources.storage import exists, run_folder, written
+
+    with run_folder(spark) as folder:
+        assert written(spark.range(3), "x").count() == 3 and exists(spark, folder)
+    assert not exists(spark, folder)
