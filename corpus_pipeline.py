@@ -2,57 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcanon.llm.common import table, written
+from fieldcanon.llm.common import ROW, table, with_rows, written
 from fieldcanon.llm.decontaminate import contamination
 from fieldcanon.llm.exact import exact_duplicates
 from fieldcanon.llm.packing import packed
 from fieldcanon.llm.quality import good_documents
 from fieldcanon.llm.simhash import near_duplicates
 
+# Stages judge rows, not ids: each row is named by its file and place there. So rows without a
+# doc_id and rows that repeat one, with the same text or another, are judged like any other.
+
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``dropped``, which are written first: Spark then knows their
-    size and broadcasts them only below its threshold."""
-    dropped = written(dropped.where("doc_id is not null").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` without the rows named in ``dropped``, which are written first: Spark then knows
+    their size and broadcasts them only below its threshold."""
+    return docs.join(written(dropped.select(*ROW), "dropped"), list(ROW), "left_anti").select(columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the classifier accepts."""
+    """Keep the documents that the classifier accepts.
+
+    Every row is judged by its text. Null and empty texts, which say nothing, get the share of
+    good ones among the labelled documents as their score. Without documents nothing is left.
+    """
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first of each group of equal texts."""
-    return _without(docs, exact_duplicates(docs).where("not kept"))
+    """Keep one document of each group of equal texts: the smallest doc_id, of those that repeat it
+    the first row; a row without a doc_id only where no other is. Null equals empty."""
+    rows = with_rows(docs)
+    return _without(rows, exact_duplicates(rows, keys=ROW).where("not kept"), docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs).where("doc_id <> component_id"))
+    """Keep one document of each group of near duplicates, chosen like that of equal texts. Null and
+    empty texts are near duplicates of each other."""
+    rows = with_rows(docs)
+    return _without(rows, near_duplicates(rows, keys=ROW).where("not kept"), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the contamination rule names."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Drop the documents that the contamination rule names. Null and empty texts, and all where the
+    benchmark has no words, stay."""
+    rows = with_rows(docs)
+    return _without(rows, contamination(rows, table(spark, sf_dir, "benchmark"), keys=ROW).where("contaminated"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left, by its tokens."""
+    """Pack what is left, by its tokens: every row, also one without text or doc_id."""
     import public_tokenizers
 
     return packed(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
-def pack_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left, with words for tokens."""
-    return packed(docs)
-
-
 STAGES = [
     ("quality", quality),
     ("exact_dedup", exact),
@@ -65,14 +70,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str, last: Callable[[SparkSession, DataFrame, str], DataFrame] = pack_words) -> DataFrame:
-    """All stages, with ``last`` for packing: by words, which needs no tokenizer file, or ``pack``."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Inside ``run_folder`` what is written between them is deleted at
+    the end."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return last(spark, docs, sf_dir)
-
-
-def run_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registered query: all of ``STAGES``."""
-    return run(spark, sf_dir, pack)
+    return STAGES[-1][1](spark, docs, sf_dir)
