@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAKS
+from ..sources.storage import written
 
-#: Positions of a range that is ranked in one task.
+#: Rows of a range that is ranked in one task.
 RANGE_ROWS = 100_000
 
 
@@ -16,20 +17,29 @@ def first_seen(rows: DataFrame, keys: list[str], order_column: str) -> DataFrame
     return rows.groupBy(*keys).agg(F.min(order_column).alias("first_row"))
 
 
+def in_ranges(rows: DataFrame, order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``_range``: Spark deals the rows in this order to ranges of about ``range_rows``, whose
+    borders it samples, so any spread of the columns gives even ranges. The result is written."""
+    rows = written(rows, "unranked")
+    n = max(1, -(-rows.count() // range_rows))
+    return written(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
 def ranked(rows: DataFrame, order_column: str, into: str = "position", within: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Add each row's position (from 1) in the order of a whole-number column with distinct values,
-    for each value of ``within`` if given.
+    """Add each row's position (from 1) in the order of a column with distinct values, for each value
+    of ``within`` if given.
 
-    Rows are ranked inside ranges of the column, and the numbers of rows in the ranges before
-    are added, so no task ranks the whole table.
+    Rows are ranked inside ranges, and the numbers of rows in the ranges before are added. So no
+    task ranks the whole table, and what is summed up is a row for each range and value of ``within``.
     """
     group = [within] if within else []
-    parts = rows.withColumn("_range", F.floor(F.col(order_column) / range_rows))
+    parts = in_ranges(rows, [*group, order_column], range_rows)
     sizes = parts.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(order_column))
-    return parts.withColumn("_rank", inside).join(offsets, [*group, "_range"]).withColumn(into, F.col("_rank") + F.col("_before")).drop("_rank", "_before", "_range")
+    joined = parts.withColumn("_rank", inside).join(offsets, [*group, "_range"])
+    return joined.withColumn(into, F.col("_rank") + F.col("_before")).drop("_rank", "_before", "_range")
 
 
 def display_text(raw: Column, country: Column) -> Column:

@@ -14,6 +14,8 @@ from ..registry import KEEP, LEGACY_LABELS, field_table, resolution_table
 from ..sources.storage import written
 
 COLUMNS = ["field_key", "tier", "country", "raw", "std"]
+#: Most entries of a field (about) in one JSON text.
+JSON_ENTRIES = 50_000
 JSON_SCHEMA = "map<string, struct<consistent: map<string, string>, by_country: map<string, map<string, string>>>>"
 
 
@@ -141,22 +143,23 @@ def save_lookup(lookup: DataFrame, path: str) -> None:
     lookup.select(COLUMNS).write.partitionBy("field_key").parquet(path)
 
 
-def to_json(lookup: DataFrame) -> DataFrame:
-    """One row a field: ``field_key, entry``, the entry as nested maps in JSON."""
-    pair = F.struct(F.col("raw"), F.col("std"))
-    general = lookup.where("tier = 'consistent'").groupBy("field_key").agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("consistent"))
-    own = (
-        lookup.where("tier = 'by_country'")
-        .groupBy("field_key", "country")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("answers"))
-        .groupBy("field_key")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("country", F.map_entries("answers").alias("answers"))))).alias("by_country"))
+def to_json(lookup: DataFrame, entries: int = JSON_ENTRIES) -> DataFrame:
+    """Rows ``field_key, part, entry``: entries of a field as nested maps in JSON.
+
+    A field of up to ``entries`` entries has one row; those of a larger one are dealt to as many
+    rows as it takes by a hash of the raw value. ``from_json`` reads them back together.
+    """
+    sizes = F.broadcast(lookup.groupBy("field_key").agg(F.ceil(F.count("*") / entries).alias("parts")))  # a row a field
+    dealt = lookup.join(sizes, "field_key").withColumn("part", F.pmod(F.xxhash64("raw"), F.col("parts")).cast("int"))
+    pair = F.struct("raw", "std")
+    maps = dealt.groupBy("field_key", "part", "tier", "country").agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("answers"))
+    own = F.array_sort(F.collect_list(F.when(F.col("tier") == "by_country", F.struct("country", F.map_entries("answers").alias("answers")))))
+    nested = maps.groupBy("field_key", "part").agg(
+        F.first(F.when(F.col("tier") == "consistent", F.col("answers")), ignorenulls=True).alias("consistent"),
+        F.transform_values(F.map_from_entries(own), lambda _, v: F.map_from_entries(v)).alias("by_country"),
     )
-    nested = F.transform_values("by_country", lambda _, v: F.map_from_entries(v))
-    empty = F.create_map().cast("map<string,string>")
-    none = F.create_map().cast("map<string,map<string,string>>")
-    entry = F.struct(F.coalesce("consistent", empty).alias("consistent"), F.coalesce(nested, none).alias("by_country"))
-    return general.join(own, "field_key", "full").select("field_key", F.to_json(entry).alias("entry"))
+    entry = F.struct(F.coalesce("consistent", F.create_map().cast("map<string,string>")).alias("consistent"), "by_country")
+    return nested.select("field_key", "part", F.to_json(entry).alias("entry"))
 
 
 def from_json(text: DataFrame, column: str = "value") -> DataFrame:

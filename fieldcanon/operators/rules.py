@@ -99,8 +99,12 @@ RULES: dict[str, tuple[Rule, ...]] = {
             CATCH_ALL,
             ("guardian", "parent", "legal guardian", "next of kin", "custodian", "members", "professional", "consultant", "advisor"),
         ),
-        ("word", "Root Business", ("business entity", "parent entity", "immediate parent", "ultimate parent", "global parent", "holding company", "parent company", "root entity")),
+        ("exact", "Root Business", ("company", "corporation", "legal entity", "corporate entity")),
+        ("word", "Root Business", ("corporate body", "body corporate", "parent structure", "business entity", "parent entity", "immediate parent", "ultimate parent", "global parent", "holding company", "parent company", "root entity")),
         ("exact", "Controller", ("managing partner", "managing director")),
+        ("exact", "Owner / Beneficial Owner", ("psc (person with significant control)",)),
+        # A person with significant control or the like where the control itself is spoken of.
+        ("pattern", "Controller", (r"(^|[^a-z0-9])(psc|isc)([^a-z0-9]|$).*control", r"(^|[^a-z0-9])(control|controlling) (psc|isc)([^a-z0-9]|$)")),
         (
             "word",
             "Owner / Beneficial Owner",
@@ -123,13 +127,16 @@ RULES: dict[str, tuple[Rule, ...]] = {
         ("exact", CATCH_ALL, ("unknown", "unknown program number", "swift bic code", "cage", "commercial and government entity code")),
         ("exact", "LEI", ("lei", "legal entity identifier")),
         ("exact", "VAT Number", ("fra vat number", "gb vat number", "gst / hst account number", "gst/hst account number")),
+        # On purpose wider than the seven countries that the rules list: any country's VAT number.
         ("pattern", "VAT Number", (r"^value added tax number( \([a-z]{2}\))?$",)),
         (
             "exact",
             "Charity Number",
-            ("gbr charity no", "office of scottish charity regulator charity number (gb)", "france national associations register identifier", "rna registration number"),
+            (
+                "gbr charity no", "charity commission for england & wales charity number (gb)", "charity commission of northern ireland charity number (gb)",
+                "office of scottish charity regulator charity number (gb)", "france national associations register identifier", "rna registration number",
+            ),
         ),
-        ("pattern", "Charity Number", (r"^charity commission (for england & wales|of northern ireland) charity number \(gb\)$",)),
         (
             "exact",
             "Proprietary / Third-party ID",
@@ -139,13 +146,13 @@ RULES: dict[str, tuple[Rule, ...]] = {
             "exact",
             "Tax ID Number",
             (
-                "tax id number", "input tax id", "tax id number - bn9", "cra business number", "corporate income tax account number", "federal business number", "canadian business number",
+                "tax id number", "input tax id", "tax id number - bn9", "cra business number", "cra business number incorporated in ns", "cra business number incorporated in bc",
+                "cra business number incorporated in sk", "cra business number, incorporated in ns", "cra business number, incorporated in bc", "cra business number, incorporated in sk", "corporate income tax account number", "federal business number", "canadian business number",
                 "can business number", "federal corporation number", "business identification number (bin)", "provincial business number", "mx rfc company", "cm nui tax reg num",
                 "arg partial cuit", "esp nif", "fiscal code (it)", "general record of taxpayers (br)", "cnpj", "cnpj basic", "cnpj number", "cnpj number - establishment", "bra cnpj",
                 "municipal registry number (br)", "state registry number (br)", "state registration number",
             ),
         ),
-        ("pattern", "Tax ID Number", (r"^cra business number,? incorporated in (ns|bc|sk)$",)),
         (
             "exact",
             "Business Registration Number",
@@ -157,10 +164,10 @@ RULES: dict[str, tuple[Rule, ...]] = {
                 "usa ga control no", "usa epa facility registry system", "usa frs id", "usa ny dos id", "usa vt biz id", "branch unit number", "nld kvk branch number",
                 "register of business enterprises number - branch", "chamber of commerce number", "trade register number", "economic operator code",
                 "legal entity and partnership information number", "rid", "ridet", "neq number", "register number", "derived unique register number", "registered company number",
+                "business registration number", "business registration number - branch", "business registration number - head office", "business registration number - home jurisdiction",
                 "registration number", "companies registry office number", "financial conduct authority reference number", "foreign business registration number",
             ),
         ),
-        ("pattern", "Business Registration Number", (r"^business registration number( - (branch|head office|home jurisdiction))?$",)),
     ),
     "business_legal_form": (
         ("exact", CATCH_ALL, ("[blank]", "unknown", "n/a", "information not available", "miscellaneous", "business name")),
@@ -172,6 +179,7 @@ RULES: dict[str, tuple[Rule, ...]] = {
                 "co-venture", "ohg", "kg", "société en nom collectif",
             ),
         ),
+        ("exact", "Foreign Entity / Branch", ("overseas company", "foreign company", "foreign company (rcs)", "extraprovincial company", "non-resident company", "alien corporation")),
         (
             "word",
             "Company",
@@ -186,6 +194,8 @@ RULES: dict[str, tuple[Rule, ...]] = {
             "Partnership",
             ("partnership", "llp", "lp", "l.p.", "vof", "snc", "joint venture", "co-venture", "ohg", "kg", "société en nom collectif"),
         ),
+        # Behind partnerships, as their names hold "limited" too.
+        ("word", "Company", ("limited", "corporation")),
         (
             "word",
             "Sole Proprietorship / Individual Business",
@@ -210,32 +220,176 @@ RULES: dict[str, tuple[Rule, ...]] = {
             "Government / Public Sector Entity",
             ("government", "municipality", "commune", "kommune", "public authority", "public establishment", "ministry", "statutory body", "state-owned entity"),
         ),
-        ("exact", "Company", ("company", "limited", "corporation")),
+        ("exact", "Company", ("company",)),
     ),
 }
 
-# Board and management titles of the countries that the registered queries meet. More
-# countries are given as a parameter of the same form.
+# Board and management titles by country. A country is given by any of its names. More
+# countries can be given as a parameter of the same form.
 REGIONAL: dict[tuple[str, ...], tuple[tuple[str, ...], tuple[str, ...]]] = {
-    ("uk", "gb", "united kingdom"): (
-        ("non-executive director", "(ned)", "managing director", "chief executive officer", "ceo", "chairman of the board", "executive director"),
-        ("general manager", "operations director", "department manager"),
+    ("at", "austria"): (
+        ("aufsichtsrat", "vorstand", "vorsitzender"),
+        ("geschäftsführer", "prokurist", "betriebsleiter", "abteilungsleiter"),
+    ),
+    ("be", "belgium"): (
+        ("bestuurder", "administrateur", "lid van de raad van bestuur", "voorzitter van de raad"),
+        ("directeur", "bedrijfsleider", "zaakvoerder", "gedelegeerd bestuurder"),
+    ),
+    ("bg", "bulgaria"): (
+        ("съвет на директорите", "надзорен съвет", "член на съвета"),
+        ("изпълнителен директор", "управител", "ръководител"),
+    ),
+    ("ch", "switzerland"): (
+        ("verwaltungsrat", "administrateur", "membro del consiglio d'amministrazione", "präsident des verwaltungsrats"),
+        ("geschäftsführer", "directeur", "direttore", "betriebsleiter"),
+    ),
+    ("cy", "cyprus"): (
+        ("διοικητικός σύμβουλος", "μέλος διοικητικού συμβουλίου", "πρόεδρος διοικητικού συμβουλίου"),
+        ("διευθυντής", "προϊστάμενος", "γενικός διευθυντής"),
+    ),
+    ("cz", "czechia", "czech republic"): (
+        ("dozorčí rada", "představenstvo", "předseda představenstva"),
+        ("jednatel", "ředitel", "vedoucí"),
+    ),
+    ("de", "germany"): (
+        ("vorstand", "aufsichtsrat", "beirat", "vorstandsmitglied", "aufsichtsratsmitglied"),
+        ("prokurist", "geschäftsführer", "betriebsleiter", "abteilungsleiter"),
+    ),
+    ("dk", "denmark"): (
+        ("bestyrelsesmedlem", "bestyrelsesformand", "medlem af bestyrelsen"),
+        ("direktør", "daglig leder", "afdelingsleder"),
+    ),
+    ("ee", "estonia"): (
+        ("nõukogu liige", "juhatuse liige", "nõukogu esimees"),
+        ("direktor", "juhataja", "osakonnajuhataja"),
+    ),
+    ("es", "spain"): (
+        ("consejero", "vocal", "administrador solidario", "presidente del consejo", "administrador único"),
+        ("director de departamento", "gerente", "director general"),
+    ),
+    ("fi", "finland"): (
+        ("hallituksen jäsen", "puheenjohtaja", "hallituksen puheenjohtaja"),
+        ("toimitusjohtaja", "päällikkö", "johtaja"),
+    ),
+    ("fr", "france"): (
+        ("administrateur", "président du conseil d'administration", "membre du directoire", "président (sas)", "président du conseil de surveillance"),
+        ("directeur général", "directeur opérationnel", "directeur de département"),
+    ),
+    ("gi", "gibraltar"): (
+        ("non-executive director", "board director", "chairman", "managing director", "ceo", "chief executive officer"),
+        ("manager", "department head", "operations manager"),
+    ),
+    ("gr", "greece"): (
+        ("μέλος διοικητικού συμβουλίου", "πρόεδρος δς", "αντιπρόεδρος δς", "δς"),
+        ("διευθυντής", "τμηματάρχης", "γενικός διευθυντής"),
+    ),
+    ("hr", "croatia"): (
+        ("nadzorni odbor", "upravno vijeće", "predsjednik nadzornog odbora"),
+        ("direktor", "upravitelj", "voditelj", "poslovodja"),
+    ),
+    ("hu", "hungary"): (
+        ("igazgatósági tag", "felügyelőbizottság", "elnök", "igazgatóság"),
+        ("igazgató", "osztályvezető", "vezető"),
     ),
-    ("gi", "gibraltar"): (("non-executive director", "board director", "chairman", "managing director", "ceo", "chief executive officer"), ("manager", "department head", "operations manager")),
     ("ie", "ireland"): (
         ("non-executive director", "(ned)", "managing director", "ceo", "chief executive officer", "chairperson", "executive director"),
         ("general manager", "operations manager", "secretary", "department manager"),
     ),
+    ("is", "iceland"): (
+        ("stjórnarmaður", "stjórnarformaður", "meðstjórnandi"),
+        ("framkvæmdastjóri", "deildarstjóri"),
+    ),
+    ("it", "italy"): (
+        ("consigliere", "amministratore delegato", "presidente del consiglio", "membro del consiglio di amministrazione"),
+        ("dirigente", "responsabile", "direttore generale"),
+    ),
+    ("li", "liechtenstein"): (
+        ("verwaltungsrat", "stiftungsrat", "verwaltungsratsmitglied"),
+        ("geschäftsführer", "leiter", "prokurist"),
+    ),
+    ("lt", "lithuania"): (
+        ("valdybos narys", "stebėtojų taryba", "valdybos pirmininkas"),
+        ("direktorius", "vadovas", "skyriaus vadovas"),
+    ),
+    ("lu", "luxembourg"): (
+        ("administrateur", "membre du conseil d'administration", "président du conseil"),
+        ("directeur", "gérant", "responsable"),
+    ),
+    ("lv", "latvia"): (
+        ("padomes loceklis", "valdes loceklis", "padomes priekšsēdētājs"),
+        ("direktors", "vadītājs", "nodaļas vadītājs"),
+    ),
+    ("mc", "monaco"): (
+        ("administrateur", "président du conseil d'administration", "membre du conseil"),
+        ("directeur général", "gérant", "directeur"),
+    ),
     ("mt", "malta"): (
         ("direttur mhux eżekuttiv", "(ned)", "membru tal-bord", "chairperson", "non-executive director", "managing director", "ceo", "chief executive officer"),
         ("maniġer", "direttur maniġerjali", "secretary", "kap"),
     ),
-    ("de", "germany"): (("vorstand", "aufsichtsrat", "beirat", "vorstandsmitglied", "aufsichtsratsmitglied"), ("prokurist", "geschäftsführer", "betriebsleiter", "abteilungsleiter")),
-    ("fr", "france"): (
-        ("administrateur", "président du conseil d'administration", "membre du directoire", "président (sas)", "président du conseil de surveillance"),
-        ("directeur général", "directeur opérationnel", "directeur de département"),
+    ("nl", "netherlands"): (
+        ("bestuurder", "commissaris", "lid van de raad van commissarissen", "voorzitter van de raad"),
+        ("directeur", "manager", "algemeen directeur"),
+    ),
+    ("no", "norway"): (
+        ("styremedlem", "styreleder", "nestleder"),
+        ("daglig leder", "direktør", "avdelingsleder"),
+    ),
+    ("pl", "poland"): (
+        ("członek zarządu", "rada nadzorcza", "prezes zarządu", "wiceprezes zarządu"),
+        ("dyrektor", "kierownik", "kierownik działu"),
+    ),
+    ("pt", "portugal"): (
+        ("administrador", "membro do conselho de administração", "presidente do conselho"),
+        ("diretor-geral", "gerente", "diretor de departamento"),
     ),
-    ("nl", "netherlands"): (("bestuurder", "commissaris", "lid van de raad van commissarissen", "voorzitter van de raad"), ("directeur", "manager", "algemeen directeur")),
+    ("ro", "romania"): (
+        ("membru al consiliului de administrație", "consiliului de administrație", "cenzor", "președinte al consiliului"),
+        ("director general", "manager", "administrator delegat", "șef de departament"),
+    ),
+    ("se", "sweden"): (
+        ("styrelseledamot", "styrelseordförande", "suppleant", "styrelsens ordförande"),
+        ("verkställande direktör", "(vd)", "enhetschef", "avdelningschef"),
+    ),
+    ("si", "slovenia"): (
+        ("nadzorni svet", "upravni odbor", "predsednik nadzornega sveta"),
+        ("direktor", "poslovodja", "vodja oddelka"),
+    ),
+    ("sk", "slovakia"): (
+        ("dozorná rada", "predstavenstvo", "predseda predstavenstva"),
+        ("konateľ", "riaditeľ", "vedúci"),
+    ),
+    ("uk", "gb", "united kingdom"): (
+        ("non-executive director", "(ned)", "managing director", "chief executive officer", "ceo", "chairman of the board", "executive director"),
+        ("general manager", "operations director", "department manager"),
+    ),
+}
+
+# Titles that a country's notes call executive management outright.
+EXECUTIVE: dict[tuple[str, ...], tuple[str, ...]] = {
+    ("be", "belgium"): ("zaakvoerder",),
+    ("bg", "bulgaria"): ("управител",),
+    ("ch", "switzerland"): ("geschäftsführer",),
+    ("cz", "czechia", "czech republic"): ("jednatel",),
+    ("de", "germany"): ("geschäftsführer",),
+    ("dk", "denmark"): ("direktør",),
+    ("es", "spain"): ("director general",),
+    ("fi", "finland"): ("toimitusjohtaja",),
+    ("fr", "france"): ("directeur général",),
+    ("gr", "greece"): ("γενικός διευθυντής",),
+    ("hr", "croatia"): ("direktor", "poslovodja"),
+    ("hu", "hungary"): ("igazgató",),
+    ("is", "iceland"): ("framkvæmdastjóri",),
+    ("it", "italy"): ("direttore generale",),
+    ("lt", "lithuania"): ("direktorius",),
+    ("lu", "luxembourg"): ("gérant",),
+    ("nl", "netherlands"): ("algemeen directeur",),
+    ("no", "norway"): ("daglig leder",),
+    ("ro", "romania"): ("administrator",),
+    ("se", "sweden"): ("verkställande direktör", "(vd)"),
+    ("si", "slovenia"): ("poslovodja",),
+    ("sk", "slovakia"): ("konateľ",),
+    ("uk", "gb", "united kingdom"): ("general manager", "operations director"),
 }
 
 COMPLIANCE = r"liquidator|receiver|insolvency practitioner"
@@ -262,16 +416,23 @@ def label_by_rules(field_key: str, raw: Column, rules: dict[str, tuple[Rule, ...
     return label
 
 
-def position_by_region(raw: Column, country: Column, general: Column, regional: dict = REGIONAL) -> Column:
-    """A title's label by its country's table, else ``general``.
+def one_sigma(text: str) -> str:
+    """A final sigma as any other: engines differ in what they make of a capital one."""
+    return text.replace("ς", "σ")
+
+
+def position_by_region(raw: Column, country: Column, general: Column, regional: dict = REGIONAL, executive: dict = EXECUTIVE) -> Column:
+    """A title's label by its country's tables, else ``general``.
 
-    Board titles come first. A title of the management list is never a board member or director:
-    where ``general`` says so, it is executive management.
+    Board titles come first, then those that the country's notes call executive management. Any
+    other title of the management list is never a board member or director: where ``general`` says
+    so, it is executive management.
     """
-    text, place, label = F.lower(raw), F.lower(country), general
+    text, place, label = F.translate(F.lower(raw), "ς", "σ"), F.lower(country), general
+    fits = lambda titles: _fits(text, "word", tuple(map(one_sigma, titles))) if titles else F.lit(False)
     for names, (board, management) in regional.items():
         managed = F.when(general.isin("Board Member", "Director"), "Executive Management").otherwise(general)
-        own = F.when(_fits(text, "word", board), "Board Member").when(_fits(text, "word", management), managed).otherwise(general)
+        own = F.when(fits(board), "Board Member").when(fits(executive.get(names, ())), "Executive Management").when(fits(management), managed).otherwise(general)
         label = F.when(place.isin(*names), own).otherwise(label)
     return label
 

@@ -148,6 +148,17 @@ def standardize_analytics(df: DataFrame, countries: DataFrame, lookup: DataFrame
     return out if keep_keys else out.drop("_key", "_answer")
 
 
+def counted_analytics(df: DataFrame, countries: DataFrame, lookup: DataFrame | None = None, classifier: Classifier = by_keywords) -> DataFrame:
+    """What ``run_stats`` needs of an analytics export, a row for each field type and key: the rows are
+    counted in ``n`` before anything is asked or joined, and read once."""
+    types, values, ids = (column_named(df, c) for c in ("fieldtype", "inputtext", "countryid"))
+    routed = with_field_key(with_country(df, ids, countries), types, ANALYTICS_FIELD_TYPES, "_field_key")
+    rows = keyed(routed, F.col("_field_key"), F.col(f"`{values}`"), F.col("Country"))
+    counts = written(rows.groupBy(F.col(f"`{types}`"), "_key").agg(F.count("*").alias("n")), "counts")
+    result = review_columns(F.col(f"`{types}`"))
+    return _finished(counts, lookup, classifier).select(F.col(f"`{types}`"), "n", *(v.alias(k) for k, v in result.items()), "_key", "_answer")
+
+
 def standardize_mixed(df: DataFrame, value_column: str, country_column: str | None = None, lookup: DataFrame | None = None, classifier: Classifier = by_keywords, keep_keys: bool = False) -> DataFrame:
     """Standardise a table whose ``Field`` column names each row's field."""
     types = column_named(df, "field")
@@ -158,9 +169,12 @@ def standardize_mixed(df: DataFrame, value_column: str, country_column: str | No
     return out if keep_keys else out.drop("_key", "_answer")
 
 
-def export(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Chosen original columns and the three result columns."""
+def export(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Chosen original columns and the three result columns. Without a choice: the country, the field
+    and the raw value of an analytics export, as far as they are there."""
+    if columns is None:
+        columns = [c for c in ("Country", column_named(df, "fieldtype"), column_named(df, "inputtext")) if c in df.columns]
     return df.select(*(F.col(f"`{c}`") for c in columns if c not in RESULT_COLUMNS), *RESULT_COLUMNS)
 
 
-__all__ = ["RESULT_COLUMNS", "answers", "by_keywords", "distinct_keys", "export", "fan_out", "keyed", "standardize", "standardize_analytics", "standardize_mixed", "type_label"]
+__all__ = ["RESULT_COLUMNS", "answers", "by_keywords", "counted_analytics", "distinct_keys", "export", "fan_out", "keyed", "standardize", "standardize_analytics", "standardize_mixed", "type_label"]

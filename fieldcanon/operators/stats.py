@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_key
+from ..functions.text import norm_key, short_name
 from ..registry import ANALYTICS_FIELD_TYPES, field_table
 from .route import type_label, with_field_key
 from .standardize import REVIEW
 
-#: Schema of a run record; one JSON line each.
+#: Schema of a run record; one JSON line each. Failed batches are rows of a table of their own.
 RECORD = (
     "timestamp string, source_file string, raw_column string, total_rows bigint, blank_rows bigint, unique_values_sent bigint, duplicates_reused bigint, "
-    "batches_total bigint, batches_failed bigint, retries_used bigint, flagged_count bigint, mismatches array<string>, "
-    "failures array<struct<batch_index: bigint, values: array<string>, error: string>>"
+    "batches_total bigint, batches_failed bigint, values_failed bigint, retries_used bigint, flagged_count bigint, mismatches array<string>"
 )
+FAILURES = "timestamp string, source_file string, batch_index bigint, values array<string>, error string"
 
 
 def field_type_summary(df: DataFrame, type_column: str, types: dict[str, str] = ANALYTICS_FIELD_TYPES) -> DataFrame:
@@ -26,14 +26,16 @@ def field_type_summary(df: DataFrame, type_column: str, types: dict[str, str] =
     return routed.select("field_type", "field_key", "display_name", "row_count", F.col("field_key").isNotNull().alias("known")).orderBy(F.desc("row_count"), "field_type")
 
 
-def run_stats(rows: DataFrame, type_column: str, batch_size: int = 100) -> DataFrame:
+def run_stats(rows: DataFrame, type_column: str, batch_size: int = 100, weight: str | None = None) -> DataFrame:
     """Counters of each field type from standardised rows that still have ``_key`` and ``_answer``.
 
-    The rows are first counted by type and key, so hot values shrink before the second count.
-    ``calls_saved`` adds hits of the lookup (keys) to duplicates and blanks (rows).
+    The rows are first counted by type and key, so hot values shrink before the second count. With
+    ``weight``, a row stands for so many; see ``standardize.counted_analytics``. ``calls_saved``
+    adds hits of the lookup (keys) to duplicates and blanks (rows).
     """
+    n = F.lit(1) if weight is None else F.col(weight)
     by_key = rows.groupBy(type_label(F.col(f"`{type_column}`")).alias("field_type"), F.col("_key.field_key").alias("field_key"), F.col("_key.country").alias("country"), F.col("_key.raw").alias("raw")).agg(
-        F.count("*").alias("n"), F.count_if(F.startswith(F.col(f"`{REVIEW}`"), F.lit("Needs Review"))).alias("flagged"), F.first("_answer.from_lookup", ignorenulls=True).alias("hit")
+        F.sum(n).alias("n"), F.sum(F.when(F.startswith(F.col(f"`{REVIEW}`"), F.lit("Needs Review")), n).otherwise(0)).alias("flagged"), F.first("_answer.from_lookup", ignorenulls=True).alias("hit")
     )
     blank, known = F.col("raw") == "", F.col("field_key").isNotNull()
     asked = known & ~blank
@@ -59,14 +61,13 @@ def run_totals(stats: DataFrame) -> DataFrame:
 
 
 def run_record(stats: DataFrame, source_file: str, raw_column: str, timestamp: Column | None = None, failures: DataFrame | None = None, retries: int = 0) -> DataFrame:
-    """The log record of a run: ``stats`` summed up, with the failed batches
-    (``batch_index, values, error``) if there are any."""
+    """The log record of a run: ``stats`` summed up, with the numbers of failed batches and of their
+    values. ``failures`` has ``batch_index, values, error``; only its counts are gathered."""
     spark = stats.sparkSession
     failed = failures if failures is not None else spark.createDataFrame([], "batch_index bigint, values array<string>, error string")
-    lost = failed.agg(F.sort_array(F.collect_list(F.struct(F.col("batch_index").cast("bigint").alias("batch_index"), "values", "error"))).alias("failures"))
-    sums = run_totals(stats)
+    lost = failed.agg(F.count("*").alias("batches_failed"), F.coalesce(F.sum(F.size("values")), F.lit(0)).cast("bigint").alias("values_failed"))
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX") if timestamp is None else timestamp
-    both = sums.withColumn("_one", F.lit(1)).join(lost.withColumn("_one", F.lit(1)), "_one")  # one row each
+    both = run_totals(stats).withColumn("_one", F.lit(1)).join(lost.withColumn("_one", F.lit(1)), "_one")  # one row each
     return both.select(
         now.alias("timestamp"),
         F.lit(source_file).alias("source_file"),
@@ -76,18 +77,22 @@ def run_record(stats: DataFrame, source_file: str, raw_column: str, timestamp: C
         F.col("unique_values").alias("unique_values_sent"),
         F.col("duplicates").alias("duplicates_reused"),
         F.col("batches").alias("batches_total"),
-        F.size("failures").cast("bigint").alias("batches_failed"),
+        "batches_failed",
+        "values_failed",
         F.lit(retries).cast("bigint").alias("retries_used"),
         F.col("flagged").alias("flagged_count"),
         F.array().cast("array<string>").alias("mismatches"),
-        "failures",
     )
 
 
+def failure_rows(failures: DataFrame, source_file: str, timestamp: Column) -> DataFrame:
+    """The failed batches of a run as rows of the failure table, to be appended beside its record."""
+    return failures.select(timestamp.alias("timestamp"), F.lit(source_file).alias("source_file"), F.col("batch_index").cast("bigint").alias("batch_index"), "values", "error")
+
+
 def log_measures(records: DataFrame) -> DataFrame:
     """Each run's output count (rows without those of failed batches) and number of failed batches."""
-    lost = F.aggregate("failures", F.lit(0).cast("bigint"), lambda n, f: n + F.size(f["values"]))
-    return records.select("timestamp", "source_file", (F.col("total_rows") - lost).alias("output_count"), F.size("failures").cast("bigint").alias("batches_failed"))
+    return records.select("timestamp", "source_file", (F.col("total_rows") - F.col("values_failed")).alias("output_count"), "batches_failed")
 
 
 def row_country_lists(df: DataFrame, country_column: str, field_column: str | None = None) -> DataFrame:
@@ -100,3 +105,13 @@ def row_country_lists(df: DataFrame, country_column: str, field_column: str | No
 def handoff(df: DataFrame, value_column: str, field_column: str) -> DataFrame:
     """The mapping to hand over: ``Input, Value, Type`` of each distinct value."""
     return df.select(norm_key(F.col(f"`{value_column}`")).alias("Input"), F.col("`Standardized Value`").alias("Value"), F.col(f"`{field_column}`").alias("Type")).where("Input <> ''").distinct()
+
+
+def handoff_fields(df: DataFrame, type_column: str, country_column: str, types: dict[str, str] = ANALYTICS_FIELD_TYPES) -> DataFrame:
+    """What a hand-off says of each known field: its name without the abbreviation in brackets, its
+    distinct field types and its sorted countries."""
+    names = F.broadcast(field_table(df.sparkSession).select("field_key", short_name(F.col("display_name")).alias("field_name")))
+    place = F.trim(F.col(f"`{country_column}`").cast("string"))
+    distinct = with_field_key(df.select(F.col(f"`{type_column}`").alias("field_type"), place.alias("country")).distinct(), "field_type", types).where("field_key is not null")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
+    return distinct.groupBy("field_key").agg(listed(F.trim("field_type")).alias("field_types"), listed(F.when(F.col("country") != "", F.col("country"))).alias("countries")).join(names, "field_key")

@@ -17,10 +17,24 @@ LABELS = tuple(label for k in FIELD_KEYS for label in FIELDS[k][1][:3])
 COUNTRIES = ("United Kingdom", "Ireland", "Malta", "United States", "France", "Germany", "Netherlands", "Canada", "")
 LEGACY = ("Other / Unknown", "Unknown", "Owner/Controller", "Not A Label")
 COUNTRY_IDS = ("224", "80", "99", "148", "2", "37.0", "74", "56", "161", "1", "0", "-1", "999", "n/a", None)
+#: A country of each table of regional titles, and some without one.
+REGIONS = (
+    "Austria", "Belgium", "Bulgaria", "Switzerland", "Cyprus", "Czech Republic", "Germany", "Denmark", "Estonia", "Spain", "Finland", "France", "Gibraltar", "Greece", "Croatia", "Hungary",
+    "Ireland", "Iceland", "Italy", "Liechtenstein", "Lithuania", "Luxembourg", "Latvia", "Monaco", "Malta", "Netherlands", "Norway", "Poland", "Portugal", "Romania", "Sweden", "Slovenia",
+    "Slovakia", "United Kingdom", "United States", "Canada", "",
+)
+#: Every character that keys take for white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 FIELD_TYPES = (
     "Standardized Designation", "standardized position ", "Business Legal Form", "Business Status", "BRN Type", "PSC Beneficiary Type", "Mystery Type", None,
 )
 
+#: Values of a ``Field`` column.
+FIELD_VALUES = ("Designation", " position", "business_legal_form", "Business Status", "BRN TYPE", "psc_beneficiary_type", "Odd 'Field'", None)
+#: What a written table's values end with; those that are a text for "missing" stand alone.
+ENDINGS = ("", ', "quoted"', "\nsecond line", ";", " ")
+MISSING = ("N/A", "null", "nan", "")
+
 #: Raw values for the queries on written rules.
 RULE_VALUES: dict[str, tuple[str, ...]] = {
     "business_status": (
@@ -34,7 +48,7 @@ RULE_VALUES: dict[str, tuple[str, ...]] = {
         "corporate-entity-beneficial-owner", "7", "10", "A", "Class A Common", "COMMON", "Person", "Parent", "Share Ownership", "Voting Shareholder", "Voting Shares", "Holding corporation", "natural person", "zzz",
     ),
     "psc_beneficiary_type": (
-        "Ultimate Parent", "Parent", "Beneficial Owner", "Managing Partner", "General Partner", "Director", "Signatory, joint", "Holding Company owner", "Guardian", "BO", "UBO", "Members", "Governor", "bob", "Process Agent",
+        "Corporate body", "PSC with control", "Controlling ISC", "PSC (Person with Significant Control)", "Company", "Corporate Beneficial Owner", "Ultimate Parent", "Parent", "Beneficial Owner", "Managing Partner", "General Partner", "Director", "Signatory, joint", "Holding Company owner", "Guardian", "BO", "UBO", "Members", "Governor", "bob", "Process Agent",
     ),
     "brn_type": (
         "LEI", "Legal Entity Identifier", "Value Added Tax Number (BE)", "Value Added Tax Number", "GST/HST Account Number", "GST/HST number is not valid",
@@ -42,10 +56,16 @@ RULE_VALUES: dict[str, tuple[str, ...]] = {
         "RNA Registration Number", "CAGE", "XXX ACURIS ID", "Business Registration Number - Branch", "Registration Number", "whatever", "Charity Commission of Northern Ireland Charity Number (GB)", "CNPJ",
     ),
     "business_legal_form": (
-        "Joint Venture LLC", "Joint Venture Company", "Limited Partnership", "LLC / Partnership", "GmbH & Co. KG", "Sole Trader", "Credit Union", "Unit Trust", "Foreign company (RCS)", "Statutory body",
+        "Public Limited", "Limited by guarantee", "Domestic Corporation", "Alien corporation", "Limited Liability Partnership (LLP)", "Joint Venture LLC", "Joint Venture Company", "Limited Partnership", "LLC / Partnership", "GmbH & Co. KG", "Sole Trader", "Credit Union", "Unit Trust", "Foreign company (RCS)", "Statutory body",
         "Business Name", "S.A.", "management", "limited", "Enkeltpersonforetak (ENK)", "Stichting", "Sub", "N/A", "Holdco", "asbl",
     ),
-    "positions_designations": TITLES + ("Vorstand", "Bestuurder", "Directeur Général", "Executive Director", "General Manager", "Governor", "Insolvency Practitioner", "Official Receiver"),
+    "positions_designations": TITLES + ("Vorstand", "Bestuurder", "Directeur Général", "Executive Director", "General Manager", "Governor", "Insolvency Practitioner", "Official Receiver")
+    + (
+        "Lid van de Raad van Bestuur", "Zaakvoerder", "Член на съвета", "Управител", "Verwaltungsrat", "Πρόεδρος ΔΣ", "Γενικός Διευθυντής", "Představenstvo", "Jednatel", "Bestyrelsesmedlem",
+        "Direktør", "Juhatuse liige", "Consejero", "Director General", "Hallituksen jäsen", "Toimitusjohtaja", "Nadzorni odbor", "Direktor", "Igazgatósági tag", "Igazgató", "Stjórnarmaður",
+        "Amministratore Delegato", "Direttore Generale", "Stiftungsrat", "Valdybos narys", "Gérant", "Padomes loceklis", "Membre du Conseil", "Membru tal-Bord", "Styremedlem", "Daglig leder",
+        "Prezes Zarządu", "Administrador", "Cenzor", "Administrator", "Styrelseledamot", "Verkställande direktör (VD)", "Upravni odbor", "Predstavenstvo", "Konateľ", "Operations Director",
+    ),
 }
 
 
@@ -61,19 +81,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An analytics export: ``row_id, countryId, fieldType, inputText``."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    key, base = F.col("o_orderkey"), F.col("base")
+    key, base, white = F.col("o_orderkey"), F.col("base"), pick(tuple(WHITE), F.floor(F.col("o_orderkey") / 13) % len(WHITE))
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("base", pick(TITLES, F.col("o_custkey") % 30))
     text = (
         F.when(key % 13 == 0, None)
         .when(key % 13 == 1, "   ")
-        .when(key % 13 == 2, F.concat(F.lit("  "), base, F.lit(" ")))
-        .when(key % 13 == 3, F.replace(base, F.lit(" "), F.lit("  ")))
+        .when(key % 13 == 2, F.concat(white, F.lit(" "), base, white))
+        .when(key % 13 == 3, F.replace(base, F.lit(" "), F.concat(F.lit(" "), white)))
         .when(key % 13 == 4, F.upper(base))
         .otherwise(base)
     )
     return rows.select(key.alias("row_id"), pick(COUNTRY_IDS, F.col("c_nationkey") % 15).alias("countryId"), pick(FIELD_TYPES, key % 8).alias("fieldType"), text.alias("inputText"))
 
 
+def field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a ``Field`` column: ``row_id, Country, Field, Value``."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    key, base = F.col("o_orderkey"), pick(TITLES, F.col("o_custkey") % 30)
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    value = F.when(key % 11 == 0, None).when(key % 11 == 1, F.concat(base, F.lit(" "))).otherwise(base)
+    return rows.select(key.alias("row_id"), pick(COUNTRIES, F.col("c_nationkey") % 9).alias("Country"), pick(FIELD_VALUES, key % 8).alias("Field"), value.alias("Value"))
+
+
+def written_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as files hold them, with texts for "missing": ``row_id, Country, Raw Value``."""
+    key = F.col("o_orderkey")
+    text = F.when(key % 5 == 0, pick(MISSING, F.floor(key / 5) % 4)).otherwise(F.concat(pick(TITLES, F.col("o_custkey") % 30), pick(ENDINGS, key % 5)))
+    return table(spark, sf_dir, "orders").select(key.cast("string").alias("row_id"), pick(COUNTRIES[:8], key % 8).alias("Country"), text.alias(" Raw Value"))
+
+
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A master mapping: ``field_key, country, raw, std``."""
     lines, supplier = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -87,11 +123,12 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_values(spark: SparkSession, sf_dir: str, field_key: str) -> DataFrame:
-    """``row_id, country_no, raw`` for a field's written rules; every third value in capitals."""
+    """``row_id, country, raw`` for a field's written rules; every third value in capitals."""
     values = RULE_VALUES[field_key]
+    places = REGIONS if field_key == "positions_designations" else COUNTRIES
     raw = pick(values, F.col("o_custkey") % len(values))
     return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("row_id"), pick(COUNTRIES, F.col("o_orderkey") % 9).alias("country"), F.when(F.col("o_orderkey") % 3 == 0, F.upper(raw)).otherwise(raw).alias("raw")
+        F.col("o_orderkey").alias("row_id"), pick(places, F.col("o_orderkey") % len(places)).alias("country"), F.when(F.col("o_orderkey") % 3 == 0, F.upper(raw)).otherwise(raw).alias("raw")
     )
 
 

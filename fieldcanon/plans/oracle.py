@@ -1,12 +1,17 @@
-"""DuckDB SQL of the registered queries, written from the rules and not from the Spark plans."""
+"""DuckDB SQL of the registered queries.
+
+Its relational part is written anew; phrases, labels and the derived inputs come from the same tables
+as the library's, so that it checks what is done with them. Whether they are the right ones is for
+tests with expected labels written by hand.
+"""
 
 from __future__ import annotations
 
 import re
 
 from ..functions.classify import BOARD_COUNTRIES, BOARD_TITLES, LEGAL_FORMS, NO_RULE, NO_RULES, POSITIONS
-from ..operators.rules import REGIONAL, RULES
-from ..registry import ANALYTICS_FIELD_TYPES, CATCH_ALL, COUNTRIES, FIELDS, KEEP, RESOLUTIONS
+from ..operators.rules import EXECUTIVE, REGIONAL, RULES, one_sigma
+from ..registry import ANALYTICS_FIELD_TYPES, CATCH_ALL, COUNTRIES, FIELDS, KEEP, RESOLUTIONS, STANDARD_FIELD_TYPES
 from . import derived
 
 
@@ -22,8 +27,12 @@ def mapped(column: str, pairs: dict, otherwise: str = "null") -> str:
     return f"case {column} " + " ".join(f"when {text(k)} then {text(v)}" for k, v in pairs.items()) + f" else {otherwise} end"
 
 
+#: What counts as white space in a key.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def norm(column: str) -> str:
-    return f"coalesce(trim(regexp_replace({column}, ' +', ' ', 'g')), '')"
+    return f"coalesce(trim(regexp_replace({column}, '{_WHITE}+', ' ', 'g')), '')"
 
 
 def any_within(column: str, words) -> str:
@@ -56,8 +65,8 @@ def whole_counts(sql: str) -> str:
 
 RAW = f"""raw_values as (
     select o_orderkey as row_id, {items(derived.COUNTRY_IDS)}[c_nationkey % 15 + 1] as countryId, {items(derived.FIELD_TYPES)}[o_orderkey % 8 + 1] as fieldType,
-           case o_orderkey % 13 when 0 then null when 1 then '   ' when 2 then '  ' || base || ' ' when 3 then replace(base, ' ', '  ') when 4 then upper(base) else base end as inputText
-    from (select *, {items(derived.TITLES)}[o_custkey % 30 + 1] as base from orders join customer on o_custkey = c_custkey))"""
+           case o_orderkey % 13 when 0 then null when 1 then '   ' when 2 then white || ' ' || base || white when 3 then replace(base, ' ', ' ' || white) when 4 then upper(base) else base end as inputText
+    from (select *, {items(derived.TITLES)}[o_custkey % 30 + 1] as base, chr({list(map(ord, derived.WHITE))}[(o_orderkey // 13) % {len(derived.WHITE)} + 1]) as white from orders join customer on o_custkey = c_custkey))"""
 
 PLACED = f"""{RAW},
 placed as (
@@ -77,7 +86,8 @@ _form = "case " + " ".join(f"when {any_keyword('t', words)} then {text(label)}"
 HIT = f"case field_key when 'positions_designations' then {_position} when 'business_legal_form' then {_form} end"
 OPTIONS = mapped("field_key", {k: " / ".join(f"{x}?" for x in labels[:2]) for k, (_, labels, _) in FIELDS.items()})
 REASONS = f"case when field_key in ('positions_designations', 'business_legal_form') then {text(NO_RULE)} else {text(NO_RULES)} end"
-UNKNOWN = "'Needs Review: no classifier for field type ' || case when fieldType is null then 'nan' else '''' || fieldType || '''' end"
+UNKNOWN = """'Needs Review: no classifier for field type ' || case when fieldType is null then 'nan' when contains(fieldType, chr(39)) then chr(34) || fieldType || chr(34)
+             else chr(39) || fieldType || chr(39) end"""
 
 
 def finished(found: str = "null") -> str:
@@ -87,6 +97,14 @@ def finished(found: str = "null") -> str:
         case when field_key is null or raw = '' or {found} is not null or hit is not null then '' else {REASONS} end as review_reason"""
 
 
+FIELDED = f"""fielded as (
+    select o_orderkey as row_id, {items(derived.COUNTRIES)}[c_nationkey % 9 + 1] as Country, {items(derived.FIELD_VALUES)}[o_orderkey % 8 + 1] as fieldType,
+           case o_orderkey % 11 when 0 then null when 1 then base || chr(160) else base end as inputText
+    from (select *, {items(derived.TITLES)}[o_custkey % 30 + 1] as base from orders join customer on o_custkey = c_custkey)),
+routed as (select *, {mapped("lower(trim(fieldType))", STANDARD_FIELD_TYPES)} as field_key, {norm("inputText")} as raw from fielded),
+keyed as (select *, case when field_key = 'positions_designations' then Country else '' end as place, lower(raw) as t from routed),
+asked as (select *, {HIT} as hit from keyed), done as (select *, {finished()} from asked)"""
+
 MIXED = f"{KEYED}, asked as (select *, {HIT} as hit from keyed), done as (select *, {finished()} from asked)"
 
 MASTER = f"""master as (
@@ -180,7 +198,8 @@ _DIFF = "case when row_id % 17 = 0 then 'Director' when row_id % 19 = 0 then ''
 def _rule_rows(field_key: str) -> str:
     values = derived.RULE_VALUES[field_key]
     raw = f"{items(values)}[o_custkey % {len(values)} + 1]"
-    return f"""rows as (select o_orderkey as row_id, {items(derived.COUNTRIES)}[o_orderkey % 9 + 1] as country, case when o_orderkey % 3 = 0 then upper({raw}) else {raw} end as raw from orders),
+    places = derived.REGIONS if field_key == "positions_designations" else derived.COUNTRIES
+    return f"""rows as (select o_orderkey as row_id, {items(places)}[o_orderkey % {len(places)} + 1] as country, case when o_orderkey % 3 = 0 then upper({raw}) else {raw} end as raw from orders),
         low as (select *, lower(raw) as t from rows)"""
 
 
@@ -203,11 +222,13 @@ def rules_sql(field_key: str) -> str:
 
 def _regional() -> str:
     cases = ""
+    fits = lambda titles: any_word("s", map(one_sigma, titles))
     for names, (board, management) in REGIONAL.items():
-        own = f"case when {any_word('t', board)} then 'Board Member' when {any_word('t', management)} and general in ('Board Member', 'Director') then 'Executive Management' else general end"
+        outright = f"when {fits(EXECUTIVE[names])} then 'Executive Management'" if names in EXECUTIVE else ""
+        own = f"case when {fits(board)} then 'Board Member' {outright} when {fits(management)} and general in ('Board Member', 'Director') then 'Executive Management' else general end"
         cases += f" when p in ({', '.join(map(text, names))}) then {own}"
     return f"""with {_rule_rows("positions_designations")},
-        g as (select *, lower(country) as p, coalesce({_position.replace("place", "country")}, '{CATCH_ALL}') as general, ['LLC', 'Corporation', 'LLP', null][row_id % 4 + 1] as form from low)
+        g as (select *, replace(t, 'ς', 'σ') as s, lower(country) as p, coalesce({_position.replace("place", "country")}, '{CATCH_ALL}') as general, ['LLC', 'Corporation', 'LLP', null][row_id % 4 + 1] as form from low)
         select row_id, raw, country, case when {any_word("t", ["governor"])} then case when form in ('LLC', 'LLP') then 'Owner / Controller' else 'Director' end
             else case {cases} else general end end as label from g"""
 
@@ -233,10 +254,23 @@ _SINGLE = "row_id, Country as country, inputText as inputtext, standardized_valu
 _AUDIT = f"""with {CONFLICTS},
     ranked as (select c.*, display_name, row_number() over (order by field_order, raw) as g from conflicts c join fields using (field_key))"""
 
+_DIFFS = f"""with {MIXED}, o as (select *, coalesce(trim(fieldType), '') as ft, {_DIFF} from done where raw <> ''),
+        f as (select ft, raw, arg_min(standardized_value, row_id) as original, arg_min(Country, row_id) as c from o group by all),
+        d as (select coalesce(field_key, '') as field_key, o.raw, c, original, proposed, row_id from o join f on o.ft = f.ft and o.raw = f.raw where proposed not in ('', original)),
+        n as (select *, row_number() over (partition by field_key, raw, c order by row_id) as n from d)
+        select field_key, raw as raw_value, c as country, original, proposed from n where n = 1"""
+
 ORACLE_SQL: dict[str, str] = {
     "standardize_positions": f"with {MIXED} select {_SINGLE} from done where field_key = 'positions_designations'",
     "standardize_legal_form": f"with {MIXED} select {_SINGLE} from done where field_key = 'business_legal_form'",
-    "standardize_mixed": f"with {MIXED} select countryId as countryid, fieldType as fieldtype, {_SINGLE} from done",
+    "standardize_mixed": f"with {FIELDED} select row_id, Country as country, fieldType as field, inputText as value, standardized_value, needs_review, review_reason from done",
+    "layouts": f"""with {FIELDED} select * from (values ('export', 'analytics'), ('fields', (select case when count(field_key) > 0 then 'mixed' else 'single' end from routed)),
+        ('no known field', (select case when count(field_key) > 0 then 'mixed' else 'single' end from routed where fieldType like 'Odd%' or fieldType is null)), ('values', 'single')) v(name, layout)""",
+    "table_round_trip": f"""select o_orderkey as row_id, {items(derived.COUNTRIES[:8])}[o_orderkey % 8 + 1] as country,
+        case when o_orderkey % 5 = 0 then null else {items(derived.TITLES)}[o_custkey % 30 + 1] || {items(derived.ENDINGS)}[o_orderkey % 5 + 1] end as value from orders""",
+    "master_round_trip": f"with {MASTER} select field_key, country, raw, std, count(*) as n from master group by all",
+    "export_columns": f"with {MIXED} select Country as country, fieldType as fieldtype, inputText as inputtext, standardized_value, needs_review, review_reason, count(*) as n from done group by all",
+    "standardize_analytics": f"with {MIXED} select countryId as countryid, fieldType as fieldtype, {_SINGLE} from done",
     "standardize_with_lookup": f"with {FOUND} select countryId as countryid, fieldType as fieldtype, {_SINGLE} from done",
     "resolve_countries": f"with {PLACED} select row_id, Country as country from placed",
     "field_type_summary": f"""with {KEYED} select fieldType as field_type, field_key, {mapped("field_key", {k: v[0] for k, v in FIELDS.items()})} as display_name, count(*) as row_count,
@@ -259,6 +293,10 @@ ORACLE_SQL: dict[str, str] = {
         string_agg(distinct case when field_key is null then field_type end, ', ' order by case when field_key is null then field_type end) as unknown_types from run""",
     "run_log": f"""with {STATS}, {INPUTS} select '2024-01-01T00:00:00+00:00' as timestamp, 'orders' as source_file,
         cast((select sum(total_rows) from run) - (select count(*) from inputs where batch_id % 7 = 0) as bigint) as output_count, (select count(distinct batch_id) from inputs where batch_id % 7 = 0) as batches_failed""",
+    "run_records": f"""with {STATS}, {INPUTS}, lost as (select 'first' as source_file, count(distinct batch_id) as b, count(*) as v from inputs where batch_id % 7 = 0 union all select 'second', 0, 0)
+        select '2024-01-01T00:00:00+00:00 ' || source_file as timestamp, source_file, 'inputText' as raw_column, cast(sum(total_rows) as bigint) as total_rows, cast(sum(blanks) as bigint) as blank_rows,
+               cast(sum(unique_values) as bigint) as unique_values_sent, cast(sum(duplicates) as bigint) as duplicates_reused, cast(sum(batches) as bigint) as batches_total, any_value(b) as batches_failed,
+               any_value(v) as values_failed, cast(2 as bigint) as retries_used, cast(sum(flagged) as bigint) as flagged_count, any_value(v) as values_listed from run, lost group by source_file""",
     "parse_responses": f"""with {LINES} select i.batch_id, i.idx, i.raw, coalesce(std, '') as std, coalesce(confidence, '') as confidence, coalesce(alternatives, '') as alternatives, coalesce(reasoning, '') as reasoning,
         coalesce(confidence, '') in ('', 'LOW') as review from inputs i left join firsts f on i.batch_id = f.batch_id and i.idx = f.idx and f.n = 1""",
     "response_warnings": _WARN.replace("{lines}", LINES),
@@ -266,12 +304,14 @@ ORACLE_SQL: dict[str, str] = {
         f as (select place, raw, arg_min(standardized_value, row_id) as original from o group by all),
         d as (select o.place, o.raw, original, proposed, row_number() over (partition by o.place, o.raw order by row_id) as n from o join f on o.place = f.place and o.raw = f.raw where proposed not in ('', original))
         select 'positions_designations' as field_key, raw as raw_value, place as country, original, proposed from d where n = 1""",
-    "correction_diff_analytics": f"""with {MIXED}, o as (select *, coalesce(trim(fieldType), '') as ft, {_DIFF} from done where raw <> ''),
-        f as (select ft, raw, arg_min(standardized_value, row_id) as original, arg_min(Country, row_id) as c from o group by all),
-        d as (select coalesce(field_key, '') as field_key, o.raw, c, original, proposed, row_id from o join f on o.ft = f.ft and o.raw = f.raw where proposed not in ('', original)),
-        n as (select *, row_number() over (partition by field_key, raw, c order by row_id) as n from d)
-        select field_key, raw as raw_value, c as country, original, proposed from n where n = 1""",
+    "correction_diff_analytics": _DIFFS,
+    "make_corrections": f"""with made as ({_DIFFS}) select sha256(concat_ws(chr(31), '2024-01-01T00:00:00+00:00', field_key, raw_value, country, proposed)) as id, '2024-01-01T00:00:00+00:00' as submitted_at,
+        'someone' as submitted_by, country, raw_value, field_key, coalesce({mapped("field_key", {k: v[0] for k, v in FIELDS.items()})}, field_key) as field_display, original, proposed, 'user' as source from made""",
     "correction_queue": f"with {EVENTS} select * from queue",
+    "correction_events": f"with {EVENTS} select * from queue",
+    "queue_views": f"""with {EVENTS}, s as (select *, case id % 5 when 0 then 'demo' when 1 then 'user' end as source from queue)
+        select 'pending' as view, id from s where status = 'pending' union all select 'history', id from s where status <> 'pending'
+        union all select 'needs rule update', id from s where status = 'approved' and needs_prompt_update union all select 'without demo', id from s where source is distinct from 'demo'""",
     "correction_enqueue": f"""with {EVENTS}, waiting as (select field_key, raw_value, country from queue group by all having arg_max(status, id) = 'pending'),
         fresh as (select s.*, row_number() over (partition by field_key, raw_value, country order by id) as n from submissions s
             where not exists (select 1 from waiting q where q.field_key = s.field_key and q.raw_value = s.raw_value and q.country = s.country))
@@ -289,6 +329,9 @@ ORACLE_SQL: dict[str, str] = {
     "first_mismatches": f"with {TRUTH} select field_key, raw, expected, std as got from scores where not correct order by field_key, raw limit 12",
     "handoff_mapping": f"with {MIXED} select distinct raw as input, standardized_value as value, fieldType as type from done where raw <> ''",
     "handoff_countries": f"with {PLACED} select fieldType as field, string_agg(distinct trim(Country), ', ' order by trim(Country)) as countries from placed where trim(Country) <> '' group by fieldType",
+    "handoff_fields": f"""with {KEYED} select field_key, regexp_replace({mapped("field_key", {k: v[0] for k, v in FIELDS.items()})}, ' *[(][A-Z]+[)] *$', '') as field_name,
+        string_agg(distinct trim(fieldType), ', ' order by trim(fieldType)) as field_types, string_agg(distinct trim(Country), ', ' order by trim(Country)) filter (where trim(Country) <> '') as countries
+        from keyed where field_key is not null group by field_key""",
     "batch_plan": f"with {PLAN} select field_key, country, raw, first_row, p // 25 + 1 as batch_no, p % 25 + 1 as item from plan",
     "batch_messages": f"""with {PLAN} select field_key, p // 25 + 1 as batch_no, cast(count(*) as int) as n_items, 'Classify the following ' || count(*) || ' entries:' || chr(10) || chr(10)
         || string_agg((p % 25 + 1) || '. ' || case when country = '' then raw else '[Country: ' || country || '] ' || raw end, chr(10) order by p) as message from plan group by field_key, p // 25 + 1""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import classify
 from ..operators import audit, batches, corrections, external, lookup, responses, route, rules, standardize, stats, validate
 from ..registry import FIELDS, LEGACY_LABELS_AUDIT, country_table, resolution_table
+from ..sources import tables
 from ..sources.storage import new_folder, written
 from . import derived
 
@@ -35,20 +37,59 @@ def standardize_legal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _renamed(standardize.standardize(_of_type(spark, sf_dir, "business_legal_form"), "inputText", "business_legal_form"))
 
 
-def standardize_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def standardize_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _renamed(standardize.standardize_analytics(derived.raw_values(spark, sf_dir), country_table(spark)))
 
 
-def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.build_lookup(lookup.master_triples(derived.master(spark, sf_dir)))
+def standardize_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose ``Field`` column names each row's field."""
+    return _renamed(standardize.standardize_mixed(derived.field_values(spark, sf_dir), "Value", "Country"))
+
+
+def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How tables are recognised: by their columns, and by what a ``Field`` column holds."""
+    fields = derived.field_values(spark, sf_dir)
+    found = {
+        "export": route.layout(derived.raw_values(spark, sf_dir)),
+        "fields": route.layout(fields),
+        "no known field": route.layout(fields.where("Field like 'Odd%' or Field is null")),
+        "values": route.layout(fields.drop("Field")),
+    }
+    return spark.createDataFrame(list(found.items()), "name string, layout string")
+
+
+def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV, read back, and its columns found by their headers."""
+    path = f"{new_folder(spark)}/table.csv"
+    tables.write_table(derived.written_values(spark, sf_dir), path, "csv")
+    df = tables.read_table(spark, path)
+    return df.select(F.col("row_id").cast("bigint").alias("row_id"), F.col(f"`{tables.country_column(df)}`").alias("country"), F.col(f"`{tables.value_column(df)}`").alias("value"))
+
 
+def master_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A master mapping written as one table a field, and read back as one."""
+    master, folder, paths = derived.master(spark, sf_dir), new_folder(spark), {}
+    for n, key in enumerate(derived.FIELD_KEYS):
+        kind = ("csv", "parquet")[n % 2]
+        paths[key] = f"{folder}/{key}.{kind}"
+        own = master.where(F.col("field_key") == key).select("country", F.col("raw").alias("Raw"), F.col("std").alias("Standard"), F.lit("x").alias("Note"))
+        tables.write_table(own, paths[key], kind)
+    place = F.coalesce("country", F.lit("")).alias("country")  # an empty text in a CSV is a missing one
+    return tables.read_master(spark, paths).groupBy("field_key", place, "raw", "std").agg(F.count("*").alias("n"))
 
-def _with_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standardize.standardize_analytics(derived.raw_values(spark, sf_dir), country_table(spark), written(_lookup(spark, sf_dir), "lookup"), keep_keys=True)
+
+def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that an export of a finished table has by default, equal rows counted."""
+    done = standardize.standardize_analytics(derived.raw_values(spark, sf_dir), country_table(spark))
+    return _renamed(standardize.export(done)).groupBy("country", "fieldtype", "inputtext", *RESULT.values()).agg(F.count("*").alias("n"))
+
+
+def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.build_lookup(lookup.master_triples(derived.master(spark, sf_dir)))
 
 
 def standardize_with_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _renamed(_with_lookup(spark, sf_dir).drop("_key", "_answer"))
+    return _renamed(standardize.standardize_analytics(derived.raw_values(spark, sf_dir), country_table(spark), written(_lookup(spark, sf_dir), "lookup")))
 
 
 def resolve_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,24 +146,45 @@ def resolution_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.resolution_breakdown(used)
 
 
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a run over an export, a row for each field type."""
+    counted = standardize.counted_analytics(derived.raw_values(spark, sf_dir), country_table(spark), written(_lookup(spark, sf_dir), "lookup"))
+    return stats.run_stats(counted, "fieldType", 10, weight="n")
+
+
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.run_stats(_with_lookup(spark, sf_dir), "fieldType", 10)
+    return _run(spark, sf_dir)
 
 
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = stats.run_totals(stats.run_stats(_with_lookup(spark, sf_dir), "fieldType", 10))
-    return totals.withColumn("unknown_types", F.array_join("unknown_types", ", "))
+    return stats.run_totals(_run(spark, sf_dir)).withColumn("unknown_types", F.array_join("unknown_types", ", "))
+
+
+def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches with a wrong total, as if they had failed."""
+    items = derived.inputs(spark, sf_dir).where("batch_id % 7 = 0")
+    return items.groupBy(F.col("batch_id").alias("batch_index")).agg(F.array_sort(F.collect_list("raw")).alias("values"), F.lit("timed out").alias("error"))
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log measures of a run whose batches with a wrong total count as failed."""
-    found = stats.run_stats(_with_lookup(spark, sf_dir), "fieldType", 10)
-    items = derived.inputs(spark, sf_dir).where("batch_id % 7 = 0")
-    failed = items.groupBy(F.col("batch_id").alias("batch_index")).agg(F.array_sort(F.collect_list("raw")).alias("values"), F.lit("timed out").alias("error"))
-    record = stats.run_record(found, "orders", "inputText", F.lit("2024-01-01T00:00:00+00:00"), failed)
+    record = stats.run_record(_run(spark, sf_dir), "orders", "inputText", F.lit("2024-01-01T00:00:00+00:00"), _failed(spark, sf_dir))
     return stats.log_measures(record)
 
 
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of two runs, appended to a log with their failed batches, and read back."""
+    folder, per_type, failed = new_folder(spark), written(_run(spark, sf_dir), "stats"), written(_failed(spark, sf_dir), "failed")
+    for name, lost in (("first", failed), ("second", None)):
+        when = F.lit(f"2024-01-01T00:00:00+00:00 {name}")
+        tables.append_record(stats.run_record(per_type, name, "inputText", when, lost, retries=2), f"{folder}/log")
+        if lost is not None:
+            tables.append_failures(stats.failure_rows(lost, name, when), f"{folder}/failures")
+    values = tables.read_failures(spark, f"{folder}/failures").groupBy("source_file").agg(F.sum(F.size("values")).alias("values_listed"))
+    records = tables.read_records(spark, f"{folder}/log").join(values, "source_file", "left").drop("mismatches")
+    return records.withColumn("values_listed", F.coalesce("values_listed", F.lit(0)).cast("bigint"))
+
+
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = responses.aligned(derived.responses(spark, sf_dir), derived.inputs(spark, sf_dir))
     return rows.withColumn("alternatives", F.array_join("alternatives", "; ")).withColumn("review", responses.needs_review(F.col("confidence")))
@@ -156,6 +218,30 @@ def correction_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queue(spark, sf_dir)
 
 
+def correction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue from event tables that were appended to in two steps and read back."""
+    folder, sent, decided = new_folder(spark), derived.submissions(spark, sf_dir), derived.decisions(spark, sf_dir)
+    for name, events in (("submissions", sent), ("decisions", decided)):
+        for odd in (1, 0):
+            tables.append_events(events.where(F.col("id") % 2 == odd), f"{folder}/{name}")
+    read = lambda name, like: tables.read_events(spark, f"{folder}/{name}", like.schema)
+    return corrections.queue_state(read("submissions", sent), read("decisions", decided))
+
+
+def make_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The differences of a corrected table as pending corrections."""
+    original = standardize.standardize_analytics(derived.raw_values(spark, sf_dir), country_table(spark))
+    diff = corrections.diff_analytics(original, _corrected(original), "row_id")
+    return corrections.make_corrections(diff, "someone", submitted_at=F.lit("2024-01-01T00:00:00+00:00"))
+
+
+def queue_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids in each view of the queue."""
+    queue = _queue(spark, sf_dir).withColumn("source", F.when(F.col("id") % 5 == 0, "demo").when(F.col("id") % 5 == 1, "user"))
+    views = {"pending": corrections.pending, "history": corrections.history, "needs rule update": corrections.needs_rule_update, "without demo": corrections.without_demo}
+    return functools.reduce(DataFrame.unionByName, [view(queue).select(F.lit(name).alias("view"), "id") for name, view in views.items()])
+
+
 def correction_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of all submissions is new to a queue that holds the latest one of each key."""
     latest = Window.partitionBy("field_key", "raw_value", "country").orderBy(F.desc("id"))
@@ -196,6 +282,11 @@ def handoff_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.row_country_lists(rows, "Country", "fieldType")
 
 
+def handoff_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = route.with_country(derived.raw_values(spark, sf_dir), "countryId", country_table(spark))
+    return stats.handoff_fields(rows, "fieldType", "Country")
+
+
 def _plan(spark: SparkSession, sf_dir: str, batch_size: int) -> DataFrame:
     rows = route.with_field_key(route.with_country(derived.raw_values(spark, sf_dir), "countryId", country_table(spark)), "fieldType")
     keyed = standardize.keyed(rows, F.col("field_key"), F.col("inputText"), F.col("Country")).where("_key.raw <> '' and _key.field_key is not null").select("row_id", "_key.*")
@@ -211,7 +302,11 @@ def batch_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class LengthClient:
-    """Answers each numbered value with a label of the field that its length picks."""
+    """Stands in for a client that needs a network, so that batches, calls and parsing can be checked.
+
+    It answers each numbered value with a label of the field that its length picks; real labels come
+    from a client of the user's.
+    """
 
     def complete(self, system: str, user: str) -> str:
         labels = FIELDS[system][1]
@@ -254,7 +349,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         standardize_positions,
         standardize_legal_form,
+        standardize_analytics,
         standardize_mixed,
+        layouts,
+        table_round_trip,
+        master_round_trip,
+        export_columns,
         standardize_with_lookup,
         resolve_countries,
         field_type_summary,
@@ -270,11 +370,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         run_stats,
         run_totals,
         run_log,
+        run_records,
         parse_responses,
         response_warnings,
         correction_diff,
         correction_diff_analytics,
         correction_queue,
+        correction_events,
+        make_corrections,
+        queue_views,
         correction_enqueue,
         lookup_upsert,
         truth_split,
@@ -283,6 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         first_mismatches,
         handoff_mapping,
         handoff_countries,
+        handoff_fields,
         batch_plan,
         batch_messages,
         external_batches,

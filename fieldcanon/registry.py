@@ -60,12 +60,30 @@ ANALYTICS_FIELD_TYPES = {
     "ownership relationship status": "ownership_relationship_status",
 }
 
-# Values of a ``Field`` column: names without "standardized" and "universal", and the keys themselves.
-STANDARD_FIELD_TYPES = (
-    {"designation": "positions_designations", "position": "positions_designations"}
-    | {k: v for k, v in ANALYTICS_FIELD_TYPES.items() if not k.startswith(("standardized", "universal"))}
-    | {k: k for k in FIELDS}
-)
+# Values of a ``Field`` column, in lower case; the fields' own keys are values too.
+STANDARD_FIELD_TYPES = {
+    "designation": "positions_designations",
+    "position": "positions_designations",
+    "business legal form": "business_legal_form",
+    "business status": "business_status",
+    "psc beneficiary type": "psc_beneficiary_type",
+    "brn type": "brn_type",
+    "directors officers type": "directors_officers_type",
+    "business entity type": "business_entity_type",
+    "ownership relationship type": "ownership_relationship_type",
+    "directors officers status": "directors_officers_status",
+    "ownership relationship status": "ownership_relationship_status",
+    "business_legal_form": "business_legal_form",
+    "positions_designations": "positions_designations",
+    "business_status": "business_status",
+    "psc_beneficiary_type": "psc_beneficiary_type",
+    "brn_type": "brn_type",
+    "directors_officers_type": "directors_officers_type",
+    "business_entity_type": "business_entity_type",
+    "ownership_relationship_type": "ownership_relationship_type",
+    "directors_officers_status": "directors_officers_status",
+    "ownership_relationship_status": "ownership_relationship_status",
+}
 
 # Labels of older files. The audit and the validation know only the first two.
 LEGACY_LABELS = {"Other / Unknown": CATCH_ALL, "Unknown": CATCH_ALL, "Owner/Controller": "Owner / Controller"}
@@ -73,40 +91,86 @@ LEGACY_LABELS_AUDIT = {k: v for k, v in LEGACY_LABELS.items() if v == CATCH_ALL}
 
 KEEP = "keep_by_country"
 
-# How conflicting raw values are resolved. Those listed by name alone keep one answer for each country.
-_KEPT = {
-    "positions_designations": (
-        "Administrator", "Assistant General Manager", "Associate", "Commissioner", "Communication Director", "Controller", "Director",
-        "Liquidating Agent", "Manager", "Member", "Officer", "President", "President,President", "Principal", "Secretary",
-        "Sole Administrator", "Treasurer", "administration director", "administrator", "administrator,partner", "ambassador",
-        "assistant director", "ceo", "chief executive officer", "commissioner", "company administrator", "company formation agent",
-        "controller", "cotas em tesouraria", "director", "director of finance", "director of operations", "entrepreneur", "executive",
-        "executive director", "financial director", "managing director", "managing director,director", "managing director,partner",
-        "marketing director", "mayor", "operations director", "personnel director", "president", "president,director", "presidente",
-        "principal", "production director", "purchasing director", "sales director", "senior managing director", "socio-administrador",
-        "sole managing administrator", "sole trader", "superintendent", "supervisor", "technical director", "trustee", "tutor",
-    ),
-    "business_legal_form": ("As", "business name", "headquarters", "subsidiary"),
-    "psc_beneficiary_type": ("Partner",),
-    "ownership_relationship_type": ("Share Ownership",),
-}
-_OVERRIDDEN = {
-    "business_legal_form": {"company": "Company", "non-stock": "Non-Profit / Cooperative"},
-    "business_status": {"Pending": "Pending / Insolvency"},
-    "ownership_relationship_status": {
-        "Active (Revived)": "Active",
-        "Dissolved": "Inactive",
-        "Inactive - Cancellation of GP": "Inactive",
+# How conflicting raw values of a field are resolved: by one label, or by keeping each country's own.
+_RESOLUTIONS = {
+    "positions_designations": {
+        "Administrator": KEEP,
+        "Assistant General Manager": KEEP,
+        "Associate": KEEP,
+        "Commissioner": KEEP,
+        "Communication Director": KEEP,
+        "Controller": KEEP,
+        "Director": KEEP,
+        "Liquidating Agent": KEEP,
+        "Manager": KEEP,
+        "Member": KEEP,
+        "Officer": KEEP,
+        "President": KEEP,
+        "President,President": KEEP,
+        "Principal": KEEP,
+        "Secretary": KEEP,
+        "Sole Administrator": KEEP,
+        "Treasurer": KEEP,
+        "administration director": KEEP,
+        "administrator": KEEP,
+        "administrator,partner": KEEP,
+        "ambassador": KEEP,
+        "assistant director": KEEP,
+        "ceo": KEEP,
+        "chief executive officer": KEEP,
+        "commissioner": KEEP,
+        "company administrator": KEEP,
+        "company formation agent": KEEP,
+        "controller": KEEP,
+        "cotas em tesouraria": KEEP,
+        "director": KEEP,
+        "director of finance": KEEP,
+        "director of operations": KEEP,
+        "entrepreneur": KEEP,
+        "executive": KEEP,
+        "executive director": KEEP,
+        "financial director": KEEP,
+        "managing director": KEEP,
+        "managing director,director": KEEP,
+        "managing director,partner": KEEP,
+        "marketing director": KEEP,
+        "mayor": KEEP,
+        "operations director": KEEP,
+        "personnel director": KEEP,
+        "president": KEEP,
+        "president,director": KEEP,
+        "presidente": KEEP,
+        "principal": KEEP,
+        "production director": KEEP,
+        "purchasing director": KEEP,
+        "sales director": KEEP,
+        "senior managing director": KEEP,
+        "socio-administrador": KEEP,
+        "sole managing administrator": KEEP,
+        "sole trader": KEEP,
+        "superintendent": KEEP,
+        "supervisor": KEEP,
+        "technical director": KEEP,
+        "trustee": KEEP,
+        "tutor": KEEP,
+    },
+    "business_legal_form": {
+        "As": KEEP,
+        "business name": KEEP,
+        "headquarters": KEEP,
+        "subsidiary": KEEP,
+        "company": "Company",
+        "non-stock": "Non-Profit / Cooperative",
+    },
+    "business_status": {
         "Pending": "Pending / Insolvency",
-        "Resigned": "Inactive",
-        "Start": CATCH_ALL,
     },
     "psc_beneficiary_type": {
+        "Partner": KEEP,
         "ORDINARY": "Owner / Beneficial Owner",
         "Person with Significant Control": "Controller",
         "unidentified share ownership": CATCH_ALL,
     },
-    "ownership_relationship_type": {"Unidentified Share Ownership": CATCH_ALL},
     "brn_type": {
         "Business Identification Number (BIN)": "Business Registration Number",
         "CAGE": "Proprietary / Third-party ID",
@@ -127,25 +191,63 @@ _OVERRIDDEN = {
         "USA SAM UEI NUMBER": "Proprietary / Third-party ID",
         "USA SEC CIK NUMBER": "Proprietary / Third-party ID",
     },
+    "ownership_relationship_type": {
+        "Share Ownership": KEEP,
+        "Unidentified Share Ownership": CATCH_ALL,
+    },
+    "ownership_relationship_status": {
+        "Active (Revived)": "Active",
+        "Dissolved": "Inactive",
+        "Inactive - Cancellation of GP": "Inactive",
+        "Pending": "Pending / Insolvency",
+        "Resigned": "Inactive",
+        "Start": CATCH_ALL,
+    },
 }
-RESOLUTIONS: dict[tuple[str, str], str] = {(f, raw): KEEP for f, raws in _KEPT.items() for raw in raws} | {
-    (f, raw): label for f, raws in _OVERRIDDEN.items() for raw, label in raws.items()
-}
+RESOLUTIONS: dict[tuple[str, str], str] = {(field, raw): to for field, pairs in _RESOLUTIONS.items() for raw, to in pairs.items()}
 
-# The countries that the registered queries meet. The whole dimension is a parameter
-# (columns ``country_id, country``), read with ``sources.tables.read_countries``.
+# The countries that have regional titles, and those that the registered queries meet
+# besides. The whole dimension, over 200 rows, is a parameter: a table with columns ``country_id,
+# country``, read with ``sources.tables.read_countries``.
 COUNTRIES = {
     -1: "Global",
     0: "Unknown",
     1: "Australia",
     2: "United States",
+    15: "Austria",
+    21: "Belgium",
+    23: "Bulgaria",
     37: "Canada",
+    42: "Switzerland",
+    54: "Cyprus",
+    55: "Czech Republic",
     56: "Germany",
+    58: "Denmark",
+    63: "Estonia",
+    67: "Spain",
+    69: "Finland",
     74: "France",
     80: "Gibraltar",
+    86: "Greece",
+    95: "Croatia",
+    97: "Hungary",
     99: "Ireland",
+    105: "Iceland",
+    106: "Italy",
+    125: "Liechtenstein",
+    129: "Lithuania",
+    130: "Luxembourg",
+    131: "Latvia",
+    135: "Monaco",
     148: "Malta",
     161: "Netherlands",
+    162: "Norway",
+    174: "Poland",
+    179: "Portugal",
+    184: "Romania",
+    191: "Sweden",
+    194: "Slovenia",
+    196: "Slovakia",
     224: "United Kingdom",
 }
 

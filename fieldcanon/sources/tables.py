@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.stats import RECORD
+from ..operators.stats import FAILURES, RECORD
 from .storage import exists
 
 # Headers of the raw-value column and of the country column; texts that mean "missing".
@@ -105,6 +105,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return _or_empty(spark, path, RECORD, spark.read.schema(RECORD).json)
 
 
+def append_failures(failures: DataFrame, path: str) -> None:
+    """Append the failed batches of a run, a JSON line each."""
+    failures.write.mode("append").json(path)
+
+
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    return _or_empty(spark, path, FAILURES, spark.read.schema(FAILURES).json)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append submissions or decisions to an event table of the correction queue."""
     events.write.mode("append").parquet(path)

@@ -107,6 +107,27 @@ def test_an_unknown_field_gets_nothing(spark):
         ("brn_type", "RNA Registration Number", "Charity Number"),
         ("business_legal_form", "Joint Venture LLC", "Company"),
         ("business_legal_form", "Joint Venture Company", "Partnership"),
+        ("business_legal_form", "Public Limited", "Company"),
+        ("business_legal_form", "Limited by guarantee", "Company"),
+        ("business_legal_form", "Domestic Corporation", "Company"),
+        ("business_legal_form", "Alien corporation", "Foreign Entity / Branch"),
+        ("business_legal_form", "Foreign company (RCS)", "Foreign Entity / Branch"),
+        ("business_legal_form", "Limited Partnership", "Partnership"),
+        ("business_legal_form", "Limited Liability Partnership (LLP)", "Partnership"),
+        ("business_legal_form", "Private Limited Company", "Company"),
+        ("business_legal_form", "limited", "Company"),
+        ("psc_beneficiary_type", "Corporate body", "Root Business"),
+        ("psc_beneficiary_type", "Company", "Root Business"),
+        ("psc_beneficiary_type", "PSC with control", "Controller"),
+        ("psc_beneficiary_type", "Controlling ISC", "Controller"),
+        ("psc_beneficiary_type", "PSC", "Owner / Beneficial Owner"),
+        ("psc_beneficiary_type", "Person with Significant Control (PSC)", "Owner / Beneficial Owner"),
+        ("psc_beneficiary_type", "PSC (Person with Significant Control)", "Owner / Beneficial Owner"),
+        ("psc_beneficiary_type", "Corporate Beneficial Owner", "Owner / Beneficial Owner"),
+        ("psc_beneficiary_type", "Holding Company owner", "Root Business"),
+        ("brn_type", "CRA Business Number, incorporated in SK", "Tax ID Number"),
+        ("brn_type", "Business Registration Number - Head Office", "Business Registration Number"),
+        ("brn_type", "Charity Commission of Northern Ireland Charity Number (GB)", "Charity Number"),
     ],
 )
 def test_written_rules(spark, field, raw, label):
@@ -116,7 +137,39 @@ def test_written_rules(spark, field, raw, label):
 def test_regional_titles(spark):
     cases = [
         ("NL", "Bestuurder", "Director", "Board Member"),
-        ("Belgium", "Bestuurder", "Director", "Director"),
+        ("Belgium", "Bestuurder", "Director", "Board Member"),
+        ("Canada", "Bestuurder", "Director", "Director"),
+        ("Austria", "Vorsitzender", "Other / Unclassified", "Board Member"),
+        ("BG", "Член на съвета", "Other / Unclassified", "Board Member"),
+        ("Bulgaria", "УПРАВИТЕЛ", "Other / Unclassified", "Executive Management"),
+        ("Switzerland", "Präsident des Verwaltungsrats", "Other / Unclassified", "Board Member"),
+        ("Cyprus", "Διοικητικός Σύμβουλος", "Other / Unclassified", "Board Member"),
+        ("Greece", "ΠΡΌΕΔΡΟΣ ΔΣ", "Other / Unclassified", "Board Member"),
+        ("Czech Republic", "Jednatel", "Other / Unclassified", "Executive Management"),
+        ("Denmark", "Bestyrelsesformand", "Other / Unclassified", "Board Member"),
+        ("Estonia", "Juhatuse liige", "Other / Unclassified", "Board Member"),
+        ("Spain", "Director General", "Director", "Executive Management"),
+        ("Spain", "Director de Departamento", "Director", "Executive Management"),
+        ("Finland", "Toimitusjohtaja", "Other / Unclassified", "Executive Management"),
+        ("Croatia", "Nadzorni odbor", "Other / Unclassified", "Board Member"),
+        ("Hungary", "Igazgatósági tag", "Other / Unclassified", "Board Member"),
+        ("Iceland", "Stjórnarmaður", "Other / Unclassified", "Board Member"),
+        ("Italy", "Amministratore Delegato", "Director", "Board Member"),
+        ("Liechtenstein", "Prokurist", "Authorized Representative", "Authorized Representative"),
+        ("Lithuania", "Direktorius", "Other / Unclassified", "Executive Management"),
+        ("Luxembourg", "Administrateur", "Director", "Board Member"),
+        ("Latvia", "Valdes loceklis", "Other / Unclassified", "Board Member"),
+        ("Monaco", "Membre du Conseil", "Other / Unclassified", "Board Member"),
+        ("Malta", "Direttur Mhux Eżekuttiv (NED)", "Other / Unclassified", "Board Member"),
+        ("Norway", "Daglig leder", "Other / Unclassified", "Executive Management"),
+        ("Poland", "Prezes Zarządu", "Other / Unclassified", "Board Member"),
+        ("Portugal", "Administrador", "Other / Unclassified", "Board Member"),
+        ("Romania", "Administrator", "Other / Unclassified", "Executive Management"),
+        ("Romania", "Membru al Consiliului de Administrație", "Other / Unclassified", "Board Member"),
+        ("Sweden", "Verkställande direktör (VD)", "Other / Unclassified", "Executive Management"),
+        ("Slovenia", "Upravni odbor", "Other / Unclassified", "Board Member"),
+        ("Slovakia", "Predseda predstavenstva", "Other / Unclassified", "Board Member"),
+        ("Gibraltar", "Department Head", "Other / Unclassified", "Other / Unclassified"),
         ("UK", "Operations Director", "Director", "Executive Management"),
         ("", "CEO", "Executive Management", "Executive Management"),
     ]

@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldcanon.operators import audit, batches, corrections, external, lookup, responses, route, stats, validate
 from fieldcanon.operators.rules import rules_column
-from fieldcanon.operators.standardize import RESULT_COLUMNS, by_column, export, standardize, standardize_analytics, standardize_mixed
+from fieldcanon.operators.standardize import RESULT_COLUMNS, by_column, counted_analytics, export, standardize, standardize_analytics, standardize_mixed
 from fieldcanon.registry import CATCH_ALL, ERROR_LABEL, LEGACY_LABELS_AUDIT, country_table
 from fieldcanon.sources import tables
 
@@ -117,6 +118,9 @@ def test_build_and_use_a_lookup(spark):
     assert list(got.values()).count(None) == 3 and got[POSITIONS, "UK", "President"] == "Board Member" and got[POSITIONS, "ES", "Boss"] == "Director"
     back = lookup.from_json(lookup.to_json(built).select(F.concat(F.lit('{"'), "field_key", F.lit('":'), "entry", F.lit("}")).alias("value")))
     assert sorted(rows(back)) == sorted(rows(built))
+    parts = lookup.to_json(built, entries=1)
+    assert parts.count() > parts.select("field_key").distinct().count()
+    assert sorted(rows(lookup.from_json(parts.select(F.concat(F.lit('{"'), "field_key", F.lit('":'), "entry", F.lit("}")).alias("value"))))) == sorted(rows(built))
 
 
 def test_lookup_saved_and_corrected(spark, tmp_path):
@@ -158,6 +162,23 @@ def test_statistics(spark):
     assert rows(stats.log_measures(record).select("output_count", "batches_failed")) == [(5, 1)]
 
 
+def test_failed_batches_are_rows(spark, tmp_path):
+    failed = spark.createDataFrame([(1, ["a", "b"], "down"), (2, ["c"], "down")], "batch_index int, values array<string>, error string")
+    assert tables.read_failures(spark, f"{tmp_path}/failed").count() == 0
+    for name in ("a.csv", "b.csv"):
+        tables.append_failures(stats.failure_rows(failed, name, F.lit("t")), f"{tmp_path}/failed")
+    assert sorted((r.source_file, r.batch_index, r["values"]) for r in tables.read_failures(spark, f"{tmp_path}/failed").collect()) == [(f, b, v) for f in ("a.csv", "b.csv") for b, v in ((1, ["a", "b"]), (2, ["c"]))]
+
+
+def test_counted_statistics_are_those_of_the_rows(spark):
+    df = analytics(spark).unionByName(analytics(spark))
+    known = spark.createDataFrame([("brn_type", "consistent", "", "LEI", "LEI")], "field_key string, tier string, country string, raw string, std string")
+    for lookup_ in (None, known):
+        of_rows = stats.run_stats(standardize_analytics(df, country_table(spark), lookup_, keep_keys=True), "fieldType")
+        of_counts = stats.run_stats(counted_analytics(df, country_table(spark), lookup_), "fieldType", weight="n")
+        assert sorted(rows(of_rows), key=str) == sorted(rows(of_counts.select(of_rows.columns)), key=str)
+
+
 def test_run_log_round_trip(spark, tmp_path):
     path = f"{tmp_path}/log"
     assert tables.read_records(spark, path).count() == 0
@@ -211,6 +232,18 @@ def test_batches_are_in_first_seen_order(spark, range_rows):
     assert own == {n: sum(m <= n and m % 2 == n % 2 for m in ids) for n in ids}
 
 
+@pytest.mark.parametrize("order", ["xxhash64(id)", "id * id * id", "id"])
+def test_no_task_ranks_a_whole_field(spark, order):
+    """200,000 keys of one field, ordered by a hash, sparsely, and densely."""
+    df = spark.range(200_000).selectExpr("id", f"{order} as at", "'f' as field_key")
+    out = batches.ranked(df, "at", within="field_key", range_rows=10_000)
+    plain = df.withColumn("want", F.row_number().over(Window.orderBy("at"))).select("id", "want")
+    assert out.join(plain, "id").where("position <> want").count() == 0 and out.count() == 200_000
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    ranges = batches.in_ranges(df, ["field_key", "at"], 10_000).groupBy("_range").count().collect()
+    assert 15 <= len(ranges) <= 20 and max(r["count"] for r in ranges) < 30_000 and sizes
+
+
 def test_messages(spark):
     keys = spark.createDataFrame([("f", "UK", "a\nb", 1), ("f", "", "c", 2), ("f", "", "d", 3)], "field_key string, country string, raw string, first_row bigint")
     got = {r.batch_no: r.message for r in batches.messages(batches.batch_plan(keys, 2)).collect()}
