@@ -256,14 +256,16 @@ def merge_spans(spans: np.ndarray) -> list[list[int]]:
     return merged
 
 
-def _search(rows: DataFrame, items: list, texts: list[str | None], item_type, shard_words: int) -> DataFrame:
-    """Add ``n_words, spans, items`` to the rows in place of their column ``text``."""
+def _search(rows: DataFrame, block: pa.Table, item_type, shard_words: int) -> DataFrame:
+    """Add ``n_words, spans, items`` to the rows in place of their column ``text``; ``block`` has some
+    items' ``item_id, text``."""
     kept = [f for f in rows.schema.fields if f.name != "text"]
     schema = StructType(kept).add("n_words", LongType()).add("spans", ArrayType(ArrayType(LongType()))).add("items", ArrayType(item_type))
 
+    names, texts = block["item_id"].combine_chunks(), block["text"].to_pylist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(texts)
-        names = np.array(items, object)
         pending: list[pa.RecordBatch] = []  # rows of the shard, without their texts
         shard: list[np.ndarray] = []
         long: dict[int, tuple] = {}  # what was found in long texts
@@ -275,10 +277,12 @@ def _search(rows: DataFrame, items: list, texts: list[str | None], item_type, sh
             for k, x in long.items():
                 found[k] = x
             table = pa.Table.from_batches(pending).combine_chunks()
+            ends = np.cumsum([0, *(len(x) for _, x in found)])
+            flat = pa.array([i for _, x in found for i in x], pa.int64())
             more = (
                 pa.array(counts, pa.int64()),
                 pa.array([x for x, _ in found], pa.list_(pa.list_(pa.int64()))),
-                pa.array([names[x].tolist() for _, x in found]) if any(x for _, x in found) else pa.array([[]] * len(found), pa.list_(pa.null())),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(flat)),  # ids of any type
             )
             for name, column in zip(("n_words", "spans", "items"), more):
                 table = table.append_column(name, column)
@@ -334,8 +338,7 @@ def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     item_type = items.schema["item_id"].dataType
 
     def search(of: DataFrame, k: int) -> DataFrame:
-        block = items.where(F.col("block") == k).select("item_id", "text").collect()
-        return _search(of, [r.item_id for r in block], [r.text for r in block], item_type, shard_words)
+        return _search(of, items.where(F.col("block") == k).select("item_id", "text").toArrow(), item_type, shard_words)
 
     tidy = F.array_sort(F.array_distinct("items"))
     if n == 1:

@@ -76,6 +76,15 @@ def test_items_with_text_ids(spark):
     assert (row.spans, row["items"]) == ([[1, 4]], ["a", "b"])
 
 
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_shards_with_and_without_hits(spark, kind):
+    rows = [(i, "x y" if i % 5 == 4 else "no hit") for i in range(40)]
+    items = spark.createDataFrame([("7" if kind == "string" else 7, "x y")], f"item_id {kind}, text string")
+    out = dc.contamination_spans(docs_of(spark, rows).coalesce(1), items, shard_words=4)
+    assert out.schema["items"].dataType.elementType.simpleString() == kind
+    assert {r.doc_id for r in out.collect() if r["items"] == [items.first().item_id]} == {i for i, t in rows if t == "x y"}
+
+
 def test_windows_take_little_memory():
     rng = random.Random(3)
     windows = dc.Windows([" ".join(f"w{rng.randrange(5000)}" for _ in range(40_000)) for _ in range(4)] + ["w1 w2", "w1 w2"])
