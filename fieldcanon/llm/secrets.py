@@ -35,6 +35,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters of a text that are counted at a time.
+PIECE = 1_000_000
 #: Letters of the shortest word that is counted.
 LEAST_WORD = 3
 
@@ -42,6 +44,7 @@ _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(len(_SYMBOLS))
 _N = len(_SYMBOLS)
+_MARKS = np.array([_SYMBOLS.index(x) for x in "_-/"])
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -75,51 +78,44 @@ def random_strings(n: int = FIT_RANDOM, seed: int = 11) -> list[str]:
     return ["".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(20, 48))) for i in range(n)]
 
 
-def samples(texts: Iterator[str]) -> tuple[str, list[str]]:
-    """The texts without what the fixed patterns find, one a line; and the strings that they find."""
-    clear, secret = [], []
-    for text in texts:
-        at = 0
-        for start, end, _ in base_spans(text):
-            clear.append(text[at:start])
-            at = max(at, end)
-            secret += re.findall(r"[A-Za-z0-9+/_=-]{6,}", text[start:end])[-1:]
-        clear.append(text[at:])
-    return "\n".join(clear), secret
+def samples(text: str) -> tuple[Iterator[str], list[str]]:
+    """A text without what the fixed patterns find, in pieces of bounded length; and the strings that
+    they find."""
+    at, clear, secret = 0, [], []
+    for start, end, _ in base_spans(text):
+        clear += [text[at:start], "\n"]
+        at = max(at, end)
+        secret += re.findall(r"[A-Za-z0-9+/_=-]{6,}", text[start:end])[-1:]
+    text = "".join([*clear, text[at:]]) if clear else text
+    return (text[k : k + PIECE] for k in range(0, len(text), PIECE)), secret
 
 
 def ordinary_counts(text: str) -> np.ndarray:
     """Transitions of ordinary strings: the words of a text, and identifiers made of four words each,
     joined by ``_``, ``-`` or ``/`` in lower case or written together with a capital third word."""
-    data = np.frombuffer(text.encode("ascii", "replace").replace(b"?", b"\n"), np.uint8)
-    codes = _CODE[data]
-    letter = np.concatenate(([False], (codes >= 0) & (codes < 52), [False]))
+    codes = _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]  # what isn't ASCII is no symbol, nor is "?"
+    letter = np.zeros(len(codes) + 2, bool)
+    letter[1:-1] = (codes >= 0) & (codes < 52)
     edges = np.flatnonzero(letter[1:] != letter[:-1])
     starts, ends = edges[::2], edges[1::2]
     long = ends - starts >= LEAST_WORD
     starts, ends = starts[long], ends[long]
-    inside = np.zeros(len(codes) + 1, np.int8)
-    inside[starts] += 1
-    inside[ends - 1] -= 1
-    at = np.flatnonzero(np.cumsum(inside[:-1]))  # every letter of a word but the last
-    pair = lambda x, y: np.bincount(x * _N + y, minlength=_N * _N)
-    counts = pair(codes[at], codes[at + 1])
+    # Every letter of a word but the last, with the next one.
+    sizes = ends - starts - 1
+    at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    pairs = [codes[at] * _N + codes[at + 1]]
     whole = len(starts) // 4 * 4
-    if not whole:
-        return counts
-    # Words in groups of four, their letters in lower case; the kind of identifier goes round.
-    small = np.where(codes >= 26, codes - 26, codes)
-    at = at[at < ends[whole - 1]]
-    counts += pair(small[at], small[at + 1])
-    first, last = small[starts[:whole]].reshape(-1, 4), small[ends[:whole] - 1].reshape(-1, 4)
-    kind = np.arange(whole // 4) % 4
-    for k, mark in enumerate("_-/"):
-        mine = kind == k
-        sign = np.full(3 * int(mine.sum()), _SYMBOLS.index(mark))
-        counts += pair(last[mine, :3].ravel(), sign) + pair(sign, first[mine, 1:].ravel())
-    mine = kind == 3
-    head = first[mine, 1:] + np.array([0, 26, 0])
-    return counts + pair(last[mine, :3].ravel(), head.ravel())
+    if whole:
+        # Words in groups of four, their letters in lower case; the kind of identifier goes round.
+        small = np.where(codes >= 26, codes - 26, codes)
+        at = at[: sizes[:whole].sum()]
+        first, last = small[starts[:whole]].reshape(-1, 4)[:, 1:], small[ends[:whole] - 1].reshape(-1, 4)[:, :3]
+        kind = np.arange(whole // 4) % 4
+        joined = kind < 3
+        sign = _MARKS[kind[joined], None]
+        capital = first[~joined] + np.array([0, 26, 0])
+        pairs += [small[at] * _N + small[at + 1], last[joined] * _N + sign, sign * _N + first[joined], last[~joined] * _N + capital]
+    return np.bincount(np.concatenate([p.ravel() for p in pairs]), minlength=_N * _N)
 
 
 def _chances(counts: np.ndarray) -> np.ndarray:
@@ -137,15 +133,19 @@ def ratios(random_counts: np.ndarray, ordinary_counts: np.ndarray) -> np.ndarray
 def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Train both models on all documents; return their log ratio for each pair of symbols.
 
-    Without documents only the strings drawn at random tell the models apart.
+    Documents are counted one by one, so the same documents give the same models however they are
+    dealt to tasks. Without documents only the strings drawn at random tell the models apart.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((2, _N * _N), np.int64)
         for batch in batches:
-            clear, secret = samples(batch["text"])
-            counts[0] += ordinary_counts(clear)
-            counts[1] += np.bincount(transitions("\n".join(secret)), minlength=_N * _N)
+            for text in batch["text"]:
+                pieces, secret = samples(text)
+                for piece in pieces:
+                    counts[0] += ordinary_counts(piece)
+                if secret:
+                    counts[1] += np.bincount(transitions("\n".join(secret)), minlength=_N * _N)
         label, pair = np.nonzero(counts)
         yield pd.DataFrame({"label": label.astype(bool), "pair": pair, "n": counts[label, pair]})
 
