@@ -26,7 +26,8 @@ NEIGHBOURS = 15
 #: A neighbour's vote is its cosine to this power.
 SHARPNESS = 8
 THRESHOLD = 0.7
-BLOCK = 1024
+#: Documents that are compared at a time.
+BLOCK = 256
 
 #: Terms of each kind, words by hash, and the weights of the kinds.
 WORDS, SHAPES, LAGS = 2048, 512, 8

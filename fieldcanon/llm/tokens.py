@@ -21,7 +21,7 @@ from .common import text_of
 
 LIMIT = 2048
 #: Stretches of text whose counts a task remembers; all are forgotten when there are more.
-CACHE = 500_000
+CACHE = 150_000
 #: A longer stretch is counted and forgotten.
 LONGEST = 64
 WORD_END = "</w>"
