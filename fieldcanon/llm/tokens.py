@@ -20,8 +20,9 @@ from pyspark.sql.types import LongType
 from .common import text_of
 
 LIMIT = 2048
-#: Stretches of text whose counts a task remembers; all are forgotten when there are more.
-CACHE = 150_000
+#: Stretches of text whose counts a task remembers; when there are as many, those not seen since the
+#: last time that there were are forgotten.
+CACHE = 300_000
 #: A longer stretch is counted and forgotten.
 LONGEST = 64
 WORD_END = "</w>"
@@ -94,12 +95,15 @@ class _Counts(dict):
     """Remembered counts of words; others are counted when they are asked for."""
 
     def __init__(self, count: Callable[[str], int]):
-        self.count = count
+        self.count, self.older = count, {}
 
     def __missing__(self, word: str) -> int:
-        n = self.count(word)
+        n = self.older.get(word)
+        if n is None:
+            n = self.count(word)
         if len(word) <= LONGEST:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[word] = n
         return n
