@@ -35,6 +35,8 @@ WIDTH = WORDS + SHAPES + LAGS
 WEIGHTS = (1.0, 0.5, 0.5)
 #: Cosines are compared in steps of this, so that equal texts are equally near however they are batched.
 STEP = 1e-5
+#: Rounds of the iteration that finds the latent axes.
+ROUNDS = 24
 
 _CLASSES = np.full(256, 6, np.uint16)  # other marks
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r\t", b".,;:?'\"-()")):
@@ -146,16 +148,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def latent_axes(x: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """The leading right singular vectors of ``x`` as columns, from the smaller of its two products
-    with itself. A vector's sign is that of its largest entry, as any sign would do."""
-    if len(x) >= x.shape[1]:
-        _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        axes = vectors[:, ::-1][:, :dimensions]
-    else:
-        values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
-        values, vectors = values[::-1][:dimensions], vectors[:, ::-1][:, :dimensions]
-        kept = values > max(values[0], 0) * 1e-9
-        axes = x.T @ (vectors[:, kept] / np.sqrt(values[kept])) if kept.any() else np.zeros((x.shape[1], 1))
+    """The leading right singular vectors of ``x`` as columns, by subspace iteration.
+
+    A fixed start of twice as many columns is multiplied by ``x`` and its transpose ``ROUNDS`` times,
+    so the driver holds no square matrix of all terms. A vector's sign is that of its largest entry,
+    as any sign would do.
+    """
+    width = min(2 * dimensions, *x.shape)
+    basis = np.random.default_rng(7).standard_normal((x.shape[1], width)).astype(np.float32)
+    for _ in range(ROUNDS):
+        basis, _ = np.linalg.qr(x.T @ (x @ basis))
+    seen = (x @ basis).astype(np.float64)
+    values, turn = np.linalg.eigh(seen.T @ seen)
+    values, turn = values[::-1][:dimensions], turn[:, ::-1][:, :dimensions]
+    kept = values > max(values[0], 0) * 1e-9
+    if not kept.any():
+        return np.zeros((x.shape[1], 1), np.float32)
+    axes = basis @ turn[:, kept]
     return np.ascontiguousarray((axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])).astype(np.float32))
 
 

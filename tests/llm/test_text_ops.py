@@ -409,6 +409,17 @@ def test_quality_end_to_end_against_brute_force(spark):
         assert got[i] == pytest.approx(slow_vote(row, model), abs=0.02), i
 
 
+@pytest.mark.parametrize("shape", [(300, 400), (400, 300), (5, 80), (1, 40)])
+def test_latent_axes_are_those_of_the_full_decomposition(shape):
+    rng = np.random.default_rng(3)
+    u, v = (np.linalg.qr(rng.normal(size=(n, min(shape))))[0] for n in shape)
+    x = (u * 0.9 ** np.arange(min(shape)) @ v.T).astype(np.float32)
+    axes, want = quality.latent_axes(x), v[:, : quality.DIMENSIONS]
+    assert axes.shape == want.shape
+    assert np.abs(np.abs(axes.T @ want) - np.eye(want.shape[1])).max() < 0.01
+    assert not quality.latent_axes(np.zeros(shape, np.float32)).any()
+
+
 def test_equally_near_labels_all_vote():
     one = np.eye(4)[[0] * 40 + [1]].astype(float)
     labels = np.array([1.0] * 10 + [0.0] * 30 + [1.0])
