@@ -131,13 +131,17 @@ def counter_for(path: str) -> Callable[[str | None], int]:
     special = regex.compile("|".join(regex.escape(m) for m in marks)) if marks else None
     simple, simple_pieces, spaced = re.compile(SIMPLE).fullmatch, re.compile(SIMPLE_PIECES).findall, regex.compile(r"\p{White_Space}+")
 
-    pieces = _Counts(merges.left)  # by their letters
+    others = _Counts(lambda piece: merges.left("".join([letters[b] for b in piece.encode()])))
 
     def count_stretch(stretch: str) -> int:
+        if stretch.isascii() and stretch.isalpha():  # one piece, and its letters stand for themselves
+            low = stretch.lower()
+            return merges.left(low) if low == stretch else stretches[low]
         if not simple(stretch):
-            return sum(pieces[p] for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(stretch)))
-        return sum(pieces["".join([letters[b] for b in p.encode()])] for p in simple_pieces(stretch.lower()))
+            return sum(map(by_letters.__getitem__, (p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(stretch)))))
+        return sum([stretches[p] if p.isascii() and p.isalpha() else others[p] for p in simple_pieces(stretch.lower())])
 
+    by_letters = _Counts(merges.left)
     stretches = _Counts(count_stretch)
 
     def count_plain(text: str) -> int:
