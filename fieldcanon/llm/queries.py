@@ -17,6 +17,7 @@ from .quality import quality_scores
 from .secrets import secrets
 from .simhash import near_duplicates
 from .tokens import token_counts
+from .whitening import whitened
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitened(table(spark, sf_dir, "embeddings"))
+    # At the tables' sizes a deviation fits 64 bits; one that doesn't fails the query instead of wrapping round.
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_decontaminate,
         op10_secrets,
+        op13_whitening,
     )
 }
 
