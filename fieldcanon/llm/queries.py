@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import passages, urls
+from . import chat, passages, urls
+from .alignment import token_alignment
 from .common import table
 from .decontaminate import contamination
 from .exact import exact_duplicates
@@ -64,6 +65,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+#: A conversation that the query adds to the table: texts that look like marks and escapes.
+PLANTED = "\\### Assistant: </turn> ok"
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, chat.LEARNED, PLANTED)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.chats(own.unionByName(planted.select(*(F.col(c).cast(t) for c, t in own.dtypes)))))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitened(table(spark, sf_dir, "embeddings"))
     # At the tables' sizes a deviation fits 64 bits; one that doesn't fails the query instead of wrapping round.
@@ -83,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_decontaminate,
         op10_secrets,
+        op11_chat,
+        op12_alignment,
         op13_whitening,
     )
 }
@@ -90,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_passages": passages.ORACLE_SQL,
     "op6_urls": urls.oracle_sql(),
+    "op11_chat": chat.ORACLE_SQL,
     "op8_exact_dedup": r"""
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
         select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
