@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import field_table, resolution_table
-
-#: Letters that raw values are dealt by when they are numbered.
-LETTERS = 3
+from .batches import RANGE_ROWS, ranked
 
 COLUMNS = ["Field", "Conflict Group", "Raw Value", "Num Answers", "All Answers", "Standardized Value", "Country", "Resolution", "Field Key"]
 
@@ -19,24 +17,19 @@ def conflicts(triples: DataFrame) -> DataFrame:
     return pairs.groupBy("field_key", "raw").agg(F.array_sort(F.collect_list("std")).alias("answers")).where(F.size("answers") > 1)
 
 
-def numbered(keys: DataFrame) -> DataFrame:
+def numbered(keys: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``group_no``: 1, 2, ... over field order and raw value.
 
-    Raw values are ranked among those with the same first letters, and the counts of all letters
-    and fields before are added, so no task ranks a whole field.
+    Raw values are ranked inside sampled ranges (``batches.ranked``), whatever letters they share, and the
+    counts of the fields before, a row each, are added.
     """
     fields = F.broadcast(field_table(keys.sparkSession).select("field_key", "field_order", "display_name"))
-    own = ["field_order", "_letters"]
-    parts = keys.join(fields, "field_key").withColumn("_letters", F.substring("raw", 1, LETTERS))
-    ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy(*own).orderBy("raw")))
-    sizes = parts.groupBy(*own).agg(F.count("*").alias("_n"))
-    inside = F.sum("_n").over(Window.partitionBy("field_order").orderBy("_letters").rowsBetween(Window.unboundedPreceding, -1))
-    of_field = sizes.groupBy("field_order").agg(F.sum("_n").alias("_n"))
-    earlier = of_field.alias("b").join(F.broadcast(of_field.alias("a")), F.col("a.field_order") < F.col("b.field_order"), "left")
+    placed = ranked(keys.join(fields, "field_key"), "raw", "_place", "field_order", range_rows)
+    sizes = placed.groupBy("field_order").agg(F.count("*").alias("_n"))
+    earlier = sizes.alias("b").join(F.broadcast(sizes.alias("a")), F.col("a.field_order") < F.col("b.field_order"), "left")
     earlier = earlier.groupBy(F.col("b.field_order").alias("field_order")).agg(F.coalesce(F.sum("a._n"), F.lit(0)).alias("_earlier"))
-    offsets = sizes.withColumn("_before", F.coalesce(inside, F.lit(0))).drop("_n").join(F.broadcast(earlier), "field_order")
-    joined = ranked.join(offsets, own)
-    return joined.withColumn("group_no", (F.col("_rank") + F.col("_before") + F.col("_earlier")).cast("int")).drop("_rank", "_before", "_earlier", "_letters")
+    joined = placed.join(F.broadcast(earlier), "field_order")
+    return joined.withColumn("group_no", (F.col("_place") + F.col("_earlier")).cast("int")).drop("_place", "_earlier")
 
 
 def audit_rows(triples: DataFrame) -> DataFrame:
@@ -76,9 +69,10 @@ def answer_lines(rows: DataFrame, shown: int = 8) -> DataFrame:
 
 
 def apply_resolutions(rows: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
-    """Fill ``Resolution`` by field key and raw value, outer spaces aside."""
+    """Fill ``Resolution`` by field key and raw value, outer spaces aside. Spark broadcasts the resolutions
+    while they are below its threshold."""
     known = resolution_table(rows.sparkSession) if resolutions is None else resolutions
-    known = F.broadcast(known.select(F.col("field_key").alias("_field"), F.col("raw").alias("_raw"), F.col("resolution").alias("_resolution")))
+    known = known.select(F.col("field_key").alias("_field"), F.col("raw").alias("_raw"), F.col("resolution").alias("_resolution"))
     joined = rows.join(known, (F.trim("Field Key") == F.col("_field")) & (F.trim("Raw Value") == F.col("_raw")), "left")
     return joined.withColumn("Resolution", F.coalesce("_resolution", "Resolution")).drop("_field", "_raw", "_resolution")
 

@@ -106,9 +106,10 @@ def external_classifier(client: Callable[[], Client], prompts: dict[str, str], f
 
 
 def failures(folder: str, spark) -> DataFrame:
-    """The failed batches of a run for its log record: ``batch_index, values, error``."""
+    """The failed batches of a run for its log record: ``field_key, batch_index, values, error``. Batches are
+    numbered inside each field."""
     responses = spark.read.parquet(f"{folder}/responses").where("error is not null")
-    values = spark.read.parquet(f"{folder}/batches").groupBy("batch_id", F.col("batch_no").cast("bigint").alias("batch_index")).agg(
+    values = spark.read.parquet(f"{folder}/batches").groupBy("batch_id", "field_key", F.col("batch_no").cast("bigint").alias("batch_index")).agg(
         F.array_sort(F.collect_list(F.struct("item", display_text(F.col("raw"), F.col("country")).alias("value")))).alias("items")
     )
-    return responses.join(values, "batch_id").select("batch_index", F.transform("items", lambda i: i["value"]).alias("values"), "error")
+    return responses.join(values, "batch_id").select("field_key", "batch_index", F.transform("items", lambda i: i["value"]).alias("values"), "error")

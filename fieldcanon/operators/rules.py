@@ -101,6 +101,10 @@ RULES: dict[str, tuple[Rule, ...]] = {
         ),
         ("exact", "Root Business", ("company", "corporation", "legal entity", "corporate entity")),
         ("word", "Root Business", ("corporate body", "body corporate", "parent structure", "business entity", "parent entity", "immediate parent", "ultimate parent", "global parent", "holding company", "parent company", "root entity")),
+        # People with a part in a company, and companies that own, are not records of the company itself.
+        ("word", "Controller", ("company secretary", "corporate secretary", "company director", "corporate director", "company officer", "corporate officer")),
+        ("word", "Owner / Beneficial Owner", ("corporate beneficial owner", "corporate owner", "company owner", "corporate shareholder", "company shareholder")),
+        ("word", "Root Business", ("company", "corporation", "legal entity", "corporate entity")),
         ("exact", "Controller", ("managing partner", "managing director")),
         ("exact", "Owner / Beneficial Owner", ("psc (person with significant control)",)),
         # A person with significant control or the like where the control itself is spoken of.
@@ -421,20 +425,27 @@ def one_sigma(text: str) -> str:
     return text.replace("ς", "σ")
 
 
+def _any_word(titles: tuple[str, ...]) -> str:
+    return "(?<![a-z0-9])(" + "|".join(re.escape(one_sigma(t)).replace(r"\ ", " ") for t in titles) + ")(?![a-z0-9])"
+
+
 def position_by_region(raw: Column, country: Column, general: Column, regional: dict = REGIONAL, executive: dict = EXECUTIVE) -> Column:
     """A title's label by its country's tables, else ``general``.
 
     Board titles come first, then those that the country's notes call executive management. Any
     other title of the management list is never a board member or director: where ``general`` says
-    so, it is executive management.
+    so, it is executive management. A map gives each country its patterns, so the expression has the
+    same size for any number of countries; ask it for distinct titles.
     """
-    text, place, label = F.translate(F.lower(raw), "ς", "σ"), F.lower(country), general
-    fits = lambda titles: _fits(text, "word", tuple(map(one_sigma, titles))) if titles else F.lit(False)
-    for names, (board, management) in regional.items():
-        managed = F.when(general.isin("Board Member", "Director"), "Executive Management").otherwise(general)
-        own = F.when(fits(board), "Board Member").when(fits(executive.get(names, ())), "Executive Management").when(fits(management), managed).otherwise(general)
-        label = F.when(place.isin(*names), own).otherwise(label)
-    return label
+    text, place = F.translate(F.lower(raw), "ς", "σ"), F.lower(country)
+
+    def fits(titles: dict[tuple[str, ...], tuple[str, ...]]) -> Column:
+        patterns = [F.lit(x) for names, own in titles.items() if own for name in names for x in (name, _any_word(own))]
+        return F.regexp_like(text, F.try_element_at(F.create_map(*patterns), place)) if patterns else F.lit(False)
+
+    board, management = ({names: lists[i] for names, lists in regional.items()} for i in (0, 1))
+    demoted = fits(management) & general.isin("Board Member", "Director")
+    return F.when(fits(board), "Board Member").when(fits(executive) | demoted, "Executive Management").otherwise(general)
 
 
 def governor(raw: Column, legal_form: Column, otherwise: Column) -> Column:

@@ -15,7 +15,7 @@ RECORD = (
     "timestamp string, source_file string, raw_column string, total_rows bigint, blank_rows bigint, unique_values_sent bigint, duplicates_reused bigint, "
     "batches_total bigint, batches_failed bigint, values_failed bigint, retries_used bigint, flagged_count bigint, mismatches array<string>"
 )
-FAILURES = "timestamp string, source_file string, batch_index bigint, values array<string>, error string"
+FAILURES = "timestamp string, source_file string, field_key string, batch_index bigint, values array<string>, error string"
 
 
 def field_type_summary(df: DataFrame, type_column: str, types: dict[str, str] = ANALYTICS_FIELD_TYPES) -> DataFrame:
@@ -62,9 +62,9 @@ def run_totals(stats: DataFrame) -> DataFrame:
 
 def run_record(stats: DataFrame, source_file: str, raw_column: str, timestamp: Column | None = None, failures: DataFrame | None = None, retries: int = 0) -> DataFrame:
     """The log record of a run: ``stats`` summed up, with the numbers of failed batches and of their
-    values. ``failures`` has ``batch_index, values, error``; only its counts are gathered."""
+    values. ``failures`` has ``field_key, batch_index, values, error``; only its counts are gathered."""
     spark = stats.sparkSession
-    failed = failures if failures is not None else spark.createDataFrame([], "batch_index bigint, values array<string>, error string")
+    failed = failures if failures is not None else spark.createDataFrame([], "field_key string, batch_index bigint, values array<string>, error string")
     lost = failed.agg(F.count("*").alias("batches_failed"), F.coalesce(F.sum(F.size("values")), F.lit(0)).cast("bigint").alias("values_failed"))
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX") if timestamp is None else timestamp
     both = run_totals(stats).withColumn("_one", F.lit(1)).join(lost.withColumn("_one", F.lit(1)), "_one")  # one row each
@@ -87,7 +87,7 @@ def run_record(stats: DataFrame, source_file: str, raw_column: str, timestamp: C
 
 def failure_rows(failures: DataFrame, source_file: str, timestamp: Column) -> DataFrame:
     """The failed batches of a run as rows of the failure table, to be appended beside its record."""
-    return failures.select(timestamp.alias("timestamp"), F.lit(source_file).alias("source_file"), F.col("batch_index").cast("bigint").alias("batch_index"), "values", "error")
+    return failures.select(timestamp.alias("timestamp"), F.lit(source_file).alias("source_file"), "field_key", F.col("batch_index").cast("bigint").alias("batch_index"), "values", "error")
 
 
 def log_measures(records: DataFrame) -> DataFrame:

@@ -340,6 +340,10 @@ ORACLE_SQL: dict[str, str] = {
                case when field_key is null then 'Unknown field type' when raw = '' then '{CATCH_ALL}' else case field_key {" ".join(f"when {text(k)} then {items(v[1])}[n % {len(v[1])} + 1]" for k, v in FIELDS.items())} end end as standardized_value,
                case when field_key is null then {UNKNOWN} when raw = '' then 'Needs Review' else '' end as needs_review, '' as review_reason from shown""",
     "rules_positions_regional": _regional(),
+    "rule_table_positions": _regional(),
+    "quoted_round_trip": """select o_orderkey as row_id, 'a' || m || o_custkey || m || 'z' as value, '5" pipe' as size
+        from (select *, ['"', '""', chr(10), '"' || chr(10) || '"', ',', chr(10) || chr(10) || ',', '",' || chr(10) || '"', ' '][o_orderkey % 8 + 1] as m from orders)""",
+    "rule_table_labels": " union all ".join(f"select {text(k)} as field_key, * from ({rules_sql(k)})" for k in derived.RULE_VALUES if k in RULES),
     "compliance_flag": f"with {_rule_rows('positions_designations')} select row_id, raw from low where {any_within('t', ['liquidator', 'receiver', 'insolvency practitioner'])}",
     "rules_status": rules_sql("business_status"),
     "rules_do_status": rules_sql("directors_officers_status"),
@@ -351,3 +355,4 @@ ORACLE_SQL: dict[str, str] = {
     "rules_legal_form": rules_sql("business_legal_form"),
 }
 ORACLE_SQL = {name: whole_counts(sql) for name, sql in ORACLE_SQL.items()}
+ORACLE_SQL |= {"queue_store": ORACLE_SQL["correction_queue"], "queue_submit": ORACLE_SQL["correction_enqueue"], "lookup_store": ORACLE_SQL["lookup_upsert"]}

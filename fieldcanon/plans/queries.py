@@ -5,12 +5,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..countries import country_table
 from ..functions.classify import classify
-from ..operators import audit, batches, corrections, external, lookup, responses, route, rules, standardize, stats, validate
-from ..registry import FIELDS, LEGACY_LABELS_AUDIT, country_table, resolution_table
+from ..operators import audit, batches, corrections, external, lookup, responses, route, rules, ruletable, standardize, stats, stores, validate
+from ..registry import CATCH_ALL, FIELDS, LEGACY_LABELS_AUDIT, resolution_table
 from ..sources import tables
 from ..sources.storage import new_folder, written
 from . import derived
@@ -58,6 +59,17 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(found.items()), "name string, layout string")
 
 
+def quoted_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with line breaks, quotes and commas written as one CSV file and read back by its splits."""
+    key = F.col("o_orderkey")
+    marks = derived.pick(('"', '""', "\n", '"\n"', ",", "\n\n,", '",\n"', " "), key % 8)
+    rows = derived.table(spark, sf_dir, "orders").select(key.alias("row_id"), F.concat(F.lit("a"), marks, F.col("o_custkey").cast("string"), marks, F.lit("z")).alias("Value"), F.lit('5" pipe').alias("Size"))
+    path = f"{new_folder(spark)}/quoted.csv"
+    tables.write_table(rows.coalesce(1), path, "csv")
+    df = tables.read_table(spark, path)
+    return df.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("Value").alias("value"), F.col("Size").alias("size"))
+
+
 def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table written as CSV, read back, and its columns found by their headers."""
     path = f"{new_folder(spark)}/table.csv"
@@ -163,7 +175,7 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches with a wrong total, as if they had failed."""
     items = derived.inputs(spark, sf_dir).where("batch_id % 7 = 0")
-    return items.groupBy(F.col("batch_id").alias("batch_index")).agg(F.array_sort(F.collect_list("raw")).alias("values"), F.lit("timed out").alias("error"))
+    return items.groupBy(F.lit("positions_designations").alias("field_key"), F.col("batch_id").alias("batch_index")).agg(F.array_sort(F.collect_list("raw")).alias("values"), F.lit("timed out").alias("error"))
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,9 +189,10 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, per_type, failed = new_folder(spark), written(_run(spark, sf_dir), "stats"), written(_failed(spark, sf_dir), "failed")
     for name, lost in (("first", failed), ("second", None)):
         when = F.lit(f"2024-01-01T00:00:00+00:00 {name}")
-        tables.append_record(stats.run_record(per_type, name, "inputText", when, lost, retries=2), f"{folder}/log")
-        if lost is not None:
-            tables.append_failures(stats.failure_rows(lost, name, when), f"{folder}/failures")
+        for _ in range(2):  # a rerun adds nothing
+            tables.append_record(stats.run_record(per_type, name, "inputText", when, lost, retries=2), f"{folder}/log", name)
+            if lost is not None:
+                tables.append_failures(stats.failure_rows(lost, name, when), f"{folder}/failures", name)
     values = tables.read_failures(spark, f"{folder}/failures").groupBy("source_file").agg(F.sum(F.size("values")).alias("values_listed"))
     records = tables.read_records(spark, f"{folder}/log").join(values, "source_file", "left").drop("mismatches")
     return records.withColumn("values_listed", F.coalesce("values_listed", F.lit(0)).cast("bigint"))
@@ -219,15 +232,49 @@ def correction_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queue from event tables that were appended to in two steps and read back."""
+    """The queue from event tables that were appended to in two steps, one of them rerun, and read back."""
     folder, sent, decided = new_folder(spark), derived.submissions(spark, sf_dir), derived.decisions(spark, sf_dir)
     for name, events in (("submissions", sent), ("decisions", decided)):
-        for odd in (1, 0):
-            tables.append_events(events.where(F.col("id") % 2 == odd), f"{folder}/{name}")
+        for odd in (1, 0, 1):  # the third append repeats the first one's batch
+            tables.append_events(events.where(F.col("id") % 2 == odd), f"{folder}/{name}", f"part {odd}")
     read = lambda name, like: tables.read_events(spark, f"{folder}/{name}", like.schema)
     return corrections.queue_state(read("submissions", sent), read("decisions", decided))
 
 
+def queue_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue from its store: decisions in three batches, one of them rerun, and rewritten before the last."""
+    sent, decided = derived.submissions(spark, sf_dir), derived.decisions(spark, sf_dir)
+    store = stores.QueueStore(spark, new_folder(spark), sent.schema.toDDL(), decided.schema.toDDL())
+    store.submissions.append(sent, "sent")
+    for part in (0, 1, 0, 2):
+        if part == 2:
+            store.compact()
+        store.decide(decided.where(F.col("seq") % 3 == part), f"decided {part}")
+    return store.state()
+
+
+def queue_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a queue that holds the latest submission of each key takes of all submissions, sent twice."""
+    latest = Window.partitionBy("field_key", "raw_value", "country").orderBy(F.desc("id"))
+    sent, decided = derived.submissions(spark, sf_dir), derived.decisions(spark, sf_dir)
+    store = stores.QueueStore(spark, new_folder(spark), sent.schema.toDDL(), decided.schema.toDDL())
+    store.submissions.append(sent.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n"))
+    store.decide(decided)
+    at = store.submissions.version()
+    for _ in range(2):
+        store.submit(sent, "id", "all")
+    return store.submissions.since(at)
+
+
+def lookup_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored lookup after approvals were brought in, twice by one name; read from the store."""
+    store = stores.lookup_store(spark, new_folder(spark))
+    store.replace(_lookup(spark, sf_dir), "built")
+    for _ in range(2):
+        stores.apply_approvals(store, corrections.approvals(_queue(spark, sf_dir)), "approved")
+    return store.read()
+
+
 def make_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The differences of a corrected table as pending corrections."""
     original = standardize.standardize_analytics(derived.raw_values(spark, sf_dir), country_table(spark))
@@ -331,12 +378,33 @@ def _rules(field_key: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _form() -> Column:
+    return derived.pick(("LLC", "Corporation", "LLP", None), F.col("row_id") % 4)
+
+
 def rules_positions_regional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by the tables of their country; each title of a country is asked for once."""
     rows = derived.rule_values(spark, sf_dir, "positions_designations")
     general = classify(F.lit("positions_designations"), F.col("raw"), F.col("country"))["std"]
-    form = derived.pick(("LLC", "Corporation", "LLP", None), F.col("row_id") % 4)
-    label = rules.governor(F.col("raw"), form, rules.position_by_region(F.col("raw"), F.col("country"), general))
-    return rows.select("row_id", "raw", "country", label.alias("label"))
+    keys = written(rows.select("raw", "country").distinct(), "titles").withColumn("general", general)
+    label = rules.position_by_region(F.col("raw"), F.col("country"), F.col("general"))
+    labelled = rows.join(written(keys.select("raw", "country", label.alias("label")), "labels"), ["raw", "country"])
+    return labelled.select("row_id", "raw", "country", rules.governor(F.col("raw"), _form(), F.col("label")).alias("label"))
+
+
+def rule_table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of all fields with written rules, labelled in one plan by a table of rules."""
+    rows = [derived.rule_values(spark, sf_dir, key).select(F.lit(key).alias("field_key"), "row_id", F.lit("").alias("country"), "raw") for key in derived.RULE_VALUES if key in rules.RULES]
+    found = ruletable.classify_by_rules(functools.reduce(DataFrame.unionByName, rows), ruletable.written_rules(spark))
+    return found.select("field_key", "row_id", "raw", F.coalesce("label", F.lit(CATCH_ALL)).alias("label"))
+
+
+def rule_table_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``rules_positions_regional``, by a table of rules."""
+    rows = derived.rule_values(spark, sf_dir, "positions_designations").withColumn("field_key", F.lit("positions_designations"))
+    found = ruletable.classify_by_rules(rows, ruletable.position_rules(spark))
+    label = rules.governor(F.col("raw"), _form(), F.coalesce("label", F.lit(CATCH_ALL)))
+    return found.select("row_id", "raw", "country", label.alias("label"))
 
 
 def compliance_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,6 +421,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         standardize_mixed,
         layouts,
         table_round_trip,
+        quoted_round_trip,
         master_round_trip,
         export_columns,
         standardize_with_lookup,
@@ -377,10 +446,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         correction_diff_analytics,
         correction_queue,
         correction_events,
+        queue_store,
+        queue_submit,
         make_corrections,
         queue_views,
         correction_enqueue,
         lookup_upsert,
+        lookup_store,
         truth_split,
         accuracy,
         accuracy_by_confidence,
@@ -392,6 +464,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         batch_messages,
         external_batches,
         rules_positions_regional,
+        rule_table_labels,
+        rule_table_positions,
         compliance_flag,
     )
 } | {

@@ -207,8 +207,8 @@ _RESOLUTIONS = {
 RESOLUTIONS: dict[tuple[str, str], str] = {(field, raw): to for field, pairs in _RESOLUTIONS.items() for raw, to in pairs.items()}
 
 # The countries that have regional titles, and those that the registered queries meet
-# besides. The whole dimension, over 200 rows, is a parameter: a table with columns ``country_id,
-# country``, read with ``sources.tables.read_countries``.
+# besides, written down for tests and SQL. ``countries.country_table`` makes the whole dimension; another
+# one can be read with ``sources.tables.read_countries``.
 COUNTRIES = {
     -1: "Global",
     0: "Unknown",
@@ -262,10 +262,6 @@ def field_type_table(spark: SparkSession, types: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(list(types.items()), "type_text string, field_key string")
 
 
-def country_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(COUNTRIES.items()), "country_id bigint, country string")
-
-
 def resolution_table(spark: SparkSession) -> DataFrame:
     rows = [(f, raw, to) for (f, raw), to in RESOLUTIONS.items()]
     return spark.createDataFrame(rows, "field_key string, raw string, resolution string")

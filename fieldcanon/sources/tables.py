@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.stats import FAILURES, RECORD
+from .commits import CommittedTable
+from .quoted import read_quoted
 from .storage import exists
 
 # Headers of the raw-value column and of the country column; texts that mean "missing".
@@ -21,18 +26,25 @@ QUEUE = (
 )
 
 
-def read_table(spark: SparkSession, path: str, kind: str | None = None, null_tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
+def read_table(spark: SparkSession, path: str, kind: str | None = None, null_tokens: tuple[str, ...] = NULL_TOKENS, breaks: str = "split") -> DataFrame:
     """A table of raw values from CSV, text, JSON lines or Parquet (by suffix, or ``kind``).
 
-    Text columns stay text: numbers aren't guessed. Values in ``null_tokens`` become null.
+    Text columns stay text: numbers aren't guessed. Values in ``null_tokens`` become null. ``breaks`` says
+    how line breaks inside the quotes of a CSV are found: ``split`` reads the splits of a file in parallel
+    and lands its records (``quoted``); ``file`` takes a task a file; ``none`` reads in parallel without
+    looking for any, and is right only for files that have none.
     """
     kind = kind or path.rstrip("/").rpartition(".")[2].lower()
-    if kind in ("csv", "txt"):
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if kind in ("csv", "txt") and breaks == "split":
+        df = read_quoted(spark, path)
+    elif kind in ("csv", "txt") and breaks in ("file", "none"):
+        df = spark.read.option("header", True).option("multiLine", breaks == "file").option("escape", '"').csv(path)
     elif kind in ("json", "jsonl"):
         df = spark.read.option("primitivesAsString", True).json(path)
     elif kind == "parquet":
         df = spark.read.parquet(path)
+    elif kind in ("csv", "txt"):
+        raise ValueError(f"breaks is split, file or none, not {breaks!r}")
     else:
         raise ValueError(f"no reader for {kind!r}: land spreadsheets as CSV or Parquet")
     texts = [c for c, t in df.dtypes if t == "string"]
@@ -95,29 +107,42 @@ def _or_empty(spark: SparkSession, path: str, schema: str, read) -> DataFrame:
     return read(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def append_record(record: DataFrame, path: str) -> None:
-    """Append run records as JSON lines."""
-    record.coalesce(1).write.mode("append").json(path)
+def _append_lines(rows: DataFrame, path: str, run: str | None) -> None:
+    """A run that is named has a folder of its own, which a rerun writes anew."""
+    if run is None:
+        rows.write.mode("append").json(path)
+    else:
+        rows.write.mode("overwrite").json(f"{path}/{hashlib.sha256(run.encode()).hexdigest()}")
+
+
+def append_record(record: DataFrame, path: str, run: str | None = None) -> None:
+    """Append run records as JSON lines; with the name of a ``run`` only once, however often it is rerun."""
+    _append_lines(record.coalesce(1), path, run)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All run records; none if nothing was written yet."""
-    return _or_empty(spark, path, RECORD, spark.read.schema(RECORD).json)
+    return _or_empty(spark, path, RECORD, spark.read.schema(RECORD).option("recursiveFileLookup", True).json)
 
 
-def append_failures(failures: DataFrame, path: str) -> None:
-    """Append the failed batches of a run, a JSON line each."""
-    failures.write.mode("append").json(path)
+def append_failures(failures: DataFrame, path: str, run: str | None = None) -> None:
+    """Append the failed batches of a run, a JSON line each; ``run`` as for its record."""
+    _append_lines(failures, path, run)
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
-    return _or_empty(spark, path, FAILURES, spark.read.schema(FAILURES).json)
+    return _or_empty(spark, path, FAILURES, spark.read.schema(FAILURES).option("recursiveFileLookup", True).json)
+
+
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append submissions or decisions to an event table of the correction queue. A batch of that name that
+    is there already isn't appended again, so a job can be rerun."""
+    _committed(events.sparkSession, path, events.schema).append(events, batch)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append submissions or decisions to an event table of the correction queue."""
-    events.write.mode("append").parquet(path)
+def read_events(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    return _committed(spark, path, schema).read()
 
 
-def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return _or_empty(spark, path, schema, spark.read.schema(schema).parquet)
+def _committed(spark: SparkSession, path: str, schema: str | StructType) -> CommittedTable:
+    return CommittedTable(spark, path, schema if isinstance(schema, str) else schema.toDDL())

@@ -118,6 +118,13 @@ def test_an_unknown_field_gets_nothing(spark):
         ("business_legal_form", "limited", "Company"),
         ("psc_beneficiary_type", "Corporate body", "Root Business"),
         ("psc_beneficiary_type", "Company", "Root Business"),
+        ("psc_beneficiary_type", "Registered Company", "Root Business"),
+        ("psc_beneficiary_type", "Foreign Corporation Record", "Root Business"),
+        ("psc_beneficiary_type", "Corporate Entity (overseas)", "Root Business"),
+        ("psc_beneficiary_type", "Other Legal Entity", "Root Business"),
+        ("psc_beneficiary_type", "Company Secretary", "Controller"),
+        ("psc_beneficiary_type", "Corporate Director", "Controller"),
+        ("psc_beneficiary_type", "Company Shareholder", "Owner / Beneficial Owner"),
         ("psc_beneficiary_type", "PSC with control", "Controller"),
         ("psc_beneficiary_type", "Controlling ISC", "Controller"),
         ("psc_beneficiary_type", "PSC", "Owner / Beneficial Owner"),
@@ -134,6 +141,20 @@ def test_written_rules(spark, field, raw, label):
     assert spark.range(1).select(label_by_rules(field, F.lit(raw))).first()[0] == label
 
 
+def test_regional_titles_of_any_number_of_countries(spark):
+    """The expression doesn't grow with the cascade that it falls back on, and its code compiles."""
+    df = spark.createDataFrame([("Bestuurder", "NL")], "raw string, country string").withColumn("general", classify(F.lit("positions_designations"), F.col("raw"), F.col("country"))["std"])
+    plan = df.select(position_by_region(F.col("raw"), F.col("country"), F.col("general")).alias("label"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 40_000  # it was 207,000
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows = spark.range(1000).select(F.lit("Bestuurder").alias("raw"), F.when(F.col("id") % 2 == 0, "NL").otherwise("CA").alias("country")).repartition(2).withColumn("general", F.lit("Director"))
+        counts = rows.groupBy(position_by_region(F.col("raw"), F.col("country"), F.col("general")).alias("label")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert {r.label: r["count"] for r in counts} == {"Board Member": 500, "Director": 500}
+
+
 def test_regional_titles(spark):
     cases = [
         ("NL", "Bestuurder", "Director", "Board Member"),

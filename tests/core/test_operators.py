@@ -2,10 +2,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fieldcanon.countries import country_table
 from fieldcanon.operators import audit, batches, corrections, external, lookup, responses, route, stats, validate
 from fieldcanon.operators.rules import rules_column
 from fieldcanon.operators.standardize import RESULT_COLUMNS, by_column, counted_analytics, export, standardize, standardize_analytics, standardize_mixed
-from fieldcanon.registry import CATCH_ALL, ERROR_LABEL, LEGACY_LABELS_AUDIT, country_table
+from fieldcanon.registry import CATCH_ALL, COUNTRIES, ERROR_LABEL, FIELDS, LEGACY_LABELS_AUDIT
 from fieldcanon.sources import tables
 
 POSITIONS = "positions_designations"
@@ -163,7 +164,7 @@ def test_statistics(spark):
 
 
 def test_failed_batches_are_rows(spark, tmp_path):
-    failed = spark.createDataFrame([(1, ["a", "b"], "down"), (2, ["c"], "down")], "batch_index int, values array<string>, error string")
+    failed = spark.createDataFrame([("brn_type", 1, ["a", "b"], "down"), ("brn_type", 2, ["c"], "down")], "field_key string, batch_index int, values array<string>, error string")
     assert tables.read_failures(spark, f"{tmp_path}/failed").count() == 0
     for name in ("a.csv", "b.csv"):
         tables.append_failures(stats.failure_rows(failed, name, F.lit("t")), f"{tmp_path}/failed")
@@ -272,7 +273,52 @@ def test_external_classifier(spark, tmp_path):
     got = {r.n: (r["Standardized Value"], r["Needs Review"], r["Review Reason"]) for r in standardize(df, "value", POSITIONS, classifier=ask).collect()}
     assert got == {0: ("Director", "", "says a"), 1: ("Director", "", "says b"), 2: (ERROR_LABEL, "Needs Review", ""), 3: ("Director", "", "says a"), 4: (CATCH_ALL, "Needs Review", ""), 5: ("Director", "", "says c")}
     lost = external.failures(f"{tmp_path}/run", spark).collect()
-    assert [r["values"] for r in lost] == [["broken"]] and "4 attempt" in lost[0].error
+    assert [r["values"] for r in lost] == [["broken"]] and "4 attempt" in lost[0].error and lost[0].field_key == POSITIONS
+
+
+def test_failures_of_several_fields_are_told_apart(spark, tmp_path):
+    ask = external.external_classifier(FlakyClient, {}, f"{tmp_path}/run", batch_size=1, base_delay=0.0)
+    keys = spark.createDataFrame([(f, "", f"broken {n}") for f in ("brn_type", POSITIONS, "business_status") for n in range(3)], "field_key string, country string, raw string")
+    assert ask(keys).count() == 9
+    lost = [(r.field_key, r.batch_index) for r in external.failures(f"{tmp_path}/run", spark).collect()]
+    assert len(lost) == len(set(lost)) == 9 and len({b for _, b in lost}) == 3
+
+
+def test_all_countries(spark):
+    names = {r.country_id: r.country for r in country_table(spark).collect()}
+    assert sorted(names) == list(range(-1, 251)) and all(names.values()) and len(set(names.values())) == 252
+    known = {
+        -1: "Global", 0: "Unknown", 1: "Australia", 2: "United States", 3: "Andorra", 9: "Armenia", 10: "Netherlands Antilles", 18: "Bosnia and Herzegovina", 28: "Brunei Darussalam", 39: "Congo, the Democratic Republic of the",
+        43: "Cote D'Ivoire", 50: "Serbia and Montenegro", 52: "Cape Verde", 65: "Western Sahara", 71: "Falkland Islands (Malvinas)", 87: "South Georgia and the South Sandwich Islands", 92: "Hong Kong",
+        104: "Iran, Islamic Republic of", 107: "Jersey", 116: "Saint Kitts and Nevis", 118: "Korea, Republic of", 134: "Saint Martin", 135: "Monaco", 137: "Madagascar", 139: "Macedonia, the Former Yugoslav Republic of",
+        141: "Myanmar", 155: "Namibia", 175: "Saint Pierre and Miquelon", 178: "Palestinian Territory, Occupied", 183: "Reunion", 193: "Saint Helena", 195: "Svalbard and Jan Mayen", 202: "Sao Tome and Principe",
+        206: "Turks and Caicos Islands", 213: "Timor-Leste", 217: "Türkiye", 220: "Taiwan, Province of China", 224: "United Kingdom", 228: "Holy See (Vatican City State)", 229: "Saint Vincent and the Grenadines",
+        232: "Virgin Islands, U.S.", 233: "Viet Nam", 236: "Samoa", 239: "South Africa", 241: "Zimbabwe", 242: "Curaçao", 243: "Sint Maarten", 244: "Caribbean Netherlands", 245: "Montenegro", 247: "South Sudan", 250: "Kosovo",
+    }
+    assert {k: names[k] for k in known} == known and {k: names[k] for k in COUNTRIES} == COUNTRIES
+    ids = spark.createDataFrame([(str(n),) for n in (-2, -1, 250, 251)], "countryId string")
+    got = {r.countryId: r.Country for r in route.with_country(ids, "countryId", country_table(spark)).collect()}
+    assert got == {"-2": "Unknown (ID: -2)", "-1": "Global", "250": "Kosovo", "251": "Unknown (ID: 251)"}
+
+
+def test_numbers_of_values_that_share_their_letters(spark):
+    """Many values with the same first letters are still ranked in several ranges."""
+    n = 60_000
+    keys = spark.range(n).select(F.lit("brn_type").alias("field_key"), F.format_string("same letters %06d", "id").alias("raw")).unionByName(spark.createDataFrame([("business_legal_form", "a"), ("business_legal_form", "b")], "field_key string, raw string"))
+    got = audit.numbered(keys, range_rows=5_000)
+    order = list(FIELDS)
+    before = 2 if order.index("business_legal_form") < order.index("brn_type") else 0
+    wrong = got.where(f"field_key = 'brn_type' and group_no <> cast(substring(raw, 14, 6) as int) + 1 + {before}").count()
+    assert wrong == 0 and got.count() == n + 2 and got.select("group_no").distinct().count() == n + 2
+
+
+def test_resolutions_of_any_size(spark):
+    """A large table of resolutions isn't broadcast."""
+    many = spark.range(3_000_000).select(F.lit("brn_type").alias("field_key"), F.col("id").cast("string").alias("raw"), F.lit("LEI").alias("resolution"))
+    rows = spark.createDataFrame([("brn_type", "7", "")], "`Field Key` string, `Raw Value` string, Resolution string")
+    out = audit.apply_resolutions(rows, many)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString() or "BuildLeft" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.first()["Resolution"] == "LEI"
 
 
 def test_retry():

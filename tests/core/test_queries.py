@@ -6,7 +6,8 @@ import pytest
 
 from fieldcanon.operators.standardize import standardize, standardize_analytics
 from fieldcanon.plans import derived, oracle, queries
-from fieldcanon.registry import CATCH_ALL, FIELDS, country_table
+from fieldcanon.countries import country_table
+from fieldcanon.registry import CATCH_ALL, FIELDS
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
