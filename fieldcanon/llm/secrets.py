@@ -2,9 +2,11 @@
 
 Two first-order models, one of random strings and one of ordinary identifiers, give each long
 string of letters and digits a log-likelihood ratio. They are trained from labelled samples:
-secrets that the fixed patterns find and strings drawn at random on the one side, the words of all
-documents and identifiers joined of them on the other. What is gathered are counts of pairs of
-symbols, which are bounded; what they count is every document.
+secrets that the fixed patterns find and strings drawn at random on the one side; on the other the
+words of all documents and identifiers joined of them, numbers and marked strings as they stand in
+documents, and drawn dates, paths, versions, numbers, constants and rulers. What is gathered are counts
+of pairs of symbols, which are bounded; what they count is every document. Each sample has a share of its model
+at most, so that a large corpus doesn't drown the drawn ones.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 KINDS = ("assign", "access", "hex", "markov")
-#: Strings drawn at random for the model of random strings.
-FIT_RANDOM = 4_000
-#: A string is a secret if the ratio reaches so many nats in all, and so many for each character.
-TOTAL, EACH = 12.0, 0.4
+#: Strings drawn for either model.
+FIT_RANDOM = FIT_ORDINARY = 6_000
+#: A string is a secret if the ratio reaches so many nats in all, and so many for each pair of symbols.
+TOTAL, EACH = 12.0, 0.45
 #: Weight, in transitions, of the symbols' own frequencies.
 PULL = 20.0
+#: Transitions that a model counts as seen, and the share of each sample in them: for ordinary strings words
+#: and identifiers, strings as they stand, drawn ones; for random strings found ones, drawn ones.
+SEEN = 200_000
+ORDINARY_SHARES, RANDOM_SHARES = (0.5, 0.1, 0.4), (0.1, 0.9)
 
 # The patterns of secrets.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,14 +43,14 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Characters of a text that are counted at a time.
 PIECE = 1_000_000
-#: Letters of the shortest word that is counted.
-LEAST_WORD = 3
+#: Letters of the shortest word that is counted, and of the shortest string with other symbols.
+LEAST_WORD, LEAST_MARKED = 3, 4
 
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(len(_SYMBOLS))
 _N = len(_SYMBOLS)
-_MARKS = np.array([_SYMBOLS.index(x) for x in "_-/"])
+_MARKS = np.array([_SYMBOLS.index(x) for x in "_-/_"])  # by the kind of identifier, from the fifth on again
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -78,6 +84,47 @@ def random_strings(n: int = FIT_RANDOM, seed: int = 11) -> list[str]:
     return ["".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(20, 48))) for i in range(n)]
 
 
+#: Words that drawn ordinary strings are made of.
+_WORDS = (
+    "user name file path data test main build release version update config index page image list item value type object service client server request response error message "
+    "event time date start end size length count total number text table field column row key group order state status result report model view layer frame texture buffer "
+    "positive negative left right top bottom first last next previous open close read write create delete insert select project source target default"
+).split()
+
+
+def ordinary_strings(n: int = FIT_ORDINARY, seed: int = 12) -> list[str]:
+    """Long strings that aren't secrets: dated and numbered names, paths, constants, versions, numbers, rulers."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(_WORDS)
+    digits = lambda a, b: "".join(rng.choices("0123456789", k=rng.randint(a, b)))
+    date = lambda sign: sign.join((f"{rng.randint(1980, 2039)}", f"{rng.randint(1, 12):02}", f"{rng.randint(1, 28):02}"))
+    several = lambda sign, a=2, b=5: sign.join(word() for _ in range(rng.randint(a, b)))
+
+    def one(kind: int) -> str:
+        sign = rng.choice("-_/")
+        if kind == 0:
+            return date(rng.choice(["-", "/", ""])) + sign + several(sign)
+        if kind == 1:
+            return several("/") + "/" + rng.choice([digits(1, 6), date("/"), word() + "_" + digits(1, 4)])
+        if kind == 2:
+            return several("_", 3, 6).upper() + rng.choice(["", "_" + digits(1, 3), "_" + rng.choice("XYZABC")])
+        if kind == 3:
+            return several(sign) + sign + rng.choice(["v", "V", "release-", "r", ""]) + "-".join(digits(1, 2) for _ in range(rng.randint(1, 3)))
+        if kind == 4:
+            return digits(20, 30) if rng.random() < 0.5 else rng.choice("-/_=").join(digits(2, 5) for _ in range(rng.randint(5, 8)))
+        if kind == 5:
+            return rng.choice("=-_+/") * rng.randint(20, 90)
+        if kind == 6:
+            return rng.choice(["ISBN", "ISSN", "DOI", "No", "Tel", "REF"]) + "-" + "-".join(digits(1, 6) for _ in range(rng.randint(3, 6)))
+        return "".join(w.title() if rng.random() < 0.9 else w.upper() for w in (word() for _ in range(rng.randint(3, 6))))
+
+    return [one(i % 8) for i in range(n)]
+
+
+def counted(strings: list[str]) -> np.ndarray:
+    return np.bincount(transitions("\n".join(strings)), minlength=_N * _N) if strings else np.zeros(_N * _N, np.int64)
+
+
 def samples(text: str) -> tuple[Iterator[str], list[str]]:
     """A text without what the fixed patterns find, in pieces of bounded length; and the strings that
     they find."""
@@ -90,14 +137,22 @@ def samples(text: str) -> tuple[Iterator[str], list[str]]:
     return (text[k : k + PIECE] for k in range(0, len(text), PIECE)), secret
 
 
+def _codes(text: str) -> np.ndarray:
+    return _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]  # what isn't ASCII is no symbol, nor is "?"
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
+    return edges[::2], edges[1::2]
+
+
 def ordinary_counts(text: str) -> np.ndarray:
     """Transitions of ordinary strings: the words of a text, and identifiers made of four words each,
-    joined by ``_``, ``-`` or ``/`` in lower case or written together with a capital third word."""
-    codes = _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]  # what isn't ASCII is no symbol, nor is "?"
-    letter = np.zeros(len(codes) + 2, bool)
-    letter[1:-1] = (codes >= 0) & (codes < 52)
-    edges = np.flatnonzero(letter[1:] != letter[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    joined by ``_``, ``-`` or ``/`` in lower case, written together with a capital third word, or joined by
+    ``_`` in capitals."""
+    codes = _codes(text)
+    starts, ends = _runs((codes >= 0) & (codes < 52))
     long = ends - starts >= LEAST_WORD
     starts, ends = starts[long], ends[long]
     # Every letter of a word but the last, with the next one.
@@ -106,18 +161,31 @@ def ordinary_counts(text: str) -> np.ndarray:
     pairs = [codes[at] * _N + codes[at + 1]]
     whole = len(starts) // 4 * 4
     if whole:
-        # Words in groups of four, their letters in lower case; the kind of identifier goes round.
+        # Words in groups of four, their letters in lower case or all capitals; the kind of identifier goes round.
         small = np.where(codes >= 26, codes - 26, codes)
+        kind = np.arange(whole // 4) % 5
+        raised = np.where(kind == 4, 26, 0)
         at = at[: sizes[:whole].sum()]
-        first, last = small[starts[:whole]].reshape(-1, 4)[:, 1:], small[ends[:whole] - 1].reshape(-1, 4)[:, :3]
-        kind = np.arange(whole // 4) % 4
-        joined = kind < 3
-        sign = _MARKS[kind[joined], None]
+        up = np.repeat(np.repeat(raised, 4), sizes[:whole])
+        first, last = small[starts[:whole]].reshape(-1, 4)[:, 1:] + raised[:, None], small[ends[:whole] - 1].reshape(-1, 4)[:, :3] + raised[:, None]
+        joined = kind != 3
+        sign = _MARKS[kind[joined] % 4, None]
         capital = first[~joined] + np.array([0, 26, 0])
-        pairs += [small[at] * _N + small[at + 1], last[joined] * _N + sign, sign * _N + first[joined], last[~joined] * _N + capital]
+        pairs += [(small[at] + up) * _N + small[at + 1] + up, last[joined] * _N + sign, sign * _N + first[joined], last[~joined] * _N + capital]
     return np.bincount(np.concatenate([p.ravel() for p in pairs]), minlength=_N * _N)
 
 
+def marked_counts(text: str) -> np.ndarray:
+    """Transitions of strings as they stand that hold digits or joiners: numbers, dates, paths, rulers."""
+    codes = _codes(text)
+    starts, ends = _runs(codes >= 0)
+    marks = np.concatenate(([0], np.cumsum(codes >= 52)))
+    chosen = (ends - starts >= LEAST_MARKED) & (marks[ends] > marks[starts])
+    starts, sizes = starts[chosen], (ends - starts)[chosen] - 1
+    at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    return np.bincount(codes[at] * _N + codes[at + 1], minlength=_N * _N)
+
+
 def _chances(counts: np.ndarray) -> np.ndarray:
     """Transition probabilities, drawn towards the symbols' own frequency where seen seldom."""
     counts = counts.reshape(_N, _N)
@@ -130,32 +198,38 @@ def ratios(random_counts: np.ndarray, ordinary_counts: np.ndarray) -> np.ndarray
     return np.log(_chances(random_counts) / _chances(ordinary_counts)).ravel()
 
 
+def _mixed(samples_: list[np.ndarray], shares: tuple[float, ...]) -> np.ndarray:
+    """Samples that are larger than their share of ``SEEN`` transitions count as so many; smaller ones count as
+    they are, so that the few marked strings of a small corpus don't count for more than they show."""
+    return sum(c * min(1.0, SEEN * share / c.sum()) for c, share in zip(samples_, shares) if c.sum())
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Train both models on all documents; return their log ratio for each pair of symbols.
 
     Documents are counted one by one, so the same documents give the same models however they are
-    dealt to tasks. Without documents only the strings drawn at random tell the models apart.
+    dealt to tasks. Without documents only the drawn strings tell the models apart.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((2, _N * _N), np.int64)
+        counts = np.zeros((3, _N * _N), np.int64)
         for batch in batches:
             for text in batch["text"]:
                 pieces, secret = samples(text)
                 for piece in pieces:
                     counts[0] += ordinary_counts(piece)
+                    counts[1] += marked_counts(piece)
                 if secret:
-                    counts[1] += np.bincount(transitions("\n".join(secret)), minlength=_N * _N)
+                    counts[2] += counted(secret)
         label, pair = np.nonzero(counts)
-        yield pd.DataFrame({"label": label.astype(bool), "pair": pair, "n": counts[label, pair]})
-
-    counts = np.zeros((2, _N * _N))
-    found = docs.select(text_of(text_col).alias("text")).mapInPandas(count, "label boolean, pair bigint, n bigint")
-    for r in found.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():  # at most two for each pair of symbols
-        counts[int(r.label), r.pair] = r.n
-    for s in random_strings():
-        np.add.at(counts[1], transitions(s), 1)
-    return ratios(counts[1], counts[0])
+        yield pd.DataFrame({"label": label.astype(np.int32), "pair": pair, "n": counts[label, pair]})
+
+    counts = np.zeros((3, _N * _N))
+    found = docs.select(text_of(text_col).alias("text")).mapInPandas(count, "label int, pair bigint, n bigint")
+    for r in found.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():  # at most three for each pair of symbols
+        counts[r.label, r.pair] = r.n
+    ordinary = _mixed([counts[0], counts[1], counted(ordinary_strings())], ORDINARY_SHARES)
+    return ratios(_mixed([counts[2], counted(random_strings())], RANDOM_SHARES), ordinary)
 
 
 def looks_random(string: str, model: np.ndarray) -> bool:

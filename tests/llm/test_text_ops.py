@@ -192,8 +192,8 @@ def test_ordinary_counts_against_words():
         strings = list(words)
         for k in range(0, len(words) // 4 * 4, 4):
             a, b, c, d = (w.lower() for w in words[k : k + 4])
-            kind = k // 4 % 4
-            strings.append("_-/"[kind].join((a, b, c, d)) if kind < 3 else a + b + c[0].upper() + c[1:] + d)
+            kind = k // 4 % 5
+            strings.append(a + b + c[0].upper() + c[1:] + d if kind == 3 else "_".join((a, b, c, d)).upper() if kind == 4 else "_-/"[kind].join((a, b, c, d)))
         want = np.zeros(secrets._N**2, int)
         for x in strings:
             np.add.at(want, secrets.transitions(x), 1)
@@ -210,6 +210,50 @@ def test_secrets_take_time_by_length():
         assert time.perf_counter() - began < 4
 
 
+def held_out_strings(rng):
+    """Ordinary strings and keys by kind, made of other words and in other ways than the models' own samples."""
+    plain = "apple banana window journey quickly through wonder kitchen planet mountain river people garden school letter winter summer market travel purple silver yellow kernel socket thread process".split()
+    word = lambda: rng.choice(plain)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    of = lambda letters, n: lambda: "".join(rng.choices(letters, k=n))
+    date = lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+    ordinary = {
+        "dated": lambda: f"{date()}-{word()}-{word()}",
+        "path": lambda: f"{word()}/{word()}/{word()}/{number(4)}",
+        "constant": lambda: "_".join(word().upper() for _ in range(4)),
+        "snake": lambda: "_".join(word() for _ in range(4)),
+        "camel": lambda: word() + "".join(word().title() for _ in range(3)),
+        "number": lambda: number(rng.randint(20, 40)),
+        "ruler": lambda: rng.choice("=-_") * rng.randint(20, 80),
+        "isbn": lambda: f"ISBN-{number(3)}-{number(1)}-{number(2)}-{number(6)}-{number(1)}",
+        "release": lambda: f"{date()}-release-notes-v{number(1)}",
+        "phone": lambda: "-".join(number(3) for _ in range(6)),
+        "words": lambda: "".join(word() for _ in range(5)),
+    }
+    alnum = secrets._SYMBOLS[:62]
+    keys = {"alnum": of(alnum, 24), "base64": of(secrets._SYMBOLS[:64], 44), "capital hex": of("0123456789ABCDEF", 32), "base32": of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), "small": of("abcdefghijklmnopqrstuvwxyz0123456789", 26), "prefixed": lambda: "sk-" + of(alnum, 40)()}
+    return ordinary, keys
+
+
+def test_held_out_strings_by_kind(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    model = secrets.fit(docs_of(spark, list(enumerate(texts))))
+    ordinary, keys = held_out_strings(random.Random(77))
+    share = lambda make: sum(secrets.looks_random(x, model) for x in (make() for _ in range(300)) if len(x) >= 20) / 300
+    assert {k: v for k, v in ((k, share(f)) for k, f in ordinary.items()) if v > 0.02} == {}
+    assert {k: v for k, v in ((k, share(f)) for k, f in keys.items()) if v < 0.9} == {}
+    for one in ("2024-01-15-release-notes-v2", "ISBN-978-3-16-148410-0", "GL_TEXTURE_CUBE_MAP_POSITIVE_X"):
+        assert not secrets.looks_random(one, model)
+
+
+def test_marked_counts_against_strings():
+    rng = random.Random(19)
+    for _ in range(30):
+        text = "".join(rng.choices("abCD é?1_\n-", k=rng.randint(0, 300)))
+        strings = [x for x in re.findall(r"[A-Za-z0-9+/_=-]+", text) if len(x) >= secrets.LEAST_MARKED and re.search(r"[^A-Za-z]", x)]
+        assert (secrets.marked_counts(text) == secrets.counted(strings)).all()
+
+
 def test_markov_models_on_held_out_strings(spark):
     rng = random.Random(9)
     syllables = ["the", "ing", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "ly", "ou"]
