@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import written
 
-__all__ = ["ROW", "first_of", "table", "text_of", "with_rows", "written"]
+__all__ = ["first_of", "free_names", "table", "text_of", "with_rows", "written"]
 
-#: The columns that ``with_rows`` adds.
+#: The columns that ``with_rows`` adds, where their names are free.
 ROW = ("_row_file", "_row_at")
 
 
@@ -28,8 +28,20 @@ def first_of(doc_id: str = "doc_id", row: str = "row") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(row).alias("row"))
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ``ROW``, which name each row whatever its other columns hold.
+def free_names(taken: list[str], *wanted: str) -> tuple[str, ...]:
+    """The wanted names, with underscores behind them until no column has them, in any letter case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """``docs`` with two more columns, which name each row whatever its other columns hold or are called; and
+    the names of the two.
 
     They are the 64-bit hash of the path of the row's file, and its place there, so every job that
     reads the table finds the same, and keys are small wherever they are joined. (Of a million files
@@ -37,6 +49,9 @@ def with_rows(docs: DataFrame) -> DataFrame:
     first.
     """
     try:
-        return docs.select("*", F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+        place = docs.metadataColumn("_metadata")
     except AnalysisException:
-        return with_rows(written(docs, "rows"))
+        docs = written(docs, "rows")
+        place = docs.metadataColumn("_metadata")
+    file, at = free_names(docs.columns, *ROW)
+    return docs.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(at)), (file, at)

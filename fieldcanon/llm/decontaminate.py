@@ -11,12 +11,13 @@ block of benchmark items, whatever the input.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
@@ -28,8 +29,9 @@ WINDOW = 13
 SHARE = 20
 #: Words of a shard.
 SHARD_WORDS = 1_000_000
-#: A benchmark of more bytes is dealt into blocks of half as many, searched one after the other.
-ITEM_BYTES = 16_000_000
+#: A benchmark of more bytes is dealt into blocks of so many at most, searched one after the other; and bytes
+#: that an item counts for besides its text.
+ITEM_BYTES, ITEM_COST = 16_000_000, 64
 #: Every so many positions, the suffix array is kept.
 SAMPLE = 16
 #: Bytes of a text that are cut into words at a time, and windows that are searched at a time.
@@ -256,16 +258,29 @@ def merge_spans(spans: np.ndarray) -> list[list[int]]:
     return merged
 
 
+#: The windows of the block that this worker searches, under the block's name.
+_BUILT: dict[str, Windows] = {}
+
+
+def windows_of(block: str, texts: list[str | None]) -> Windows:
+    """Built once in each worker, however many tasks of a block it runs."""
+    if block not in _BUILT:
+        _BUILT.clear()
+        _BUILT[block] = Windows(texts)
+    return _BUILT[block]
+
+
 def _search(rows: DataFrame, block: pa.Table, item_type, shard_words: int) -> DataFrame:
     """Add ``n_words, spans, items`` to the rows in place of their column ``text``; ``block`` has some
-    items' ``item_id, text``."""
+    items' ``item_id, text``, ``ITEM_BYTES`` at most."""
+    name = uuid.uuid4().hex
+    sent = rows.sparkSession.sparkContext.broadcast((block["item_id"].combine_chunks(), block["text"].to_pylist()))
     kept = [f for f in rows.schema.fields if f.name != "text"]
     schema = StructType(kept).add("n_words", LongType()).add("spans", ArrayType(ArrayType(LongType()))).add("items", ArrayType(item_type))
 
-    names, texts = block["item_id"].combine_chunks(), block["text"].to_pylist()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(texts)
+        names, texts = sent.value
+        windows = windows_of(name, texts)
         pending: list[pa.RecordBatch] = []  # rows of the shard, without their texts
         shard: list[np.ndarray] = []
         long: dict[int, tuple] = {}  # what was found in long texts
@@ -311,12 +326,54 @@ def _search(rows: DataFrame, block: pa.Table, item_type, shard_words: int) -> Da
     return rows.mapInArrow(run, schema)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> tuple[DataFrame, int]:
-    """The benchmark's ``item_id, text, block``, and the number of blocks: one up to ``most`` bytes."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), text_of(text_col).alias("text")).where("item_id is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 if size <= most else -(-2 * size // most)
-    return items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n))), n
+def _pieces(items: DataFrame, most: int) -> DataFrame:
+    """The items ``item_id, text`` with texts of more than ``most`` bytes cut into pieces of words, which share a
+    window less a word with the next one: every window lies in one. (A single word isn't cut.)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not any(len(t or "") * 4 > most for t in batch.column("text").to_pylist()):
+                yield batch
+                continue
+            at, texts = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                own = (text or "").encode("utf-8", "surrogatepass")
+                if len(own) <= most:
+                    at, texts = [*at, k], [*texts, text]
+                    continue
+                words = own.translate(_WORD_BYTES).split()
+                ends = np.cumsum([len(w) + 1 for w in words])
+                begin = 0
+                while True:
+                    end = max(int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")), begin + WINDOW)
+                    at.append(k)
+                    texts.append(b" ".join(words[begin:end]).decode("utf-8", "surrogatepass"))
+                    if end >= len(words):
+                        break
+                    begin = end - WINDOW + 1
+            yield pa.record_batch([batch.column("item_id").take(pa.array(at, pa.int64())), pa.array(texts, pa.string())], names=["item_id", "text"])
+
+    return items.mapInArrow(run, items.schema)
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[DataFrame]:
+    """Tables ``item_id, text`` of ``most`` bytes at most, one for a smaller benchmark; none is empty but that.
+
+    Pieces of items are dealt by a number of their own, so it doesn't matter how often an id occurs, and
+    what a number gets too much of is cut by bytes.
+    """
+    items = benchmark.select(F.col(item_col).alias("item_id"), text_of(text_col).alias("text")).where("item_id is not null and text <> ''")
+    bytes_ = (F.octet_length("text") + ITEM_COST).cast("bigint")
+    size = items.agg(F.sum(bytes_)).first()[0] or 0
+    if size <= most:
+        return [items]
+    pieces = written(_pieces(items, most // 4).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    dealt = pieces.withColumn("dealt", F.pmod(F.xxhash64("row"), F.lit(-(-2 * size // most))))
+    so_far = F.sum(bytes_).over(Window.partitionBy("dealt").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = written(dealt.withColumn("cut", F.floor(so_far / max(1, most - most // 4 - ITEM_COST))), "blocks")
+    # A row for each block: twice the benchmark's share of a block, about.
+    names = [(r["dealt"], r["cut"]) for r in cut.select("dealt", "cut").distinct().orderBy("dealt", "cut").collect()]
+    return [cut.where((F.col("dealt") == d) & (F.col("cut") == c)).select("item_id", "text") for d, c in names]
 
 
 def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, item_bytes: int = ITEM_BYTES, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -334,19 +391,19 @@ def contamination_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     written first, and the blocks' spans are merged by that number.
     """
     rows = docs.select(*keys, F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    items, n = _blocks(benchmark, item_col, item_text_col, item_bytes)
-    item_type = items.schema["item_id"].dataType
+    parts = blocks(benchmark, item_col, item_text_col, item_bytes)
+    item_type = parts[0].schema["item_id"].dataType
 
-    def search(of: DataFrame, k: int) -> DataFrame:
-        return _search(of, items.where(F.col("block") == k).select("item_id", "text").toArrow(), item_type, shard_words)
+    def search(of: DataFrame, items: DataFrame) -> DataFrame:
+        return _search(of, items.toArrow(), item_type, shard_words)
 
     tidy = F.array_sort(F.array_distinct("items"))
-    if n == 1:
-        return search(rows, 0).withColumn("items", tidy)
+    if len(parts) == 1:
+        return search(rows, parts[0]).withColumn("items", tidy)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # so that a row has the same number in every block's search
-    found = written(search(rows, 0), "spans")
-    for k in range(1, n):
-        found = found.unionByName(written(search(rows, k), "spans"))
+    found = written(search(rows, parts[0]), "spans")
+    for items in parts[1:]:
+        found = found.unionByName(written(search(rows, items), "spans"))
 
     merge = F.pandas_udf(lambda s: s.map(lambda x: merge_spans(np.array([list(p) for p in x], np.int64).reshape(-1, 2))), "array<array<bigint>>")
     same = [F.first(c).alias(c) for c in (*keys, "doc_id", "n_words")]

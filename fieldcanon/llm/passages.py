@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
-from .common import ROW, text_of, with_rows, written
+from .common import free_names, text_of, with_rows, written
 
 MIN_WORDS = 50
 
@@ -107,9 +107,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Spans belong to rows, not to ids, so rows without a doc_id or with one that others have lose
     their own spans only.
     """
-    rows = with_rows(docs)
-    spans = repeated_spans(rows, id_col, text_col, kind, min_words, keys=ROW)
-    cuts = spans.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    rows, row = with_rows(docs)
+    (name,) = free_names(rows.columns, "_cuts")
+    spans = repeated_spans(rows, id_col, text_col, kind, min_words, keys=row)
+    cuts = spans.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, places: pd.Series) -> pd.Series:
@@ -122,9 +123,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    joined = rows.join(cuts, list(ROW), "left")
-    whole, some = joined.where("_cuts is null").select(docs.columns), joined.where("_cuts is not null")
-    return whole.unionByName(some.withColumn(text_col, cut(text_col, "_cuts")).select(docs.columns))
+    joined = rows.join(cuts, list(row), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    whole, some = joined.where(F.col(name).isNull()).select(own), joined.where(F.col(name).isNotNull())
+    return whole.unionByName(some.withColumn(text_col, cut(text_col, name)).select(own))
 
 
 #: DuckDB SQL of the registered query: cuts are marked with a character of their own.

@@ -40,18 +40,35 @@ def test_against_brute_force(spark, shard):
 def test_blocks_of_items(spark):
     docs, items = corpus()
     docs = list(dict(docs).items())
-    got = found(dc.contamination(docs_of(spark, docs), frame(spark, items), item_bytes=300).select(COLUMNS))
+    got = found(dc.contamination(docs_of(spark, docs), frame(spark, items), item_bytes=1500).select(COLUMNS))
     assert got == sorted(dc.brute_force(docs, items), key=str)
 
 
 def test_blocks_judge_every_row(spark):
     docs, items = corpus()  # with a repeated row
     docs += [(None, docs[20][1]), (None, docs[21][1]), (None, None), (9, docs[22][1]), (9, "clean")]
-    got = found(dc.contamination(docs_of(spark, docs), frame(spark, items), item_bytes=300).select(COLUMNS))
+    got = found(dc.contamination(docs_of(spark, docs), frame(spark, items), item_bytes=1500).select(COLUMNS))
     assert got == sorted(dc.brute_force(docs, items), key=str)
 
 
-@pytest.mark.parametrize("block", [16_000_000, 20])
+def test_blocks_are_bounded_whatever_the_ids(spark):
+    """Many items of one id, and one that is longer than a block, still make blocks of a size, none empty."""
+    rng = random.Random(4)
+    docs, _ = corpus()
+    words = [w.decode() for _, t in docs for w in dc.words_of(t)]
+    at = [rng.randrange(len(words) - 40) for _ in range(400)]
+    items = [(7, " ".join(words[a : a + rng.randint(1, 40)])) for a in at] + [(8, " ".join(words[:2500])), (None, "x"), (9, ""), (9, None)]
+    most = 4000
+    parts = dc.blocks(frame(spark, items), "item_id", "text", most)
+    sizes = [sum(len(r.text.encode()) + dc.ITEM_COST for r in part.collect()) for part in parts]
+    assert len(parts) > 5 and 0 < min(sizes) and max(sizes) <= most
+    columns = ["doc_id", "n_words", "spans", "items"]
+    whole = found(dc.contamination_spans(docs_of(spark, docs), frame(spark, items)).select(columns))
+    got = found(dc.contamination_spans(docs_of(spark, docs), frame(spark, items), item_bytes=4 * most).select(columns))
+    assert got == whole and len(dc.blocks(frame(spark, items), "item_id", "text", 4 * most)) > 1
+
+
+@pytest.mark.parametrize("block", [16_000_000, 150])
 def test_rows_keep_their_ids(spark, block):
     rows = [(2**53 + 1, "a b"), (2**53 + 3, "q r s"), (None, "a b"), (1, "a b"), (1, "q r s"), (1, "q r s"), (2, "z")]
     items = [(1, "a b"), (2, "q r s"), (3, "y y y y y"), (4, "x x x x x x x")]

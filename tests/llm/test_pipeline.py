@@ -5,6 +5,8 @@ import random
 
 import public_tokenizers
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from fieldcanon.llm import decontaminate, quality, tokens
 
@@ -93,10 +95,33 @@ def test_stages_judge_rows_and_not_ids(spark, tmp_path):
     assert same(r[0] for r in stage(spark, tmp_path, "pack", ODD)) == same(r[0] for r in ODD)
 
 
+def test_stages_take_clashing_names_and_long_texts(spark, tmp_path):
+    """Columns may have the names that rows get, or those of hidden columns; a long text stays whole."""
+    long = ("a long text that goes on and on " * 40_000).strip()
+    rows = [(1, "some words of a text", "en", "s", 1), (2, "some  words of a text", "en", "s", 1), (3, long, "en", "s", 1), (4, "other words altogether here", "en", "s", 1)]
+    stage(spark, tmp_path, "quality", [])  # writes the other tables
+    names = ("_metadata", "_row_file", "_row_at", "_ROW_AT_", "digest", "fp", "row", "kept", "spans", "file_path")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").select("*", *(F.lit(n).alias(n) for n in names)).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/read.parquet")
+    for own in (docs, spark.read.parquet(f"{tmp_path}/read.parquet")):
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, own, str(tmp_path))
+            assert out.columns == docs.columns
+            left = {r.doc_id: r.text for r in out.collect()}
+            assert left[3] == long and left[4] == rows[3][1]
+            assert sorted(left) == ([1, 3, 4] if name in ("exact_dedup", "near_dedup") else [1, 2, 3, 4])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {1, 2, 3, 4}
+    from fieldcanon.llm.passages import without_repeats
+
+    left = without_repeats(docs.withColumn("_cuts", F.lit(1)))
+    assert left.columns == [*docs.columns, "_cuts"] and left.count() == 4
+
+
 def test_the_entry_module_has_all_queries():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} <= {n.split("_")[0] + "_" for n in names}
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} <= {n.split("_")[0] + "_" for n in names}
     assert set(entry.oracle_sql()) <= names
 
 
