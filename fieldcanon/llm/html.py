@@ -38,6 +38,8 @@ START, FOR_LENGTH, LENGTH_UNIT, MOST_LENGTH = -1.0, 1.0, 80, 3.0
 LINKS, SENTENCE, HEADING = -5.0, 0.7, 0.5
 #: The capacity between two blocks, divided by their distance in the tree.
 SMOOTH = 2.0
+#: Where that leaves no content at all: what is added to blocks that no container speaks against, and the capacity.
+UNMARKED, LOOSE = 1.0, 0.5
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -280,11 +282,11 @@ def min_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     return settled
 
 
-def smoothness(blocks: list[Block], tree: Tree) -> list[tuple[int, int, int]]:
+def smoothness(blocks: list[Block], tree: Tree, smooth: float = SMOOTH) -> list[tuple[int, int, int]]:
     """Edges between neighbours, and between a block and the next one below the same parent; their
     capacity falls with the distance in the tree."""
     edges, last = [], {}
-    capacity = lambda i, k: round(100 * SMOOTH / max(1, tree.distance(blocks[i].node, blocks[k].node)))
+    capacity = lambda i, k: round(100 * smooth / max(1, tree.distance(blocks[i].node, blocks[k].node)))
     for k, b in enumerate(blocks):
         parent = tree.parent[b.node]
         if k:
@@ -296,11 +298,19 @@ def smoothness(blocks: list[Block], tree: Tree) -> list[tuple[int, int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """The content blocks of a page, joined by two line feeds."""
+    """The content blocks of a page, joined by two line feeds.
+
+    A page whose containers don't tell where its content is may have all its blocks labelled as boilerplate,
+    for their neighbours' sake or as too short. It is labelled once more, with the benefit of the doubt for
+    blocks that no container speaks against, and with less weight on neighbours.
+    """
     blocks, tree = blocks_of(page or "")
     if not blocks:
         return ""
     content = min_cut([round(100 * b.score()) for b in blocks], smoothness(blocks, tree))
+    if not any(content):
+        doubt = [UNMARKED if b.inherited >= 0 and 2 * b.linked < len(b.text) else 0.0 for b in blocks]
+        content = min_cut([round(100 * (b.score() + d)) for b, d in zip(blocks, doubt)], smoothness(blocks, tree, LOOSE))
     return "\n\n".join(b.text for b, keep in zip(blocks, content) if keep)
 
 

@@ -275,6 +275,21 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class=ad>Buy now, it is cheap and good and new and yours today.</div><footer>&copy; all rights reserved, of course, by us.</footer></body></html>"""
 
 
+def test_pages_without_marked_content():
+    """Tables, lists and short paragraphs that no container marks are content; menus still aren't."""
+    say = "A sentence of some ninety-three letters that tells what happened on one day and then on another."
+    menu = "<nav><a href=1>One</a> <a href=2>Two</a></nav>"
+    rows = "".join(f"<tr><td>{say} {n}.</td><td>x</td></tr>" for n in range(60))
+    text = html.main_text(f"<body>{menu}<table>{rows}</table></body>")
+    assert all(f"{say} {n}." in text for n in range(60)) and "One" not in text
+    listed = "".join(f"<p>{say} {n}.</p><li><a href=#>Read more</a></li>" for n in range(60))
+    text = html.main_text(f"<body>{menu}{listed}</body>")
+    assert all(f"{say} {n}." in text for n in range(60)) and "Two" not in text and "Read more" not in text
+    short = "".join(f"<p>{'plain words without an end ' * 3}{n:02}</p>"[:90] + "</p>" for n in range(60))
+    assert len(html.main_text(f"<body>{menu}{short}</body>").split("\n\n")) == 60
+    assert html.main_text(f"<body>{menu}<footer><p>{say}</p></footer></body>") == ""
+
+
 def test_html(spark):
     rows = [(0, "u", None), (1, None, ""), (2, "u", PAGE), (2, "u", PAGE), (None, "u", "<p>" + "Long text of a page without much else. " * 9000), (3, "u", "plain text, a sentence or two. It goes on and on, so that it counts as some content on its own."), (4, "u", "<"), (5, "u", "<p a='x" * 2000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as text", "'x' as n_chars")
