@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
 from ..registry import field_table, resolution_table
-from .batches import RANGE_ROWS, ranked
+from .batches import RANGE_ROWS, in_ranges, ranked
 
 COLUMNS = ["Field", "Conflict Group", "Raw Value", "Num Answers", "All Answers", "Standardized Value", "Country", "Resolution", "Field Key"]
 
@@ -64,10 +65,36 @@ def answer_lines(rows: DataFrame, shown: int = 8) -> DataFrame:
     """A line for each label of a conflict, with its first ``shown`` countries."""
     named = rows.groupBy("Field Key", "Raw Value", "Standardized Value").agg(F.array_sort(F.collect_set("Country")).alias("_countries"))
     more = F.when(F.size("_countries") > shown, "...").otherwise("")
-    line = F.concat(F.lit("    -> '"), F.col("Standardized Value"), F.lit("'  ["), F.array_join(F.slice("_countries", 1, shown), ", "), more, F.lit("]"))
+    line = F.concat(F.lit("    -> "), quoted(F.col("Standardized Value")), F.lit("  ["), F.array_join(F.slice("_countries", 1, shown), ", "), more, F.lit("]"))
     return named.select("Field Key", "Raw Value", "Standardized Value", line.alias("Line"))
 
 
+def summary_parts(rows: DataFrame, shown: int = 8, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``part, text``: the audit as text, in parts of about ``range_rows`` lines that follow each other; joined by
+    line breaks they are the whole.
+
+    Each field has a head, each raw value a line, each of its labels a line with its first countries. A part
+    may begin anywhere: whether a line comes first in its field or value is known from the numbers of all,
+    not from the line before it.
+    """
+    ruler, at = "=" * 60, Window.partitionBy("Field Key", "Raw Value")
+    lines = answer_lines(rows, shown).join(rows.select("Field Key", "Raw Value", "Field", "Conflict Group").distinct(), ["Field Key", "Raw Value"])
+    fields = F.broadcast(lines.groupBy("Field Key").agg(F.min("Conflict Group").alias("_first"), F.count_distinct("Conflict Group").alias("_n")))  # a row a field
+    head = F.concat(F.lit(f"\n{ruler}\nFIELD: "), F.col("Field"), F.lit("  ("), F.col("_n").cast("string"), F.lit(f" conflicting raw values)\n{ruler}\n"))
+    first_label = F.col("Standardized Value") == F.min("Standardized Value").over(at)
+    name = F.concat(F.lit("\n  Raw: "), quoted(F.col("Raw Value")), F.lit("\n"))
+    before = F.concat(F.when(F.col("Conflict Group") == F.col("_first"), head).otherwise(""), name)
+    whole = lines.join(fields, "Field Key").withColumn("_text", F.concat(F.when(first_label, before).otherwise(""), F.col("Line")))
+    placed = in_ranges(whole.select("Conflict Group", "Standardized Value", "_text"), ["Conflict Group", "Standardized Value"], range_rows)
+    inside = F.array_sort(F.collect_list(F.struct("Conflict Group", "Standardized Value", "_text")))
+    return placed.groupBy(F.col("_range").alias("part")).agg(F.array_join(F.transform(inside, lambda x: x["_text"]), "\n").alias("text"))
+
+
+def write_summary(parts: DataFrame, path: str) -> None:
+    """Text files whose contents, in the order of their names, are the summary."""
+    parts.orderBy("part").select("text").write.text(path)
+
+
 def apply_resolutions(rows: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
     """Fill ``Resolution`` by field key and raw value, outer spaces aside. Spark broadcasts the resolutions
     while they are below its threshold."""

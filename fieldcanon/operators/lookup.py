@@ -14,6 +14,8 @@ from ..registry import KEEP, LEGACY_LABELS, field_table, resolution_table
 from ..sources.storage import written
 
 COLUMNS = ["field_key", "tier", "country", "raw", "std"]
+#: Buckets of a saved lookup.
+BUCKETS = 64
 #: Most entries of a field (about) in one JSON text.
 JSON_ENTRIES = 50_000
 JSON_SCHEMA = "map<string, struct<consistent: map<string, string>, by_country: map<string, map<string, string>>>>"
@@ -123,6 +125,25 @@ def resolve(keys: DataFrame, lookup: DataFrame, into: str = "std") -> DataFrame:
     return joined.withColumn(into, F.coalesce("_own", "_general")).drop("_own", "_general")
 
 
+def save_buckets(lookup: DataFrame, name: str, buckets: int = BUCKETS) -> None:
+    """Save the lookup as a bucketed table of the catalogue, a row for each field and raw value: the general label,
+    and those of countries (at most one for each of them) as a map. For lookups beyond any broadcast."""
+    own = F.col("tier") == "by_country"
+    pairs = F.array_sort(F.collect_list(F.when(own & (F.col("country") != ""), F.struct("country", "std"))))
+    wide = lookup.groupBy("field_key", "raw").agg(F.max(F.when(~own, F.col("std"))).alias("general"), F.map_from_entries(pairs).alias("own"))
+    wide.repartition(buckets, "field_key", "raw").write.bucketBy(buckets, "field_key", "raw").sortBy("field_key", "raw").mode("overwrite").saveAsTable(name)
+
+
+def resolve_buckets(keys: DataFrame, name: str, into: str = "std") -> DataFrame:
+    """The same as ``resolve`` with a lookup of ``save_buckets``: one join serves both tiers, and only the keys are
+    shuffled, for the lookup lies in buckets of the join's keys. Where Spark expects few keys to be found, it
+    puts a Bloom filter of one side in front of the other by itself."""
+    found = keys.sparkSession.table(name)
+    joined = keys.join(found, ["field_key", "raw"], "left")
+    label = F.coalesce(F.try_element_at("own", F.col("country")), F.col("general"))
+    return joined.select(*(keys[c] if c not in ("field_key", "raw") else F.col(c) for c in keys.columns), label.alias(into))
+
+
 def upsert(lookup: DataFrame, approved: DataFrame) -> DataFrame:
     """The lookup with approved corrections (``field_key, country, raw, proposed, reviewed_at, id``).
 

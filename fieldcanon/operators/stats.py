@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, short_name
@@ -53,6 +53,30 @@ def run_stats(rows: DataFrame, type_column: str, batch_size: int = 100, weight:
     )
 
 
+def observed(rows: DataFrame, type_column: str, types: dict[str, str] = ANALYTICS_FIELD_TYPES) -> tuple[DataFrame, Observation]:
+    """Standardised rows (with ``_key``) that are counted as they are written, and where the counts will be.
+
+    Counted are rows, blanks and flagged rows of each known field type, and of all others together: what
+    ``run_stats`` says of them, without a second reading. ``observed_stats`` makes a table of the counts
+    once the rows are written.
+    """
+    seen, label = Observation(), F.lower(F.trim(F.col(f"`{type_column}`").cast("string")))
+    flagged, blank = F.startswith(F.col(f"`{REVIEW}`"), F.lit("Needs Review")), F.col("_key.raw") == ""
+    counts = []
+    for n, name in enumerate([*types, None]):
+        own = F.coalesce(label == name, F.lit(False)) if name is not None else F.coalesce(~label.isin(*types), F.lit(True))
+        known = F.lit(name is not None)
+        counts += [F.count_if(own).alias(f"rows_{n}"), F.count_if(own & blank & known).alias(f"blanks_{n}"), F.count_if(own & flagged).alias(f"flagged_{n}")]
+    return rows.observe(seen, *counts), seen
+
+
+def observed_stats(spark: SparkSession, seen: Observation, types: dict[str, str] = ANALYTICS_FIELD_TYPES) -> DataFrame:
+    """``type_text, field_key, total_rows, blanks, flagged`` of the types that occurred; the others have a null type."""
+    found = seen.get
+    rows = [(name, types.get(name), found[f"rows_{n}"], found[f"blanks_{n}"], found[f"flagged_{n}"]) for n, name in enumerate([*types, None]) if found[f"rows_{n}"]]
+    return spark.createDataFrame(rows, "type_text string, field_key string, total_rows bigint, blanks bigint, flagged bigint")
+
+
 def run_totals(stats: DataFrame) -> DataFrame:
     """Totals over all field types, and the sorted names of the unknown ones."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)

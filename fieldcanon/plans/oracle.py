@@ -220,6 +220,12 @@ def rules_sql(field_key: str) -> str:
     return f"with {_rule_rows(field_key)} select row_id, raw, case {cases} else '{CATCH_ALL}' end as label from low"
 
 
+def _client_label() -> str:
+    own = lambda rules: "case " + " ".join(f"when {_rule(kind, phrases)} then {text(label)}" for kind, label, phrases in rules) + " end"
+    positions = [("within", label, words) for label, words in POSITIONS]
+    return "case field_key " + " ".join(f"when {text(k)} then {own(rules)}" for k, rules in (RULES | {"positions_designations": positions}).items()) + " end"
+
+
 def _regional() -> str:
     cases = ""
     fits = lambda titles: any_word("s", map(one_sigma, titles))
@@ -286,11 +292,20 @@ ORACLE_SQL: dict[str, str] = {
     "conflict_summary": f"with {CONFLICTS} select f.field_key, count(raw) as conflicts from fields f left join conflicts c on f.field_key = c.field_key group by rollup (f.field_key)",
     "conflict_lines": f"""with {CONFLICTS}, n as (select t.field_key, t.raw, t.std, list(distinct country order by country) as cs from triples t join conflicts c on t.field_key = c.field_key and t.raw = c.raw group by all)
         select field_key, raw as raw_value, std as standardized_value, '    -> ''' || std || '''  [' || array_to_string(cs[1:8], ', ') || case when len(cs) > 8 then '...' else '' end || ']' as line from n""",
+    "conflict_text": f"""{_AUDIT}, n as (select t.field_key, t.raw, t.std, display_name, g, list(distinct country order by country) as cs from triples t join ranked r on t.field_key = r.field_key and t.raw = r.raw group by all),
+        c as (select field_key, min(g) as first, count(distinct g) as many from n group by field_key),
+        lines as (select g, std, case when g = first and std = min(std) over raws then chr(10) || repeat('=', 60) || chr(10) || 'FIELD: ' || display_name || '  (' || many || ' conflicting raw values)' || chr(10) || repeat('=', 60) || chr(10) else '' end
+                || case when std = min(std) over raws then chr(10) || '  Raw: ' || chr(39) || raw || chr(39) || chr(10) else '' end
+                || '    -> ' || chr(39) || std || chr(39) || '  [' || array_to_string(cs[1:8], ', ') || case when len(cs) > 8 then '...' else '' end || ']' as line
+            from n join c using (field_key) window raws as (partition by field_key, raw))
+        select cast(0 as int) as part, string_agg(line, chr(10) order by g, std) as text from lines having count(*) > 0""",
     "unresolved_conflicts": f"with {CONFLICTS} select field_key, raw from conflicts anti join resolutions using (field_key, raw)",
     "resolution_use": f"with {CONFLICTS} select resolution, count(*) as n from conflicts join resolutions using (field_key, raw) group by resolution",
     "run_stats": f"with {STATS} select * from run",
     "run_totals": f"""with {STATS} select {", ".join(f"cast(sum({c}) as bigint) as {c}" for c in ("total_rows", "blanks", "unique_values", "duplicates", "lookup_hits", "flagged", "batches", "calls_saved"))},
         string_agg(distinct case when field_key is null then field_type end, ', ' order by case when field_key is null then field_type end) as unknown_types from run""",
+    "observed_stats": f"""with {MIXED} select case when field_key is not null then lower(trim(fieldType)) end as type_text, field_key, count(*) as total_rows, count(case when field_key is not null and raw = '' then 1 end) as blanks,
+        count(case when starts_with(needs_review, 'Needs Review') then 1 end) as flagged from done group by 1, 2""",
     "run_log": f"""with {STATS}, {INPUTS} select '2024-01-01T00:00:00+00:00' as timestamp, 'orders' as source_file,
         cast((select sum(total_rows) from run) - (select count(*) from inputs where batch_id % 7 = 0) as bigint) as output_count, (select count(distinct batch_id) from inputs where batch_id % 7 = 0) as batches_failed""",
     "run_records": f"""with {STATS}, {INPUTS}, lost as (select 'first' as source_file, count(distinct batch_id) as b, count(*) as v from inputs where batch_id % 7 = 0 union all select 'second', 0, 0)
@@ -335,10 +350,11 @@ ORACLE_SQL: dict[str, str] = {
     "batch_plan": f"with {PLAN} select field_key, country, raw, first_row, p // 25 + 1 as batch_no, p % 25 + 1 as item from plan",
     "batch_messages": f"""with {PLAN} select field_key, p // 25 + 1 as batch_no, cast(count(*) as int) as n_items, 'Classify the following ' || count(*) || ' entries:' || chr(10) || chr(10)
         || string_agg((p % 25 + 1) || '. ' || case when country = '' then raw else '[Country: ' || country || '] ' || raw end, chr(10) order by p) as message from plan group by field_key, p // 25 + 1""",
-    "external_batches": f"""with {KEYED}, shown as (select *, length(case when place = '' then raw else '[Country: ' || place || '] ' || raw end) as n from keyed)
+    "external_batches": f"""with {KEYED}, asked as (select *, {_client_label()} as hit from keyed)
         select countryId as countryid, fieldType as fieldtype, row_id, Country as country, inputText as inputtext,
-               case when field_key is null then 'Unknown field type' when raw = '' then '{CATCH_ALL}' else case field_key {" ".join(f"when {text(k)} then {items(v[1])}[n % {len(v[1])} + 1]" for k, v in FIELDS.items())} end end as standardized_value,
-               case when field_key is null then {UNKNOWN} when raw = '' then 'Needs Review' else '' end as needs_review, '' as review_reason from shown""",
+               case when field_key is null then 'Unknown field type' when raw = '' then '{CATCH_ALL}' else coalesce(hit, '{CATCH_ALL}') end as standardized_value,
+               case when field_key is null then {UNKNOWN} when raw = '' then 'Needs Review' when hit is not null then '' else 'Needs Review: ' || {OPTIONS} end as needs_review,
+               case when field_key is null or raw = '' or hit is not null then '' else 'no rule fits' end as review_reason from asked""",
     "rules_positions_regional": _regional(),
     "rule_table_positions": _regional(),
     "quoted_round_trip": """select o_orderkey as row_id, 'a' || m || o_custkey || m || 'z' as value, '5" pipe' as size
@@ -355,4 +371,4 @@ ORACLE_SQL: dict[str, str] = {
     "rules_legal_form": rules_sql("business_legal_form"),
 }
 ORACLE_SQL = {name: whole_counts(sql) for name, sql in ORACLE_SQL.items()}
-ORACLE_SQL |= {"queue_store": ORACLE_SQL["correction_queue"], "queue_submit": ORACLE_SQL["correction_enqueue"], "lookup_store": ORACLE_SQL["lookup_upsert"]}
+ORACLE_SQL |= {"queue_store": ORACLE_SQL["correction_queue"], "queue_submit": ORACLE_SQL["correction_enqueue"], "lookup_store": ORACLE_SQL["lookup_upsert"], "lookup_buckets": ORACLE_SQL["lookup_resolve"]}

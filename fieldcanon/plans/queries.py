@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..countries import country_table
-from ..functions.classify import classify
+from ..functions.classify import POSITIONS, classify
 from ..operators import audit, batches, corrections, external, lookup, responses, route, rules, ruletable, standardize, stats, stores, validate
 from ..registry import CATCH_ALL, FIELDS, LEGACY_LABELS_AUDIT, resolution_table
 from ..sources import tables
@@ -132,6 +133,25 @@ def lookup_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.resolve(standardize.distinct_keys(keyed), written(_lookup(spark, sf_dir), "lookup")).select("field_key", "country", "raw", "std")
 
 
+def lookup_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``lookup_resolve``, by a lookup in buckets."""
+    rows = route.with_field_key(route.with_country(derived.raw_values(spark, sf_dir), "countryId", country_table(spark)), "fieldType")
+    keyed = standardize.keyed(rows, F.col("field_key"), F.col("inputText"), F.col("Country"))
+    name = f"lookup_{uuid.uuid4().hex}"
+    lookup.save_buckets(_lookup(spark, sf_dir), name, 8)
+    found = written(lookup.resolve_buckets(standardize.distinct_keys(keyed), name), "resolved")
+    spark.sql(f"drop table {name}")
+    return found.select("field_key", "country", "raw", "std")
+
+
+def observed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a run, taken while its rows are written."""
+    out = standardize.standardize_analytics(derived.raw_values(spark, sf_dir), country_table(spark), keep_keys=True)
+    rows, seen = stats.observed(out, "fieldType")
+    rows.drop("_key", "_answer").write.parquet(f"{new_folder(spark)}/standardized")
+    return stats.observed_stats(spark, seen)
+
+
 def _audit_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.master_triples(derived.master(spark, sf_dir), LEGACY_LABELS_AUDIT, keep_empty_std=True)
 
@@ -148,6 +168,11 @@ def conflict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _renamed(audit.answer_lines(audit.audit_rows(_audit_triples(spark, sf_dir))))
 
 
+def conflict_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit as text, in parts."""
+    return audit.summary_parts(audit.audit_rows(_audit_triples(spark, sf_dir)))
+
+
 def unresolved_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.unresolved(audit.audit_rows(_audit_triples(spark, sf_dir)))
 
@@ -348,25 +373,14 @@ def batch_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.messages(_plan(spark, sf_dir, 25))
 
 
-class LengthClient:
-    """Stands in for a client that needs a network, so that batches, calls and parsing can be checked.
-
-    It answers each numbered value with a label of the field that its length picks; real labels come
-    from a client of the user's.
-    """
-
-    def complete(self, system: str, user: str) -> str:
-        labels = FIELDS[system][1]
-        out = []
-        for line in user.split("\n")[2:]:
-            number, value = line.split(". ", 1)
-            out.append(f"{number}. {labels[len(value) % len(labels)]} | HIGH")
-        return "\n".join([*out, f"[Total: {len(out)} of {len(out)} mapped]"])
+#: What the registered run's client knows: the written rules, and keywords for positions.
+CLIENT_RULES = rules.RULES | {"positions_designations": tuple(("within", label, words) for label, words in POSITIONS)}
 
 
 def external_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The export standardised by a client that is asked in batches."""
-    classifier = external.external_classifier(LengthClient, {k: k for k in FIELDS}, new_folder(spark), batch_size=25)
+    """The export standardised by a client that is asked in batches and answers from written rules."""
+    client = functools.partial(external.RulesClient, CLIENT_RULES, {k: labels for k, (_, labels, _) in FIELDS.items()})
+    classifier = external.external_classifier(client, {k: k for k in FIELDS}, new_folder(spark), batch_size=25)
     return _renamed(standardize.standardize_analytics(derived.raw_values(spark, sf_dir), country_table(spark), classifier=classifier))
 
 
@@ -431,13 +445,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lookup_counters,
         lookup_json,
         lookup_resolve,
+        lookup_buckets,
         conflict_audit,
         conflict_summary,
         conflict_lines,
+        conflict_text,
         unresolved_conflicts,
         resolution_use,
         run_stats,
         run_totals,
+        observed_stats,
         run_log,
         run_records,
         parse_responses,
