@@ -12,6 +12,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 from .tokens import _byte_letters as byte_letters
 
-#: Words that a worker remembers at most, and letters of them.
-CACHE, CACHE_LETTERS = 200_000, 4_000_000
-#: Letters of text that are aligned at a time.
-SLICE = 4_000_000
+#: Words that a worker remembers, about, and letters of them; and words that are aligned at a time.
+CACHE, CACHE_LETTERS, LEARNED = 150_000, 4_000_000, 20_000
+#: Letters of text that are looked up at a time.
+SLICE = 2_000_000
 #: Most id pairs, the most frequent ones, that every worker gets (17 bytes each).
 TOP_PAIRS = 2**20
 #: Texts with at least this share of all rows are joined by broadcast; there are no more of them.
@@ -37,6 +38,14 @@ def _joined(ids: list[int], of: list[bytes]) -> bytes:
     return b"".join(map(of.__getitem__, ids))
 
 
+def _counts(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), np.int64)
+
+
 class Aligner:
     """Both tokenizers, and the words that are aligned already.
 
@@ -58,7 +67,9 @@ class Aligner:
             self.bytes_a[n] = bytes(map(to_byte.__getitem__, token)) if all(c in to_byte for c in token) else token.encode()
         self.bytes_b = [self._piece(self.b.id_to_piece(n)) for n in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = (np.array([str(n) for n in range(len(x))], object) for x in (self.bytes_a, self.bytes_b))
+        # Ids as text, within a group and at the end of A's or B's part of it.
+        self.text_a, self.text_b = (np.array([f"{n}," for n in range(len(x))], object) for x in (self.bytes_a, self.bytes_b))
+        self.last_a, self.last_b = np.array([f"{n}|" for n in range(len(self.bytes_a))], object), np.array([f"{n};" for n in range(len(self.bytes_b))], object)
         self.cuts = self._can_cut(path_a)
         self.forget()
 
@@ -115,30 +126,35 @@ class Aligner:
 
     def learn(self, words: list[str]) -> None:
         """Align words that aren't known yet."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        ids_b = self._encode_b(words)
-        for k, (w, x, y) in enumerate(zip(words, ids_a, ids_b)):
-            self.places[w] = len(self.n_a) + k
-            own = (" " + w).encode()
-            if _joined(x, self.bytes_a) != own or _joined(y, self.bytes_b) != own:
-                self.odd.add(self.places[w])
-                ids_a[k] = ids_b[k] = []
-        count_a, count_b = (np.array(list(map(len, x)), np.int64) for x in (ids_a, ids_b))
-        a, b = (np.array([i for ids in x for i in ids], np.int64) for x in (ids_a, ids_b))
-        word_a, word_b = np.repeat(np.arange(len(words)), count_a), np.repeat(np.arange(len(words)), count_b)
+        for k in range(0, len(words), LEARNED):
+            self._learn(words[k : k + LEARNED])
+
+    def _learn(self, words: list[str]) -> None:
+        # Words that another can follow are encoded as one text, which is cut where they end.
+        chained = [w for w in words if w and not w[-1].isspace()] if self.cuts else []
+        found = self._chained(chained) if chained else None
+        if found is None:
+            found = self._each(words)
+        elif len(chained) < len(words):
+            rest = [w for w in words if not w or w[-1].isspace()]
+            words = chained + rest
+            found = tuple(np.concatenate(x) for x in zip(found, self._each(rest, len(chained))))
+        self.places.update(zip(words, range(len(self.n_a), len(self.n_a) + len(words))))
+        count_a, count_b, a, b = found
+        word_a = np.repeat(np.arange(len(words)), count_a)
         # Words have as many bytes of either kind, so their ends in one long row of bytes are common ends.
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        either = np.union1d(ends_a, ends_b)
+        either = np.unique(np.concatenate([ends_a, ends_b]))
         at_a, at_b = np.searchsorted(ends_a, either), np.searchsorted(ends_b, either)
         links = np.bincount(word_a[at_a], minlength=len(words))
-        closes_a, closes_b = np.isin(ends_a, ends_b), np.isin(ends_b, ends_a)
+        where_a, where_b = np.searchsorted(ends_b, ends_a), np.searchsorted(ends_a, ends_b)
+        closes_a = ends_b[np.minimum(where_a, len(ends_b) - 1)] == ends_a if len(ends_b) else np.zeros(0, bool)
+        closes_b = ends_a[np.minimum(where_b, len(ends_a) - 1)] == ends_b if len(ends_a) else np.zeros(0, bool)
         groups = np.bincount(word_a[closes_a], minlength=len(words))
         # Tokens with what follows them, A's of a group before B's of it.
-        signs = np.concatenate([np.where(closes_a, "|", ","), np.where(closes_b, ";", ",")]).astype(object)
-        shown = np.concatenate([self.text_a[a], self.text_b[b]]) + signs
         group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
         order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
-        shown = shown[order].tolist()
+        shown = np.concatenate([np.where(closes_a, self.last_a[a], self.text_a[a]), np.where(closes_b, self.last_b[b], self.text_b[b])])[order].tolist()
         at = 0
         for n in (count_a + count_b).tolist():
             self.groups.append("".join(shown[at : at + n])[:-1])
@@ -150,6 +166,38 @@ class Aligner:
         self.pairs.append(a[at_a] * self.width + b[at_b])
         self.letters += sum(map(len, words))
 
+    def _chained(self, words: list[str]) -> tuple[np.ndarray, ...] | None:
+        """Tokens of each word in either kind, and the tokens, of words that follow each other; ``None`` where their
+        bytes aren't those of the words."""
+        text = "".join([" " + w for w in words])
+        own = text.encode()
+        ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        found = []
+        for ids, of, lengths in (
+            (self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.bytes_a, self.length_a),
+            (self.b.encode(text[1:]), self.bytes_b, self.length_b),
+        ):
+            tokens = np.array(ids, np.int64)
+            reach = np.cumsum(lengths[tokens])
+            at = np.searchsorted(reach, ends)
+            if not len(reach) or at[-1] >= len(reach) or not np.array_equal(reach[at], ends) or _joined(ids, of) != own:
+                return None
+            found.append((np.diff(at, prepend=-1), tokens))
+        (count_a, a), (count_b, b) = found
+        return count_a, count_b, a, b
+
+    def _each(self, words: list[str], before: int = 0) -> tuple[np.ndarray, ...]:
+        """The same for words that are encoded one by one. Those whose bytes aren't those of their tokens are noted
+        as odd and have none; ``before`` words of the same lesson stand before them."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        ids_b = self._encode_b(words)
+        for k, (w, x, y) in enumerate(zip(words, ids_a, ids_b)):
+            own = (" " + w).encode()
+            if _joined(x, self.bytes_a) != own or _joined(y, self.bytes_b) != own:
+                self.odd.add(len(self.n_a) + before + k)
+                ids_a[k] = ids_b[k] = []
+        return _counts(ids_a), _counts(ids_b), _flat(ids_a), _flat(ids_b)
+
     def align(self, texts: list[str]) -> dict[str, list]:
         """The measures of each text, and its distinct id pairs with the number of links of each."""
         if len(self.places) > CACHE or self.letters > CACHE_LETTERS:
@@ -168,9 +216,7 @@ class Aligner:
                     if whole not in known:
                         self.learn([whole])
                     at[k] = [known[whole]]
-        sizes = np.array(list(map(len, at)), np.int64)
-        row = np.repeat(np.arange(len(texts)), sizes)
-        place = np.array([p for places in at for p in places], np.int64)
+        row, place = np.repeat(np.arange(len(texts)), _counts(at)), _flat(at)
         begins = np.array(self.begins, np.int64)
         lengths = np.diff(begins)
         counted = (("n_a", self.n_a), ("n_b", self.n_b), ("n_groups", self.n_groups), ("n_links", lengths))
