@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructType
 
 from .common import text_of, written
 from .exact import normalised
-from .tokens import token_count
+from .tokens import library_count
 
 #: Tokens of a bin, with one for the end of each document.
 CAPACITY = 2048
@@ -132,7 +132,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     are ignored, whatever their names.
     """
     cluster = F.xxhash64(normalised(text_col)) if cluster_col is None else F.when(F.col(cluster_col).isNotNull(), F.xxhash64(cluster_col))
-    length = word_length(text_col) if tokenizer is None else token_count(tokenizer, text_of(text_col)) + 1
+    length = word_length(text_col) if tokenizer is None else library_count(tokenizer, text_of(text_col)) + 1
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), length.alias("length"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "lengths")
     shards = max(1, round(rows.count() / shard_rows))

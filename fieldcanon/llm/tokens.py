@@ -3,6 +3,9 @@
 Only counts are made: a word's count is its number of initial symbols minus its merges. The
 merges come from a tokenizer file in the JSON form whose path is a parameter; every Python worker
 reads it once and remembers the counts of words.
+
+Operators that only need the lengths for other work take ``library_count``: the same counts, but equal
+stretches of a part of a batch are counted once, and their words are merged by the library.
 """
 
 from __future__ import annotations
@@ -12,7 +15,10 @@ import heapq
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -25,6 +31,9 @@ LIMIT = 2048
 CACHE = 300_000
 #: A longer stretch is counted and forgotten.
 LONGEST = 64
+#: Bytes of the texts whose stretches are counted together (a longer text is a part of its own), and how many different
+#: stretches are cut at a time.
+PART, STRETCHES = 1 << 24, 1 << 18
 WORD_END = "</w>"
 
 #: Stretches of letters that all versions of Unicode agree on and that need no
@@ -159,6 +168,90 @@ def counter_for(path: str) -> Callable[[str | None], int]:
     return count
 
 
+class ArrayCounter:
+    """Counts the tokens of Arrow arrays of texts by the tokenizer file at ``path``; words are merged by the library.
+
+    Texts are cut at ASCII white space only: other white space is left to the library, as are all
+    stretches that aren't Latin.
+    """
+
+    def __init__(self, path: str):
+        import re
+
+        import regex
+        from tokenizers import Tokenizer
+
+        library, letters = Tokenizer.from_file(path), _byte_letters()
+        tokenize, normalize, cut = library.model.tokenize, library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.marks = tuple(t.content for t in library.get_added_tokens_decoder().values())
+        self.cut_marks = regex.compile("|".join(map(regex.escape, self.marks))).split
+        self.others = _Counts(lambda stretch: sum(len(tokenize(p)) for p, _ in cut(normalize(stretch))))
+        self.cut_simple = re.compile(f" |{SIMPLE_PIECES.removesuffix(']+')} ]+").findall
+        # A space ends a stretch and has no tokens: it counts -1.
+        self.pieces = _Counts(lambda p: -1 if p == " " else len(tokenize(p if p.isascii() else "".join([letters[b] for b in p.encode()]))))
+
+    def simple(self, stretches: pa.Array) -> np.ndarray:
+        """The tokens of each of these stretches of Latin letters, which are cut as one text."""
+        if not len(stretches):
+            return np.zeros(0, np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(stretches)], stretches), pa.scalar(" ", stretches.type))[0].as_py()
+        counts = np.fromiter(map(self.pieces.__getitem__, self.cut_simple(joined.lower() + " ")), np.int64)
+        ends = np.flatnonzero(counts < 0)
+        counts[ends] = 0
+        return np.diff(np.cumsum(counts)[ends], prepend=0)
+
+    def different(self, stretches: pa.Array) -> np.ndarray:
+        """The tokens of each of these stretches."""
+        plain = pc.match_substring_regex(stretches, f"^{SIMPLE}$")
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(stretches), np.int64)
+        counts[is_plain] = self.simple(stretches.filter(plain))
+        counts[~is_plain] = [self.others[s] for s in stretches.filter(pc.invert(plain)).to_pylist()]
+        return counts
+
+    def part(self, texts: pa.Array) -> np.ndarray:
+        """The tokens of each text. What lies between special strings is counted like texts of their own."""
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        known = words.dictionary
+        of_word = np.concatenate([np.zeros(0, np.int64), *(self.different(known.slice(at, STRETCHES)) for at in range(0, len(known), STRETCHES))])
+        upto = np.cumsum(np.append(0, of_word[words.indices.to_numpy()]))
+        counts = np.diff(upto[np.cumsum(np.append(0, pc.list_value_length(cut).to_numpy()))])
+        marked = np.zeros(len(texts), bool)
+        for mark in self.marks:
+            marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if marked.any():
+            between = [self.cut_marks(t) for t in texts.filter(pa.array(marked)).to_pylist()]
+            n = np.array([*map(len, between)])
+            counts[marked] = n - 1 + np.add.reduceat(self.part(pa.array([p for b in between for p in b], texts.type)), np.cumsum(n) - n)
+        return counts
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """The tokens of each text of an array without nulls, which is taken in parts of ``PART`` bytes."""
+        ends, at, counts = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0, [np.zeros(0, np.int64)]
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+            counts.append(self.part(texts.slice(at, to - at)))
+            at = to
+        return pa.array(np.concatenate(counts))
+
+
+@functools.lru_cache(maxsize=2)
+def array_counter(path: str) -> ArrayCounter:
+    """The worker's own, which remembers counts from batch to batch."""
+    return ArrayCounter(path)
+
+
+def library_count(tokenizer: str, text: Column) -> Column:
+    """The tokens of ``text``, a column without nulls: what ``token_count`` gives, merged by the library."""
+
+    @F.arrow_udf(LongType())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(array_counter(tokenizer), batches)
+
+    return count(text)
+
+
 def token_count(tokenizer: str, text: Column) -> Column:
     """The tokens of ``text`` by the tokenizer file, as a column."""
 

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -84,6 +85,37 @@ def test_lengths_are_tokens(spark, tmp_path):
     assert {r.doc_id: r.length for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == lengths
 
 
+@pytest.mark.parametrize("kind, part, stretches, cache", [(pa.string(), 1 << 24, 1 << 18, 300_000), (pa.large_string(), 200, 7, 5)])
+def test_lengths_are_the_library_s(monkeypatch, kind, part, stretches, cache):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    for name, value in (("PART", part), ("STRETCHES", stretches), ("CACHE", cache)):
+        monkeypatch.setattr(tokens, name, value)
+    rng = random.Random(15)
+    pool = [chr(c) for r in ((0, 0x250), (0x300, 0x460), (0x2000, 0x2070)) for c in range(*r)]
+    pool += ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "'RE", "H\u0331", " the ", "  ", "\n", "\t\x0b", "\x1c", "\x85", "\u3000", "日本"] * 9
+    texts = ["", " ", " \n\t", " a  b ", "\u3000a b\u3000", "don't we'LL 'S", "a" * 5000, "Word " * 3000, "<|endoftext|>", "<|endoftext|> a<|endoftext|>b<|startoftext|>"]
+    texts += ["".join(rng.choices(pool, k=rng.randint(1, 60))) for _ in range(3000)]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    count = tokens.ArrayCounter(path)
+    assert count(pa.array(["x", *texts, "x"], kind).slice(1, len(texts))).to_pylist() == want
+    assert count(pa.array([], kind)).to_pylist() == [] and count(pa.array(texts[:4], kind)).to_pylist() == [0, 0, 0, 2]
+
+
+def test_lengths_take_less_time_than_counts():
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    rng = random.Random(19)
+    new = ["".join(rng.choices("aeinorstlé", k=rng.randint(5, 14))) for _ in range(40_000)]
+    texts = [" ".join(rng.choices(new, k=400)) for _ in range(500)]
+    count, one = tokens.ArrayCounter(path), tokens.counter_for.__wrapped__(path)
+    t = [time.process_time()]
+    got = count(pa.array(texts)).to_pylist()
+    t.append(time.process_time())
+    assert got == [one(x) for x in texts]
+    t.append(time.process_time())
+    assert t[1] - t[0] < 0.6 * (t[2] - t[1])
+
+
 def test_sources_keep_to_their_share():
     docs = [(10, "hot", None)] * 50 + [(10, f"s{k}", None) for k in range(50)]
     bits = packing.conflict_bits(docs, 100)
