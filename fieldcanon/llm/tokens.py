@@ -33,7 +33,9 @@ CACHE = 300_000
 LONGEST = 64
 #: Bytes of the texts whose stretches are counted together (a longer text is a part of its own), and how many different
 #: stretches are cut at a time.
-PART, STRETCHES = 1 << 24, 1 << 18
+PART, STRETCHES = 1 << 22, 1 << 18
+#: Words, and stretches that aren't Latin, whose counts are remembered where the library merges. That is quick, so they are fewer.
+WORDS = 100_000
 WORD_END = "</w>"
 
 #: Stretches of letters that all versions of Unicode agree on and that need no
@@ -103,15 +105,15 @@ class Merges:
 class _Counts(dict):
     """Remembered counts of words; others are counted when they are asked for."""
 
-    def __init__(self, count: Callable[[str], int]):
-        self.count, self.older = count, {}
+    def __init__(self, count: Callable[[str], int], most: int = CACHE):
+        self.count, self.most, self.older = count, most, {}
 
     def __missing__(self, word: str) -> int:
         n = self.older.get(word)
         if n is None:
             n = self.count(word)
         if len(word) <= LONGEST:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[word] = n
@@ -185,10 +187,10 @@ class ArrayCounter:
         tokenize, normalize, cut = library.model.tokenize, library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.marks = tuple(t.content for t in library.get_added_tokens_decoder().values())
         self.cut_marks = regex.compile("|".join(map(regex.escape, self.marks))).split
-        self.others = _Counts(lambda stretch: sum(len(tokenize(p)) for p, _ in cut(normalize(stretch))))
+        self.others = _Counts(lambda stretch: sum(len(tokenize(p)) for p, _ in cut(normalize(stretch))), WORDS)
         self.cut_simple = re.compile(f" |{SIMPLE_PIECES.removesuffix(']+')} ]+").findall
         # A space ends a stretch and has no tokens: it counts -1.
-        self.pieces = _Counts(lambda p: -1 if p == " " else len(tokenize(p if p.isascii() else "".join([letters[b] for b in p.encode()]))))
+        self.pieces = _Counts(lambda p: -1 if p == " " else len(tokenize(p if p.isascii() else "".join([letters[b] for b in p.encode()]))), WORDS)
 
     def simple(self, stretches: pa.Array) -> np.ndarray:
         """The tokens of each of these stretches of Latin letters, which are cut as one text."""
